@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .decontaminate import report
 from .minhash import near_duplicates
+from .substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 100 earlier ones."""
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_decontamination": op3_decontamination}
+    return {"op1_minhash": op1_minhash, "op3_decontamination": op3_decontamination, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
