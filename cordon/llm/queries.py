@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .decontaminate import report
+from .divergence import quality_rules
 from .minhash import near_duplicates
+from .oracle_quality import QUALITY
 from .substring import remove_repeats
 
 
@@ -22,6 +24,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), ngram=2, percent=80)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and histogram divergence of every document."""
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside occurrences of 13-word benchmark phrases."""
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -33,8 +40,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_decontamination": op3_decontamination, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": QUALITY}
