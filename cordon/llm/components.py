@@ -17,24 +17,21 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     Each round is two aggregations by node and ends in a written table; a hub's edges are
     reduced map-side to the minimum, so no node's neighbours meet in one group.
     """
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, before = scratch.keep(now), []
     for _ in range(max_rounds):
+        # every node that is some edge's larger end and some other's smaller end still has to move
+        if now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.keep(large.where("a <> b").distinct())
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = scratch.keep(small.where("a <> b").distinct())
-        same = _print(after) == _print(now)
-        scratch.drop(now, large)
-        now = after
-        if same:
-            break
+        scratch.drop(*before)
+        before = [now]
+        now = scratch.keep(small.where("a <> b").distinct())
     else:
         raise RuntimeError("components did not settle")
-    return scratch.keep(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct())
-
-
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+    low = now.groupBy("a").agg(F.min("b").alias("root"))
+    return scratch.keep(low.withColumnRenamed("a", "node").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

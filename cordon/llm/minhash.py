@@ -9,14 +9,13 @@ key, first by the collision-corrected Jaccard estimate of all registers, then on
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -145,7 +144,7 @@ def _verify(text: str, n: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
     """Groups of texts whose word-shingle sets have a Jaccard similarity of `percent` / 100 or more.
 
     Words are lower-cased (A-Z) runs of non-blank characters; a text of fewer than `ngram` words
@@ -157,62 +156,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reachable over links, itself included), kept (component_id equals the id; true for a null id).
 
     Equal word sequences are grouped first and stand for one another, so a large group of copies
-    costs a row each, not a pair each. Then each band key links its members to one hub; members
-    that the verified links have already brought together are not compared again. After
-    `star_rounds` of these, what shares a band key but no component is compared in full.
+    costs a row each, not a pair each. Then each band key links its members to one hub. Where a
+    key's members are not in one component after that, they are linked to the hub that has the
+    fewest shingles of its own, and what is still apart is compared pair by pair unless the
+    number of shingles that only one text has rules a link out.
     The chance that a pair of similarity 0.8 shares none of the bands is (1 - 0.8^4)^32 < 1e-7.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sigs = scratch.keep(texts.mapInArrow(_signatures("text", ngram), "id long, n_shingles long, m1 long, m2 long, regs binary"))
     known = sigs.where("id is not null and n_shingles > 0")
     first = known.groupBy("m1", "m2").agg(F.min("id").alias("rep"), F.min_by("regs", "id").alias("regs"), F.min("n_shingles").alias("n"))
     reps = scratch.keep(first.select(F.col("rep").alias("id"), "m1", "m2", "regs", "n"))
-    copies = scratch.keep(known.join(reps.select("m1", "m2", F.col("id").alias("rep")), ["m1", "m2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    copies = known.join(reps.select("m1", "m2", F.col("id").alias("rep")), ["m1", "m2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    rows = scratch.keep(reps.select("id", "regs").mapInArrow(_bands, "band long, id long"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1 and low < high").select("band")
-    rows2 = scratch.keep(rows.join(scratch.keep(shared), "band").distinct())
-    scratch.drop(rows)
-    rows = rows2
+    dealt = scratch.keep(reps.select("id", "regs").mapInArrow(_bands, "band long, id long"))
+    shared = dealt.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", F.col("low").alias("hub"))
+    rows = scratch.keep(dealt.join(scratch.keep(shared), "band"))
+    scratch.drop(dealt)
     wanted = rows.select("id").distinct()
     pool = scratch.keep(texts.join(wanted, "id").dropDuplicates(["id", "text"]))
     regs = scratch.keep(reps.select("id", "regs", "n").join(wanted, "id"))
 
-    links = scratch.keep(copies.limit(0))
-    checked = links
-    for turn in range(star_rounds + 1):
-        roots = components(links, scratch) if turn else None
-        if roots is None:
-            tagged = rows.withColumn("root", F.col("id"))
-        else:
-            tagged = rows.join(roots, rows.id == roots.node, "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-            mixed = tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-            tagged = scratch.keep(tagged.join(mixed, "band"))
-        if turn < star_rounds:
-            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            first = F.min(F.struct(order.alias("o"), "id", "root")).alias("h")
-            hubs = scratch.keep(tagged.groupBy("band").agg(first).select("band", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root")))
-            pairs = tagged.join(hubs, "band").where("id <> hub and root <> hub_root").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        else:
-            other = tagged.select("band", F.col("id").alias("b"), F.col("root").alias("other"))
-            pairs = tagged.join(other, "band").where("root > other").select(F.col("id").alias("a"), "b")
+    def compared(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        if turn and pairs.isEmpty():
-            break
         both = pairs.join(regs.toDF("a", "ra", "na"), "a").join(regs.toDF("b", "rb", "nb"), "b")
         near = scratch.keep(both.mapInPandas(_plausible(percent / 100), "a long, b long").distinct())
-        found = scratch.keep(_confirm(near, pool, ngram, percent, scratch))
-        checked = scratch.keep(checked.unionByName(pairs))
-        links = scratch.keep(links.unionByName(found))
-    roots = components(links.unionByName(copies), scratch)
+        return scratch.keep(_confirm(near, pool, ngram, percent, scratch))
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of band keys whose members aren't all in one component."""
+        tagged = rows.select("band", "id").join(roots, rows.id == roots.node, "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+        mixed = tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+        return tagged.join(mixed, "band")
+
+    found = compared(rows.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    roots = components(copies.unionByName(found), scratch)
+    open_ = scratch.keep(rooted(rows, roots))
+    if not open_.isEmpty():
+        open_ = scratch.keep(open_.join(_own_shingles(open_, pool, regs, ngram), "id").where(f"100 * common >= {percent} * n"))
+        hubs = scratch.keep(open_.groupBy("band").agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("o"), "id", "root")).alias("h")).select("band", "h.id", "h.root").toDF("band", "hub", "hub_root"))
+        found = compared(open_.join(hubs, "band").where("root <> hub_root").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        again = lambda: components(roots.toDF("a", "b").unionByName(found), scratch)
+        roots = roots if found.isEmpty() else again()
+        left = scratch.keep(rooted(open_, roots).join(open_.select("id", "n", "common").distinct(), "id"))
+        other = left.toDF(*(f"{c}2" for c in left.columns))
+        most = F.least("common", "common2")
+        possible = 100 * most >= percent * (F.col("n") + F.col("n2") - most)
+        found = compared(left.join(other, (F.col("band") == F.col("band2")) & (F.col("root") > F.col("root2")) & possible).select(F.col("id").alias("a"), F.col("id2").alias("b")))
+        roots = roots if found.isEmpty() else again()
     out = sigs.join(roots, sigs.id == roots.node, "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _own_shingles(rows: DataFrame, pool: DataFrame, regs: DataFrame, ngram: int) -> DataFrame:
+    """id, n, common: size of each text's set, and how much of it any other text of these rows has too.
+
+    What no partner has can't be in an intersection: `common` bounds it, and texts and pairs whose
+    bound is too low need no comparison. This is what keeps a large group of copies that differ
+    in many places from being compared pair by pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, at = word_hashes(part.column("text"), BLANK_SPLIT)
+                sets = [np.unique(x) for x in split_ranges(*shingles(words, at, ngram))]
+                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids)], names=["shingle", "id"])
+
+    each = pool.join(rows.select("id").distinct(), "id").mapInArrow(run, "shingle long, id long")
+    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("high")).where("id = high").groupBy("id").agg(F.count("*").alias("own"))
+    return regs.groupBy("id").agg(F.max("n").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def _confirm(pairs: DataFrame, pool: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) whose full sets are similar; b's text is repeated once for CHUNK partners."""
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
