@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import licences
 from .decontaminate import report
 from .divergence import quality_rules
 from .minhash import near_duplicates
 from .oracle_quality import QUALITY
+from .resample import resample
 from .substring import remove_repeats
+from .toxicity import classify
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +37,30 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier-chain probabilities of every document."""
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat 100 earlier ones."""
     return remove_repeats(_table(spark, sf_dir, "documents"), length=100)
 
 
+def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of every document and the Gumbel top-k choice."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op9_suffix_dedup": op9_suffix_dedup}
+    own = [op1_minhash, op2_quality_rules, op3_decontamination, op5_toxicity, op6_licences, op9_suffix_dedup, op10_quality_resample]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY}
+    return {"op2_quality_rules": QUALITY, "op6_licences": licences.oracle()}
