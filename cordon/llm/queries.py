@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import licences
+from . import licences, mixing
 from .decontaminate import report
 from .divergence import quality_rules
+from .lineruns import line_report
 from .minhash import near_duplicates
 from .oracle_quality import QUALITY
 from .resample import resample
@@ -37,6 +38,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and mixing rate of every document."""
+    return mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier-chain probabilities of every document."""
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -47,6 +53,11 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document inside later copies of runs of 30 words or more."""
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat 100 earlier ones."""
     return remove_repeats(_table(spark, sf_dir, "documents"), length=100)
@@ -58,7 +69,7 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash, op2_quality_rules, op3_decontamination, op5_toxicity, op6_licences, op9_suffix_dedup, op10_quality_resample]
+    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op8_line_dedup, op9_suffix_dedup, op10_quality_resample]
     return {f.__name__: f for f in own}
 
 
