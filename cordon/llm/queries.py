@@ -11,6 +11,7 @@ from ..session import ship
 from . import licences, mixing
 from .decontaminate import report
 from .divergence import quality_rules
+from .language import identify
 from .lineruns import line_report
 from .minhash import near_duplicates
 from .oracle_quality import QUALITY
@@ -53,6 +54,11 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document inside later copies of runs of 30 words or more."""
     return line_report(_table(spark, sf_dir, "documents"))
@@ -69,7 +75,7 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op8_line_dedup, op9_suffix_dedup, op10_quality_resample]
+    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op7_language, op8_line_dedup, op9_suffix_dedup, op10_quality_resample]
     return {f.__name__: f for f in own}
 
 
