@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -28,6 +28,8 @@ EMPTY = 0xFFFF
 MARGIN = 5.0
 #: Members compared with one copy of a hub's text.
 CHUNK = 256
+#: Members of a group of candidates that are paired directly.
+SMALL = 32
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (GROUPS, 2), dtype=np.int64).astype(U) | U(1)
 
 
@@ -157,9 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal word sequences are grouped first and stand for one another, so a large group of copies
     costs a row each, not a pair each. Then each band key links its members to one hub. Where a
-    key's members are not in one component after that, they are linked to the hub that has the
-    fewest shingles of its own, and what is still apart is compared pair by pair unless the
-    number of shingles that only one text has rules a link out.
+    key's members are not in one component after that, they are linked to the hub with most
+    links, and what is still apart is looked up by its rarest shingles.
     The chance that a pair of similarity 0.8 shares none of the bands is (1 - 0.8^4)^32 < 1e-7.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -192,42 +193,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = compared(rows.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
     roots = components(copies.unionByName(found), scratch)
+    again = lambda: components(roots.toDF("a", "b").unionByName(found), scratch)
     open_ = scratch.keep(rooted(rows, roots))
     if not open_.isEmpty():
-        open_ = scratch.keep(open_.join(_own_shingles(open_, pool, regs, ngram), "id").where(f"100 * common >= {percent} * n"))
-        hubs = scratch.keep(open_.groupBy("band").agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("o"), "id", "root")).alias("h")).select("band", "h.id", "h.root").toDF("band", "hub", "hub_root"))
+        links = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), (-F.col("id")).alias("first"), "id", "root")).alias("h")
+        hubs = scratch.keep(open_.join(links, "id", "left").groupBy("band").agg(best).select("band", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root")))
         found = compared(open_.join(hubs, "band").where("root <> hub_root").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        again = lambda: components(roots.toDF("a", "b").unionByName(found), scratch)
         roots = roots if found.isEmpty() else again()
-        left = scratch.keep(rooted(open_, roots).join(open_.select("id", "n", "common").distinct(), "id"))
-        other = left.toDF(*(f"{c}2" for c in left.columns))
-        most = F.least("common", "common2")
-        possible = 100 * most >= percent * (F.col("n") + F.col("n2") - most)
-        found = compared(left.join(other, (F.col("band") == F.col("band2")) & (F.col("root") > F.col("root2")) & possible).select(F.col("id").alias("a"), F.col("id2").alias("b")))
+        found = compared(_apart(rooted(open_, roots), pool, regs, ngram, percent, scratch))
         roots = roots if found.isEmpty() else again()
     out = sigs.join(roots, sigs.id == roots.node, "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _own_shingles(rows: DataFrame, pool: DataFrame, regs: DataFrame, ngram: int) -> DataFrame:
-    """id, n, common: size of each text's set, and how much of it any other text of these rows has too.
+def _apart(rows: DataFrame, pool: DataFrame, regs: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of texts in different components that share a band key and can be similar.
 
-    What no partner has can't be in an intersection: `common` bounds it, and texts and pairs whose
-    bound is too low need no comparison. This is what keeps a large group of copies that differ
-    in many places from being compared pair by pair.
+    A key belongs to the group of the component that holds most of its members. Members of a
+    group of up to SMALL are paired directly. In a larger one each text that isn't of the group's
+    own component is looked up by its rarest shingles there: a text of n shingles that shares at
+    least o with another has one of its n - o + 1 rarest among those of the other. Edited
+    copies have many rare shingles, so what is found is few, however large the group is.
     """
+    size = rows.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", (-F.col("root")).alias("r"), "root")).alias("m")).select("band", F.col("m.root").alias("g"))
+    sizes = regs.groupBy("id").agg(F.min("n").alias("n_least"), F.max("n").alias("n"))
+    members = scratch.keep(rows.join(size, "band").select("g", "id", "root").distinct().join(sizes, "id"))
+    per = members.groupBy("g").agg(F.count("*").alias("members"))
+    members = scratch.keep(members.join(per, "g"))
+    small = members.where(F.col("members") <= SMALL).select("g", "id", "root", "n", "n_least")
+    other = small.toDF("g", "id2", "root2", "n2", "n_least2")
+    near = (100 * F.col("n_least") <= 10_000 / percent * F.col("n2")) & (100 * F.col("n_least2") <= 10_000 / percent * F.col("n"))
+    pairs = small.join(other, "g").where((F.col("root") > F.col("root2")) & near).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    large = members.where(F.col("members") > SMALL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, at = word_hashes(part.column("text"), BLANK_SPLIT)
                 sets = [np.unique(x) for x in split_ranges(*shingles(words, at, ngram))]
-                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids)], names=["shingle", "id"])
-
-    each = pool.join(rows.select("id").distinct(), "id").mapInArrow(run, "shingle long, id long")
-    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("high")).where("id = high").groupBy("id").agg(F.count("*").alias("own"))
-    return regs.groupBy("id").agg(F.max("n").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                own = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("g", "id", "root")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.array([len(x) for x in sets])[row]), pa.array(np.concatenate(sets).view(np.int64))], names=["g", "id", "root", "n", "shingle"])
+
+    each = scratch.keep(pool.join(large.select("g", "id", "root"), "id").select("g", "id", "root", "text").mapInArrow(run, "g long, id long, root long, n long, shingle long"))
+    often = each.groupBy("g", "shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("g", "id", "n").orderBy("often", "shingle")
+    asked = each.where("root <> g").join(often, ["g", "shingle"]).withColumn("place", F.row_number().over(order))
+    # a partner has as many shingles at least as would make the smallest overlap
+    asked = asked.where((100 * (F.col("n") + 1 - F.col("place")) >= percent * F.col("n")) & (F.col("often") > 1))
+    there = each.select("g", "shingle", F.col("id").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
+    reached = (100 + percent) * (F.col("n") + 1 - F.col("place")) >= percent * (F.col("n") + F.col("m"))
+    found = asked.select("g", "shingle", F.col("id").alias("a"), "root", "n", "place").join(there, ["g", "shingle"]).where((F.col("root") != F.col("other")) & reached & (100 * F.col("m") >= percent * F.col("n")))
+    return pairs.unionByName(found.select("a", "b").distinct())
 
 
 def _confirm(pairs: DataFrame, pool: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
