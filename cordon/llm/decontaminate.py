@@ -72,8 +72,8 @@ def _report(words: np.ndarray, at: np.ndarray, blocks: list) -> dict[int, tuple[
         for d, w, n, items in _search(words, at, *block.value):
             out[d][0].append((w, w + n))
             out[d][1].update(items)
-        if len(blocks) > 1:
-            block.unpersist()
+        if len(blocks) > 1:  # a task keeps the value it has read, unless told to forget it
+            vars(block).pop("_value", None)
     return out
 
 

@@ -103,14 +103,14 @@ def quality_rules(
     reference = _references(counts).join(total, "lang").where(F.col("reference_words") >= min_reference_words)
     x = counts.join(reference.withColumn("expected", F.expr("aggregate(map_values(word_shares), 0D, (a, v) -> a + v)")), "lang", "left")
     sums = "cast(aggregate(class_counts, 0L, (a, v) -> a + v) as double)"
-    x = x.withColumn("p", F.expr(f"transform(class_counts, v -> v / {sums})"))
+    x = x.withColumn("p", F.expr(f"transform(class_counts, v -> v / nullif({sums}, 0D))"))
     chars = F.aggregate(F.zip_with("p", "class_shares", _term), F.lit(0.0), lambda a, v: a + v) / 2
-    x = x.withColumn("word_p", F.expr("transform(times, v -> v / cast(n_words as double))")).withColumn("word_q", F.expr("transform(found, w -> coalesce(word_shares[w], 0D))"))
+    x = x.withColumn("word_p", F.expr("transform(times, v -> v / nullif(cast(n_words as double), 0D))")).withColumn("word_q", F.expr("transform(found, w -> coalesce(word_shares[w], 0D))"))
     seen = F.aggregate("word_q", F.lit(0.0), lambda a, v: a + v)
     other_p = 1 - F.aggregate("word_p", F.lit(0.0), lambda a, v: a + v)
     words = (F.aggregate(F.zip_with("word_p", "word_q", _term), F.lit(0.0), lambda a, v: a + v) + (F.col("expected") - seen) + _term(other_p, 1 - F.col("expected"))) / 2
-    x = x.withColumn("char_distance", F.sqrt(F.greatest(chars, F.lit(0.0)))).withColumn("word_distance", F.when(F.col("expected") * F.col("n_words") >= min_common, F.sqrt(F.greatest(words, F.lit(0.0)))))
-    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance + word_noise / F.sqrt(F.col("n_words")))
+    x = x.withColumn("char_distance", F.sqrt(F.when(F.expr(f"{sums} > 0"), F.greatest(chars, F.lit(0.0))))).withColumn("word_distance", F.when(F.col("expected") * F.col("n_words") >= min_common, F.sqrt(F.greatest(words, F.lit(0.0)))))
+    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance + word_noise / F.sqrt(F.greatest("n_words", F.lit(1))))
     return x.select(
         F.col("own_id").alias(id_col), *cols[:5], "base_failed", (~F.col("base_failed") & ~far).alias("kept"),
         F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
