@@ -18,6 +18,8 @@ WORDS = list(dict.fromkeys(COMMON_WORDS))
 BLANK = r"[\x20\x09-\x0D]+"
 #: Character classes: a name and the Java pattern of what does not belong to it. Other characters of words and blanks are two more classes.
 CLASSES = {"n_upper": r"[^\p{Lu}]+", "n_digit": r"[^0-9]+", "n_symbols": r"[^#*$%&|<>]+", "n_stop": r"[^.,;:!?]+"}
+#: More languages than these are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 2_000
 CLASS_NAMES = ["blank", "upper", "digit", "symbol", "stop", "other"]
 
 
@@ -100,7 +102,9 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counts = scratch.keep(counts.select("own_id", "lang", *cols).withColumn("base_failed", failed))
     total = counts.where("not base_failed").groupBy("lang").agg(F.sum("n_words").alias("reference_words"))
-    reference = _references(counts).join(total, "lang").where(F.col("reference_words") >= min_reference_words)
+    reference = scratch.keep(_references(counts).join(total, "lang").where(F.col("reference_words") >= min_reference_words))
+    # a row a language and at most one number a common word in it: small, and checked to be
+    reference = F.broadcast(reference) if reference.count() <= MAX_BROADCAST_LANGUAGES else reference
     x = counts.join(reference.withColumn("expected", F.expr("aggregate(map_values(word_shares), 0D, (a, v) -> a + v)")), "lang", "left")
     sums = "cast(aggregate(class_counts, 0L, (a, v) -> a + v) as double)"
     x = x.withColumn("p", F.expr(f"transform(class_counts, v -> v / nullif({sums}, 0D))"))
