@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DECISIONS = ["ALLOW", "REWRITE", "BLOCK"]
@@ -92,3 +92,9 @@ def verify_receipts(receipts: DataFrame, key: bytes) -> DataFrame:
 
     fault = F.when(content_sha("receipt_id", "principal", "decision", "reasons", "trusted_threshold") != F.col("content_sha256"), "DIGEST").when(hmac_sha256(F.col("content_sha256"), key) != F.col("seal"), "SEAL")
     return receipts.withColumn("fault", fault).where("fault is not null")
+
+
+def repair_funnel(evaluated: DataFrame) -> DataFrame:
+    """stage (the last that a candidate reached), n, n_reached (candidates that reached it). The stages are a fixed few."""
+    per = evaluated.groupBy("stage").agg(F.count("*").alias("n"))
+    return per.withColumn("n_reached", F.sum("n").over(Window.orderBy(F.desc("stage"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTIFIERS = ["DIRECT_IDENTIFIER", "STABLE_PSEUDONYM"]
@@ -92,3 +92,9 @@ def evaluate_state(a: DataFrame, k: int = 20) -> DataFrame:
     """scope, forbidden (predicates that match, sorted) of each scope with any."""
     hits = f1_f2(a).unionByName(f3(a, k)).unionByName(f4(a))
     return hits.groupBy("scope").agg(F.concat_ws(",", F.array_sort(F.collect_set("predicate"))).alias("forbidden"))
+
+
+def verify_paths(steps: DataFrame) -> DataFrame:
+    """Steps (path, step) whose pre_state isn't the post_state of the step before."""
+    before = F.lag("post_state").over(Window.partitionBy("path").orderBy("step"))
+    return steps.withColumn("_before", before).where("_before is not null and not (_before <=> pre_state)").select("path", "step")

@@ -164,3 +164,61 @@ def resolve_evidence(claims: DataFrame, now: Column) -> DataFrame:
     per = claims.groupBy("subject", "predicate").agg(F.count("*").alias("n"), _any(good).alias("any_good"), _any(good & fresh).alias("any_fresh"), _any(good & fresh & F.col("complete")).alias("any_complete"), F.count_distinct(F.when(good & fresh & F.col("complete"), F.col("value"))).alias("n_values"))
     state = F.when(F.col("n") == 0, "UNKNOWN").when(~F.col("any_good"), "AGENT_ASSERTED").when(~F.col("any_fresh"), "STALE").when(~F.col("any_complete"), "INCOMPLETE").when(F.col("n_values") > 1, "CONTESTED").otherwise("TRUSTED")
     return per.select("subject", "predicate", state.alias("trust_state"))
+
+
+def check_plan(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """query_id and violation: threshold and its subject stand together; a group key needs a grouped query."""
+    half = queries.where(F.col("threshold").isNotNull() != F.col("threshold_subject").isNotNull()).select("query_id", F.when(F.col("threshold").isNotNull(), "THRESHOLD_WITHOUT_SUBJECT").otherwise("SUBJECT_WITHOUT_THRESHOLD").alias("violation"))
+    keys = refs.where("kind = 'GROUP_KEY'").select("query_id").distinct().join(queries.where("not is_grouped"), "query_id", "left_semi").withColumn("violation", F.lit("KEY_WITHOUT_GROUPING"))
+    return half.unionByName(keys)
+
+
+def reconcile(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """asset and status of the assets that are not on both sides: MISSING or UNEXPECTED."""
+    both = found.withColumn("f", F.lit(True)).join(expected.withColumn("e", F.lit(True)), "asset", "full_outer")
+    return both.select("asset", F.when(F.col("f").isNull(), "MISSING").when(F.col("e").isNull(), "UNEXPECTED").alias("status")).where("status is not null")
+
+
+def duplicate_fields(fields: DataFrame) -> DataFrame:
+    return fields.groupBy("dataset", "field").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def drift(steps: DataFrame) -> DataFrame:
+    """Requests that have seen more than one snapshot."""
+    return steps.groupBy("request_id").agg(F.count_distinct("snapshot_sha256").alias("n_snapshots")).where("n_snapshots > 1")
+
+
+def applicability(claims: DataFrame, now: Column) -> DataFrame:
+    """claim_id, state: FUTURE before it was observed, EXPIRED at or after its end, else APPLICABLE."""
+    return claims.select("claim_id", F.when(F.col("observed_at") > now, "FUTURE").when(F.col("expires_at") <= now, "EXPIRED").otherwise("APPLICABLE").alias("state"))
+
+
+def support_gaps(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """claim_id and each support of it (array `supports`) that isn't a known claim."""
+    each = claims.select("claim_id", F.explode(F.array_distinct("supports")).alias("missing"))
+    return each.join(known.select(F.col("claim_id").alias("missing")), "missing", "left_anti").select("claim_id", "missing")
+
+
+def evidence_root(claims: DataFrame) -> DataFrame:
+    """Digest of each snapshot's set of claim digests."""
+    return claims.groupBy("snapshot").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set("claim_sha256"))), 256).alias("root_sha256"))
+
+
+# Fields that no release may show as they are.
+FORBIDDEN_FIELDS = ["customer_id", "email", "phone", "full_name", "precise_area"]
+
+
+def forbidden_outputs(refs: DataFrame, names: list[str] | None = None) -> DataFrame:
+    return refs.where((F.col("kind") == "RAW_VALUE") & F.lower("field").isin(names or FORBIDDEN_FIELDS)).select("query_id", "field").distinct()
+
+
+def prove_subject_count(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """query_id, proven: exactly one output counts the declared subject."""
+    own = refs.where("kind = 'AGGREGATE_VALUE'").join(queries.select("query_id", "subject"), "query_id").where(F.concat_ws(".", "dataset", "field") == F.col("subject"))
+    return own.groupBy("query_id").agg((F.count("*") == 1).alias("proven"))
+
+
+def effective_outcome(decisions: DataFrame, checks: DataFrame) -> DataFrame:
+    """query_id, outcome: a rewritten query is allowed if all its checks passed, and blocked if one failed or none was made."""
+    per = checks.groupBy("query_id").agg(F.bool_and("passed").alias("ok"))
+    return decisions.join(per, "query_id", "left").select("query_id", F.when(F.col("decision") != "REWRITE", F.col("decision")).when(F.col("ok"), "ALLOW").otherwise("BLOCK").alias("outcome"))

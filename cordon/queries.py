@@ -332,7 +332,7 @@ def _(t):
     return t.customer.select("c_custkey", fx.hmac_sha256(F.col("c_name"), b"cohort").alias("cohort_hmac"))
 
 
-@query("g7_receipt_idempotency", "SELECT o_custkey AS receipt_id, count(*) AS n_events, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'CONFLICT' WHEN count(*) > 1 THEN 'REPLAY' ELSE 'FIRST' END AS status FROM orders GROUP BY o_custkey")
+@query("g8_idempotency", "SELECT o_custkey AS receipt_id, count(*) AS n_events, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'CONFLICT' WHEN count(*) > 1 THEN 'REPLAY' ELSE 'FIRST' END AS status FROM orders GROUP BY o_custkey")
 def _(t):
     return ledger.idempotency(t.orders.select(F.col("o_custkey").alias("receipt_id"), F.col("o_orderstatus").alias("event_sha256")))
 
@@ -557,3 +557,162 @@ def _(t):
     r = ev.build_receipts(_decided(t), b"receipts")
     changed = r.withColumn("decision", F.when(F.substring_index("receipt_id", "-", -1).cast("long") % 101 == 0, F.lit("CHANGED")).otherwise(F.col("decision")))
     return ev.verify_receipts(changed, b"receipts").select("receipt_id", "fault")
+
+
+# ---- more of C, D, E, G, H, I, J, K, M
+@query("c4_check_joins", "SELECT event_id AS query_id, CASE WHEN event_id % 4 = 0 THEN 'JOIN_KIND' WHEN event_id % 6 = 1 THEN 'USING' ELSE 'NO_CONDITION' END AS join_reason FROM events WHERE event_id % 4 = 0 OR event_id % 6 = 1 OR event_id % 5 = 2")
+def _(t):
+    joins = t.events.select(F.col("event_id").alias("query_id"), F.lit("").alias("side"), F.when(F.col("event_id") % 4 == 0, "CROSS").otherwise("INNER").alias("kind"), (F.col("event_id") % 6 == 1).alias("has_using"), (F.col("event_id") % 5 != 2).alias("has_on"))
+    return policy.check_joins(joins).select("query_id", "join_reason")
+
+
+@query("c12_check_plan", _FACTS + " SELECT query_id, 'THRESHOLD_WITHOUT_SUBJECT' AS violation FROM log JOIN template USING (template) WHERE threshold_subject IS NOT NULL AND query_id % 7 = 0 AND threshold IS NOT NULL")
+def _(t):
+    q, r = _facts(t)
+    broken = q.withColumn("threshold_subject", F.when(F.col("query_id") % 7 != 0, F.col("threshold_subject")))
+    return policy.check_plan(broken, r)
+
+
+_LABELS = "SELECT p_brand AS dataset, p_type AS field, CASE p_size % 3 WHEN 0 THEN 'Quasi-ID' WHEN 1 THEN 'sensitive!' ELSE 'other' END AS label FROM part"
+
+
+@query("d3_label_conflicts", f"""WITH l AS (SELECT dataset, field, CASE label WHEN 'Quasi-ID' THEN 'QUASI_IDENTIFIER' WHEN 'sensitive!' THEN 'SENSITIVE_ATTRIBUTE' END AS category FROM ({_LABELS}))
+SELECT dataset, field, count(DISTINCT category) AS n_categories, CASE count(DISTINCT category) WHEN 1 THEN min(category) WHEN 0 THEN 'UNCLASSIFIED' END AS category FROM l GROUP BY dataset, field""")
+def _(t):
+    t.part.createOrReplaceTempView("part")
+    dictionary = t.spark.createDataFrame([("quasiid", "QUASI_IDENTIFIER"), ("sensitive", "SENSITIVE_ATTRIBUTE")], "label string, category string")
+    return policy.label_conflicts(t.spark.sql(_LABELS), dictionary)
+
+
+@query("d7_reconcile", "SELECT c_custkey AS asset, 'MISSING' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(t):
+    return policy.reconcile(t.orders.select(F.col("o_custkey").alias("asset")).distinct(), t.customer.select(F.col("c_custkey").alias("asset")))
+
+
+@query("d8_duplicate_fields", "SELECT p_brand AS dataset, p_name AS field, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def _(t):
+    return policy.duplicate_fields(t.part.select(F.col("p_brand").alias("dataset"), F.col("p_name").alias("field")))
+
+
+@query("d12_drift", "SELECT user_id AS request_id, count(DISTINCT event_type) AS n_snapshots FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
+def _(t):
+    return policy.drift(t.events.select(F.col("user_id").alias("request_id"), F.col("event_type").alias("snapshot_sha256")))
+
+
+@query("d18_applicability", "SELECT event_id AS claim_id, CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 'FUTURE' WHEN ts + INTERVAL 10 DAY <= TIMESTAMP '2024-01-20' THEN 'EXPIRED' ELSE 'APPLICABLE' END AS state FROM events")
+def _(t):
+    claims = t.events.select(F.col("event_id").alias("claim_id"), F.col("ts").alias("observed_at"), (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"))
+    return policy.applicability(claims, F.to_timestamp(F.lit("2024-01-20 00:00:00")).cast(claims.schema["observed_at"].dataType))
+
+
+@query("d21_support_gaps", "SELECT l_orderkey AS claim_id, l_partkey AS missing FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
+def _(t):
+    claims = t.lineitem.groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.collect_set("l_partkey").alias("supports"))
+    return policy.support_gaps(claims, t.part.where("p_size > 5").select(F.col("p_partkey").alias("claim_id")))
+
+
+@query("d23_evidence_root", "SELECT event_type AS snapshot, sha256(string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR)) AS root_sha256 FROM events GROUP BY event_type")
+def _(t):
+    return policy.evidence_root(t.events.select(F.col("event_type").alias("snapshot"), F.col("user_id").cast("string").alias("claim_sha256")))
+
+
+@query("e12_forbidden_outputs", _CTX + " SELECT DISTINCT query_id, field FROM ctx WHERE kind = 'RAW_VALUE' AND lower(field) IN ('customer_id', 'email', 'phone', 'full_name', 'precise_area')")
+def _(t):
+    return policy.forbidden_outputs(_facts(t)[1])
+
+
+@query("e13_prove_subject_count", _CTX + " SELECT query_id, count(*) = 1 AS proven FROM ctx JOIN template USING (template) WHERE kind = 'AGGREGATE_VALUE' AND dataset || '.' || field = subject GROUP BY query_id")
+def _(t):
+    return policy.prove_subject_count(*_facts(t))
+
+
+@query("e15_effective_outcome", _DECIDE + ", o AS (SELECT query_id, CASE decision WHEN 'REWRITE' THEN CASE WHEN expected_effective = 'ALLOW' THEN 'ALLOW' ELSE 'BLOCK' END ELSE decision END AS outcome FROM e) SELECT query_id, outcome FROM o")
+def _(t):
+    d = _decided(t)
+    checks = d.where("decision = 'REWRITE'").select("query_id", (F.col("expected_effective") == "ALLOW").alias("passed"))
+    return policy.effective_outcome(d.select("query_id", "decision"), checks)
+
+
+@query("g19_verify_claims", "SELECT event_id AS record_id, CASE WHEN event_id % 11 = 0 THEN 'MISSING' WHEN event_id % 13 = 0 THEN 'DUPLICATE' ELSE 'MISMATCH' END AS fault FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0")
+def _(t):
+    r = t.events.select(F.col("event_id").alias("record_id"), F.concat(F.lit("c"), "event_id").alias("content_sha256"))
+    once = r.where("record_id % 11 <> 0").select("record_id", F.when(F.col("record_id") % 17 == 0, "x").otherwise(F.col("content_sha256")).alias("commitment_sha256"))
+    return ledger.verify_claims(r, once.unionByName(once.where("record_id % 13 = 0")))
+
+
+@query("g23_match_commitments", "SELECT c_custkey AS receipt_id, coalesce(n = 1 AND s = c_mktsegment, false) AS matched FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_orderstatus) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def _(t):
+    return ledger.match_commitments(t.customer.select(F.col("c_custkey").alias("receipt_id"), F.col("c_mktsegment").alias("content_sha256")), t.orders.select(F.col("o_custkey").alias("receipt_id"), F.col("o_orderstatus").alias("content_sha256")))
+
+
+@query("h1_atoms", _REL + """ SELECT scope, query_id AS release_id, 'COLUMN_' || coalesce(kind, 'REFERENCE') AS atom_kind, dataset || '.' || field AS a, category AS b FROM rel JOIN ctx USING (query_id) WHERE category IS NOT NULL""")
+def _(t):
+    return history.atoms(_releases(t)).where("atom_kind like 'COLUMN_%'")
+
+
+@query("h10_two_snapshots", "SELECT user_id AS scope, event_type AS family, min(event_id) AS witness, CASE WHEN count(DISTINCT CASE WHEN event_id % 9 > 0 THEN date_trunc('week', ts) END) >= 2 THEN 'MATCHED' ELSE 'INDETERMINATE' END AS result FROM events GROUP BY 1, 2 HAVING count(DISTINCT CASE WHEN event_id % 9 > 0 THEN date_trunc('week', ts) END) >= 2 OR bool_or(event_id % 9 = 0)")
+def _(t):
+    return history.f5(t.events.select(F.col("user_id").alias("scope"), F.col("event_type").alias("family"), F.when(F.col("event_id") % 9 > 0, F.date_trunc("week", "ts").cast("string")).alias("snapshot"), F.col("event_id").alias("release_id")))
+
+
+@query("h12_evaluate_state", _F12 + """, f3 AS (SELECT DISTINCT scope FROM (SELECT scope, query_id, bool_or(category = 'SENSITIVE_ATTRIBUTE') AS s, any_value(is_grouped) AS g, any_value(threshold) AS k FROM rel JOIN ctx USING (query_id) GROUP BY scope, query_id) WHERE s AND g AND coalesce(k, 0) < 20),
+x AS (SELECT scope, query_id, category FROM rel JOIN ctx USING (query_id) WHERE kind IS NOT NULL AND kind <> 'AGGREGATE_VALUE'), f4 AS (SELECT DISTINCT i.scope FROM x i JOIN x s ON i.scope = s.scope AND i.query_id <> s.query_id WHERE i.category = 'STABLE_PSEUDONYM' AND s.category = 'SENSITIVE_ATTRIBUTE'),
+p AS (SELECT scope, 'F2' AS f FROM g WHERE p AND s UNION SELECT scope, 'F3' FROM f3 UNION SELECT scope, 'F4' FROM f4) SELECT scope, string_agg(DISTINCT f, ',' ORDER BY f) AS forbidden FROM p GROUP BY scope""")
+def _(t):
+    return history.evaluate_state(history.atoms(_releases(t)))
+
+
+@query("h18_verify_paths", "SELECT user_id AS path, event_id AS step FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NOT NULL AND event_id % 10 = 0")
+def _(t):
+    from pyspark.sql import Window
+
+    steps = t.events.select(F.col("user_id").alias("path"), F.col("event_id").alias("step"), F.concat(F.lit("s"), "event_id").alias("post_state"))
+    before = F.lag("post_state").over(Window.partitionBy("path").orderBy("step"))
+    return history.verify_paths(steps.withColumn("pre_state", F.when(F.col("step") % 10 == 0, "x").otherwise(before)))
+
+
+@query("i8_repair_funnel", "SELECT l_linenumber % 4 AS stage, count(*) AS n, sum(count(*)) OVER (ORDER BY l_linenumber % 4 DESC)::BIGINT AS n_reached FROM lineitem GROUP BY 1")
+def _(t):
+    return ev.repair_funnel(t.lineitem.select((F.col("l_linenumber") % 4).alias("stage")))
+
+
+@query("j6_visible", _DECIDE + " SELECT 'r-' || query_id AS receipt_id FROM e WHERE principal = 3")
+def _(t):
+    return ev.build_receipts(_decided(t), b"receipts").where("principal = 3").select("receipt_id")
+
+
+@query("k6_replays", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 THEN 'REPLAY' WHEN ts > first_ts + INTERVAL 5 SECOND THEN 'EXPIRED' ELSE 'OK' END AS status FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events)")
+def _(t):
+    from pyspark.sql import Window
+
+    from .streaming.traffic import replays
+
+    issued = F.min("ts").over(Window.partitionBy("user_id"))
+    return replays(t.events.select("event_id", F.col("user_id").alias("capability"), "ts", issued.alias("issued")), 5).select("event_id", "status")
+
+
+@query("k9_lifecycle_stream", f"SELECT event_id AS record_id, {_STATE} AS state FROM events WHERE event_id % 5 > 0")
+def _(t):
+    from .streaming.traffic import drain, lifecycle_stream
+
+    def moves(s: DataFrame) -> DataFrame:
+        both = s.select(F.col("event_id").alias("record_id"), F.expr("filter(array(if(event_id % 5 > 0, struct(event_id * 2 as transition_id, 'PENDING' as state), null), case event_id % 5 when 1 then struct(event_id * 2 + 1 as transition_id, 'RELEASED' as state) when 2 then struct(event_id * 2 + 1 as transition_id, 'ABORTED' as state) when 4 then struct(event_id * 2 + 1 as transition_id, 'PENDING' as state) end), x -> x is not null)").alias("m"))
+        return lifecycle_stream(both.select("record_id", F.explode("m").alias("x")).select("record_id", "x.transition_id", "x.state"))
+
+    return drain(moves, t.events, f"{t.sf_dir}/events.parquet*")
+
+
+@query("m9_ablation", _DECIDE + " SELECT count(*) AS n_queries, count(*) FILTER (decision = 'BLOCK' AND upstream IS NULL AND NOT nd AND NOT nc) AS n_changed FROM e")
+def _(t):
+    q, r = _facts(t)
+    cat, lin = facts.small(t.spark, "catalog"), facts.small(t.spark, "lineage")
+    without = policy.decide(q, r.withColumn("kind", F.lit(None).cast("string")), cat, lin).select("query_id", F.col("decision").alias("other"))
+    return policy.decide(q, r, cat, lin).join(without, "query_id").agg(F.count("*").alias("n_queries"), F.count_if(F.col("decision") != F.col("other")).alias("n_changed"))
+
+
+@query("m10_governance_variants", _DECIDE + " SELECT 'complete' AS variant, count(*) FILTER (decision = 'BLOCK') AS n_blocked FROM e UNION ALL SELECT 'missing_churn', count(*) FILTER (decision = 'BLOCK' OR template IN (SELECT template FROM template_ref WHERE field = 'churn_score')) FROM e")
+def _(t):
+    q, r = _facts(t)
+    cat, lin = facts.small(t.spark, "catalog"), facts.small(t.spark, "lineage")
+    one = lambda name, c: policy.decide(q, r, c, lin).agg(F.count_if(F.col("decision") == "BLOCK").alias("n_blocked")).select(F.lit(name).alias("variant"), "n_blocked")
+    return one("complete", cat).unionByName(one("missing_churn", cat.where("field <> 'churn_score'")))

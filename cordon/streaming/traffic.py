@@ -48,6 +48,26 @@ def budget_stream(stream: DataFrame, maximum: int, window_s: int) -> DataFrame:
     return stream.groupBy("scope").applyInPandasWithState(step, "record_id long, scope long, allowed boolean, rule string", "kept string", "append", GroupStateTimeout.NoTimeout)
 
 
+def replays(uses: DataFrame, ttl_s: int) -> DataFrame:
+    """Adds status to uses (event_id, capability, ts, issued): REPLAY after the first use, EXPIRED after ttl_s, else OK."""
+    n = F.row_number().over(Window.partitionBy("capability").orderBy("ts", "event_id"))
+    late = F.col("ts") > F.col("issued") + F.make_dt_interval(secs=F.lit(ttl_s))
+    return uses.withColumn("status", F.when(n > 1, "REPLAY").when(late, "EXPIRED").otherwise("OK"))
+
+
+def lifecycle_stream(transitions: DataFrame) -> DataFrame:
+    """State of each record after each micro-batch's transitions (record_id, transition_id, state); an illegal move makes it INVALID."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else ""
+        for move in pd.concat(list(frames)).sort_values("transition_id").state:
+            now = {("", "PENDING"): "PENDING", ("PENDING", "RELEASED"): "RELEASED", ("PENDING", "ABORTED"): "ABORTED"}.get((now, move), "INVALID")
+        state.update((now,))
+        yield pd.DataFrame({"record_id": [key[0]], "state": [now]})
+
+    return transitions.groupBy("record_id").applyInPandasWithState(step, "record_id long, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(transform: Callable[[DataFrame], DataFrame], like: DataFrame, path: str) -> DataFrame:
     """Run a stream over the files that are at `path` now, to its end, and return what it wrote."""
     spark = like.sparkSession
