@@ -98,3 +98,20 @@ def repair_funnel(evaluated: DataFrame) -> DataFrame:
     """stage (the last that a candidate reached), n, n_reached (candidates that reached it). The stages are a fixed few."""
     per = evaluated.groupBy("stage").agg(F.count("*").alias("n"))
     return per.withColumn("n_reached", F.sum("n").over(Window.orderBy(F.desc("stage"))))
+
+
+def mutation_report(results: DataFrame) -> DataFrame:
+    """family, n, n_blocked, n_executed of mutation outcomes."""
+    return results.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "BLOCK").alias("n_blocked"), F.count_if(F.col("decision") != "BLOCK").alias("n_executed"))
+
+
+def check_receipts(receipts: DataFrame) -> DataFrame:
+    """Receipts that break a rule: REWRITE_WITHOUT_TEXT, RUN_NOT_ALLOWED or RUN_WITH_FAILED_CHECK."""
+    fault = F.when((F.col("decision") == "REWRITE") & F.col("safe_text").isNull(), "REWRITE_WITHOUT_TEXT").when(F.col("executed") & (F.col("final_decision") != "ALLOW"), "RUN_NOT_ALLOWED").when(F.col("executed") & ~F.forall("checks", lambda c: c), "RUN_WITH_FAILED_CHECK")
+    return receipts.withColumn("fault", fault).where("fault is not null").select("receipt_id", "fault")
+
+
+def candidate_cost(cands: DataFrame, costs: DataFrame) -> DataFrame:
+    """Adds goal_cost, info_cost and change_cost of candidates (query_id, candidate, actions array) from a table of action costs."""
+    each = cands.select("query_id", "candidate", F.explode("actions").alias("action")).join(costs, "action")
+    return each.groupBy("query_id", "candidate").agg(*(F.sum(c).alias(c) for c in ("goal_cost", "info_cost", "change_cost")))

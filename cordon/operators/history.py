@@ -98,3 +98,24 @@ def verify_paths(steps: DataFrame) -> DataFrame:
     """Steps (path, step) whose pre_state isn't the post_state of the step before."""
     before = F.lag("post_state").over(Window.partitionBy("path").orderBy("step"))
     return steps.withColumn("_before", before).where("_before is not null and not (_before <=> pre_state)").select("path", "step")
+
+
+def what_if(states: DataFrame, variants: DataFrame, depth: int = 3, keep=lambda df: df.checkpoint()) -> DataFrame:
+    """First forbidden state that each scope can reach: scope, depth (0: it is there already), path (the smallest).
+
+    states: scope, mask (bits of the categories shown). variants: scope, action, bit, that a
+    further release would show. Forbidden: an identifier (bits 1, 2) with a sensitive attribute
+    (bit 8). Breadth first over all scopes at once; a scope leaves the frontier when it has a
+    witness, and a state is entered once, by its smallest path. Scopes without one aren't returned.
+    """
+    bad = (F.col("mask").bitwiseAND(3) != 0) & (F.col("mask").bitwiseAND(8) != 0)
+    now = keep(states.groupBy("scope").agg(F.bit_or("mask").alias("mask")).withColumn("path", F.lit("")))
+    seen = now.select("scope", "mask")
+    out = now.where(bad).select("scope", F.lit(0).alias("depth"), "path")
+    for d in range(1, depth + 1):
+        step = now.where(~bad).join(variants, "scope").select("scope", F.col("mask").bitwiseOR(F.col("bit")).alias("mask"), F.concat_ws(">", F.when(F.col("path") != "", F.col("path")), F.col("action")).alias("path"))
+        fresh = step.groupBy("scope", "mask").agg(F.min("path").alias("path")).join(seen, ["scope", "mask"], "left_anti")
+        now = keep(fresh.join(out.select("scope"), "scope", "left_anti"))
+        seen = seen.unionByName(now.select("scope", "mask"))
+        out = keep(out.unionByName(now.where(bad).groupBy("scope").agg(F.min("path").alias("path")).select("scope", F.lit(d).alias("depth"), "path")))
+    return out

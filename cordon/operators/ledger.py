@@ -102,3 +102,15 @@ def match_commitments(commitments: DataFrame, records: DataFrame) -> DataFrame:
     """receipt_id, matched: exactly one record of the receipt, with an equal digest."""
     r = records.groupBy("receipt_id").agg(F.count("*").alias("n"), F.min("content_sha256").alias("own"))
     return commitments.join(r, "receipt_id", "left").select("receipt_id", F.coalesce((F.col("n") == 1) & F.col("own").eqNullSafe(F.col("content_sha256")), F.lit(False)).alias("matched"))
+
+
+def scope_keys(events: DataFrame) -> DataFrame:
+    """Adds namespace_sha256 (principal and purpose) and scope_sha256 (namespace and subject domain); credential and session don't count."""
+    space = F.sha2(F.concat_ws("|", "principal", "purpose"), 256)
+    return events.withColumn("namespace_sha256", space).withColumn("scope_sha256", F.sha2(F.concat_ws("|", space, "subject_domain"), 256))
+
+
+def verify_index(records: DataFrame) -> DataFrame:
+    """Records whose index columns (scope, record_id) differ from the JSON payload's."""
+    p = F.from_json("payload_json", "scope bigint, record_id bigint")
+    return records.where(~(p["scope"].eqNullSafe(F.col("scope")) & p["record_id"].eqNullSafe(F.col("record_id")))).select("record_id")

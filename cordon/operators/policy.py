@@ -222,3 +222,68 @@ def effective_outcome(decisions: DataFrame, checks: DataFrame) -> DataFrame:
     """query_id, outcome: a rewritten query is allowed if all its checks passed, and blocked if one failed or none was made."""
     per = checks.groupBy("query_id").agg(F.bool_and("passed").alias("ok"))
     return decisions.join(per, "query_id", "left").select("query_id", F.when(F.col("decision") != "REWRITE", F.col("decision")).when(F.col("ok"), "ALLOW").otherwise("BLOCK").alias("outcome"))
+
+
+def plan_budget(plan_node: DataFrame, max_nodes: int = 2_000, max_depth: int = 64) -> DataFrame:
+    """query_id, n_nodes, depth, over_budget; depth is max_depth + 1 where it is larger or nodes form a cycle.
+
+    Pointer jumping: each round doubles the ancestors a node has passed, so 64 levels take seven joins.
+    """
+    # d counts the node and its ancestors below `up`, the next one to be counted
+    now = plan_node.select("query_id", "node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("d"))
+    reach = 1
+    while reach <= max_depth:
+        above = now.select("query_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"))
+        now = now.join(above, ["query_id", "up"], "left").select("query_id", "node_id", F.col("next").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
+        reach *= 2
+    depth = F.least(F.max(F.when(F.col("up").isNotNull(), max_depth + 1).otherwise(F.col("d"))), F.lit(max_depth + 1))
+    per = now.groupBy("query_id").agg(F.count("*").alias("n_nodes"), depth.alias("depth"))
+    return per.withColumn("over_budget", (F.col("n_nodes") > max_nodes) | (F.col("depth") > max_depth))
+
+
+def resolve_derived(projections: DataFrame, max_depth: int = 16) -> DataFrame:
+    """Physical sources of each query's root outputs: query_id, output_name, dataset, field.
+
+    projections: query_id, scope_id (0 is the root), output_name, dataset or src_scope, src_column.
+    A reference to an output that isn't there, or that doesn't end within max_depth scopes (a
+    cycle), becomes dataset @unresolved.
+    """
+    now = projections.where("scope_id = 0").select("query_id", F.col("output_name").alias("root_output"), "dataset", "src_scope", "src_column")
+    lower = projections.select("query_id", F.col("scope_id").alias("src_scope"), F.col("output_name").alias("src_column"), F.col("dataset").alias("d2"), F.col("src_scope").alias("s2"), F.col("src_column").alias("c2"), F.lit(True).alias("there"))
+    for _ in range(max_depth):
+        now = now.join(lower, ["query_id", "src_scope", "src_column"], "left").select(
+            "query_id", "root_output", F.when(F.col("src_scope").isNull(), F.col("dataset")).when(F.col("there").isNull(), "@unresolved").otherwise(F.col("d2")).alias("dataset"),
+            F.when(F.col("src_scope").isNotNull() & F.col("there").isNotNull(), F.col("s2")).alias("src_scope"), F.when(F.col("src_scope").isNotNull() & F.col("there").isNotNull(), F.col("c2")).otherwise(F.col("src_column")).alias("src_column"))
+    return now.select("query_id", F.col("root_output").alias("output_name"), F.when(F.col("src_scope").isNotNull(), "@unresolved").otherwise(F.col("dataset")).alias("dataset"), F.col("src_column").alias("field")).distinct()
+
+
+def bind_unqualified(refs: DataFrame, sources: DataFrame) -> DataFrame:
+    """query_id, field, dataset, reason: an unqualified column belongs to the only source of its query, else AMBIGUOUS_COLUMN."""
+    per = sources.groupBy("query_id").agg(F.count_distinct("dataset").alias("n"), F.min("dataset").alias("d"))
+    return refs.join(per, "query_id", "left").select("query_id", "field", F.when(F.col("n") == 1, F.col("d")).alias("dataset"), F.when(F.coalesce(F.col("n"), F.lit(0)) != 1, "AMBIGUOUS_COLUMN").alias("reason"))
+
+
+def admissible(claims: DataFrame, rules: DataFrame) -> DataFrame:
+    """Claims whose (source, derivation) a rule allows; those of agents and fuzzy derivations never are."""
+    return claims.where("source <> 'agent' and derivation <> 'fuzzy'").join(rules, ["source", "derivation"], "left_semi")
+
+
+def replay_diff(candidate: DataFrame, expected: DataFrame) -> DataFrame:
+    """claim_id and fault of a candidate claim set against the expected one: MISSING, UNEXPECTED, DUPLICATE or CHANGED."""
+    c = candidate.groupBy("claim_id").agg(F.count("*").alias("n"), F.min("content_sha256").alias("got"))
+    both = c.join(expected.select("claim_id", F.col("content_sha256").alias("want")), "claim_id", "full_outer")
+    fault = F.when(F.col("n").isNull(), "MISSING").when(F.col("want").isNull(), "UNEXPECTED").when(F.col("n") > 1, "DUPLICATE").when(F.col("got") != F.col("want"), "CHANGED")
+    return both.select("claim_id", fault.alias("fault")).where("fault is not null")
+
+
+def merge_context(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One context row for each (query_id, dataset, field); the second wins."""
+    both = first.withColumn("o", F.lit(1)).unionByName(second.withColumn("o", F.lit(2)))
+    return both.groupBy("query_id", "dataset", "field").agg(F.max_by("category", "o").alias("category"))
+
+
+def governed_columns(context: DataFrame) -> DataFrame:
+    """query_id, columns by category (sorted keys), rejected: some column is unclassified."""
+    key = F.concat_ws(".", "dataset", "field")
+    own = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("category") == c, key))))
+    return context.groupBy("query_id").agg(own("QUASI_IDENTIFIER").alias("quasi"), own("SENSITIVE_ATTRIBUTE").alias("sensitive"), _any(F.col("category").isNull() | (F.col("category") == "UNCLASSIFIED")).alias("rejected"))

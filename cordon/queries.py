@@ -716,3 +716,124 @@ def _(t):
     cat, lin = facts.small(t.spark, "catalog"), facts.small(t.spark, "lineage")
     one = lambda name, c: policy.decide(q, r, c, lin).agg(F.count_if(F.col("decision") == "BLOCK").alias("n_blocked")).select(F.lit(name).alias("variant"), "n_blocked")
     return one("complete", cat).unionByName(one("missing_churn", cat.where("field <> 'churn_score'")))
+
+
+@query("b3_plan_budget", "SELECT l_orderkey AS query_id, count(*) AS n_nodes, least(count(*), 5) AS depth, count(*) > 4 AS over_budget FROM (SELECT DISTINCT l_orderkey, n FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)) GROUP BY l_orderkey")
+def _(t):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    nodes = t.lineitem.select(F.col("l_orderkey").alias("query_id"), n.alias("node_id")).withColumn("parent_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1))
+    return policy.plan_budget(nodes, 4, 4)
+
+
+@query("c1_resolve_derived", "SELECT o_orderkey AS query_id, 'out' AS output_name, CASE o_orderkey % 3 WHEN 0 THEN 'orders' WHEN 1 THEN '@unresolved' ELSE '@unresolved' END AS dataset, CASE o_orderkey % 3 WHEN 0 THEN 'o_totalprice' WHEN 1 THEN 'gone' ELSE 'loop' END AS field FROM orders")
+def _(t):
+    row = "struct(cast({0} as int) as scope_id, '{1}' as output_name, cast({2} as string) as dataset, cast({3} as int) as src_scope, '{4}' as src_column)"
+    forms = {0: [(0, "out", "null", 1, "v"), (1, "v", "'orders'", "null", "o_totalprice")], 1: [(0, "out", "null", 1, "gone")], 2: [(0, "out", "null", 1, "loop"), (1, "loop", "null", 1, "loop")]}
+    cases = " ".join(f"when {k} then array({', '.join(row.format(*x) for x in v)})" for k, v in forms.items())
+    return policy.resolve_derived(t.orders.select(F.col("o_orderkey").alias("query_id"), F.explode(F.expr(f"case o_orderkey % 3 {cases} end")).alias("x")).select("query_id", "x.*"), 4)
+
+
+@query("c2_bind_unqualified", "SELECT l_orderkey AS query_id, 'field' AS field, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS dataset, CASE WHEN count(DISTINCT l_returnflag) <> 1 THEN 'AMBIGUOUS_COLUMN' END AS reason FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    sources = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("dataset"))
+    return policy.bind_unqualified(sources.select("query_id", F.lit("field").alias("field")).distinct(), sources)
+
+
+@query("d16_admissible", "SELECT event_id AS claim_id FROM events WHERE event_type IN ('view', 'click') AND event_id % 3 <> 0 AND event_type <> 'click'")
+def _(t):
+    claims = t.events.select(F.col("event_id").alias("claim_id"), F.when(F.col("event_type") == "click", "agent").otherwise(F.col("event_type")).alias("source"), F.when(F.col("event_id") % 3 == 0, "fuzzy").otherwise("exact").alias("derivation"))
+    rules = t.spark.createDataFrame([("view", "exact"), ("view", "fuzzy"), ("agent", "exact")], "source string, derivation string")
+    return policy.admissible(claims, rules).select("claim_id")
+
+
+@query("d19_replay_diff", "SELECT event_id AS claim_id, CASE WHEN event_id % 5 = 0 THEN 'MISSING' WHEN event_id % 7 = 0 THEN 'DUPLICATE' ELSE 'CHANGED' END AS fault FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0")
+def _(t):
+    want = t.events.select(F.col("event_id").alias("claim_id"), F.concat(F.lit("c"), "event_id").alias("content_sha256"))
+    got = want.where("claim_id % 5 <> 0").withColumn("content_sha256", F.when(F.col("claim_id") % 11 == 0, "x").otherwise(F.col("content_sha256")))
+    return policy.replay_diff(got.unionByName(got.where("claim_id % 7 = 0")), want)
+
+
+@query("e16_merge_context", "SELECT l.query_id, dataset, field, CASE WHEN query_id % 2 = 0 THEN 'UNCLASSIFIED' ELSE category END AS category FROM (" + _CTX + " SELECT DISTINCT query_id, dataset, field, category FROM ctx) l")
+def _(t):
+    first = policy.resolve_context(_facts(t)[1], facts.small(t.spark, "catalog")).select("query_id", "dataset", "field", "category").distinct()
+    return policy.merge_context(first, first.where("query_id % 2 = 0").withColumn("category", F.lit("UNCLASSIFIED")))
+
+
+@query("g1_scope_keys", "SELECT event_id AS record_id, sha256(user_id || '|' || event_type) AS namespace_sha256, sha256(sha256(user_id || '|' || event_type) || '|customers') AS scope_sha256 FROM events")
+def _(t):
+    e = t.events.select(F.col("event_id").alias("record_id"), F.col("user_id").cast("string").alias("principal"), F.col("event_type").alias("purpose"), F.lit("customers").alias("subject_domain"))
+    return ledger.scope_keys(e).select("record_id", "namespace_sha256", "scope_sha256")
+
+
+@query("g4_governed_columns", _CTX + """ SELECT query_id, coalesce(string_agg(DISTINCT dataset || '.' || field, ',' ORDER BY dataset || '.' || field) FILTER (category = 'QUASI_IDENTIFIER'), '') AS quasi,
+coalesce(string_agg(DISTINCT dataset || '.' || field, ',' ORDER BY dataset || '.' || field) FILTER (category = 'SENSITIVE_ATTRIBUTE'), '') AS sensitive, bool_or(category IS NULL) AS rejected FROM ctx GROUP BY query_id""")
+def _(t):
+    return policy.governed_columns(policy.resolve_context(_facts(t)[1], facts.small(t.spark, "catalog")))
+
+
+@query("g17_verify_index", "SELECT event_id AS record_id FROM events WHERE event_id % 23 = 0")
+def _(t):
+    r = t.events.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"))
+    return ledger.verify_index(r.withColumn("payload_json", F.to_json(F.struct((F.col("scope") + (F.col("record_id") % 23 == 0).cast("long")).alias("scope"), "record_id"))))
+
+
+@query("h5_fixed_point", """WITH f AS (SELECT DISTINCT user_id AS scope, event_type AS fact FROM events WHERE event_id % 40 < 9), e AS (SELECT scope FROM f WHERE fact = 'view' INTERSECT SELECT scope FROM f WHERE fact = 'click'), b AS (SELECT scope FROM e INTERSECT SELECT scope FROM f WHERE fact = 'purchase')
+SELECT * FROM f UNION ALL SELECT scope, 'engaged' FROM e UNION ALL SELECT scope, 'buyer' FROM b""")
+def _(t):
+    from .streaming.traffic import _shared
+
+    base, n = _shared(t.spark), iter(range(1_000))
+
+    def keep(df: DataFrame) -> DataFrame:
+        to = f"{base}/{next(n)}"
+        df.write.parquet(to)
+        return t.spark.read.schema(df.schema).parquet(to)
+
+    rules = t.spark.createDataFrame([(1, "view", "engaged"), (1, "click", "engaged"), (2, "engaged", "buyer"), (2, "purchase", "buyer")], "rule_id int, premise string, conclusion string")
+    return history.fixed_point(t.events.where("event_id % 40 < 9").select(F.col("user_id").alias("scope"), F.col("event_type").alias("fact")), rules, keep)
+
+
+_BITS = "CASE event_type WHEN 'view' THEN 16 WHEN 'click' THEN 4 WHEN 'error' THEN 16 WHEN 'signup' THEN 2 ELSE 8 END"
+
+
+@query("h17_what_if", f"""WITH RECURSIVE s AS (SELECT user_id AS scope, bit_or({_BITS}) AS mask FROM events WHERE event_id % 50 = 0 GROUP BY 1), v AS (SELECT DISTINCT user_id AS scope, 'add-' || event_type AS action, {_BITS} AS bit FROM events WHERE event_id % 50 IN (1, 2, 3)),
+w AS (SELECT scope, mask, 0 AS depth, '' AS path FROM s UNION ALL SELECT w.scope, w.mask | v.bit, w.depth + 1, CASE WHEN w.path = '' THEN v.action ELSE w.path || '>' || v.action END FROM w JOIN v ON v.scope = w.scope WHERE w.depth < 3 AND NOT (w.mask & 3 <> 0 AND w.mask & 8 <> 0) AND (w.mask | v.bit) <> w.mask)
+SELECT scope, depth, min(path) AS path FROM w JOIN (SELECT scope, min(depth) AS depth FROM w WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope) m USING (scope, depth) WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope, depth""")
+def _(t):
+    from .streaming.traffic import _shared
+
+    base, n = _shared(t.spark), iter(range(1_000))
+
+    def keep(df: DataFrame) -> DataFrame:
+        to = f"{base}/{next(n)}"
+        df.write.parquet(to)
+        return t.spark.read.schema(df.schema).parquet(to)
+
+    e = t.events.withColumn("bit", F.expr(_BITS))
+    states = e.where("event_id % 50 = 0").select(F.col("user_id").alias("scope"), F.col("bit").alias("mask"))
+    variants = e.where("event_id % 50 in (1, 2, 3)").select(F.col("user_id").alias("scope"), F.concat(F.lit("add-"), "event_type").alias("action"), "bit").distinct()
+    return history.what_if(states, variants, 3, keep)
+
+
+@query("j5_check_receipts", "SELECT event_id AS receipt_id, CASE WHEN event_id % 3 = 1 AND event_id % 5 = 0 THEN 'REWRITE_WITHOUT_TEXT' WHEN event_id % 2 = 0 AND event_id % 7 = 0 THEN 'RUN_NOT_ALLOWED' ELSE 'RUN_WITH_FAILED_CHECK' END AS fault FROM events WHERE (event_id % 3 = 1 AND event_id % 5 = 0) OR (event_id % 2 = 0 AND (event_id % 7 = 0 OR event_id % 11 = 0))")
+def _(t):
+    e = F.col("event_id")
+    r = t.events.select(e.alias("receipt_id"), F.when(e % 3 == 1, "REWRITE").otherwise("ALLOW").alias("decision"), F.when(e % 5 != 0, "text").alias("safe_text"), (e % 2 == 0).alias("executed"), F.when(e % 7 == 0, "BLOCK").otherwise("ALLOW").alias("final_decision"), F.array(F.lit(True), e % 11 != 0).alias("checks"))
+    return ev.check_receipts(r)
+
+
+@query("k7_fresh_stream", f"WITH s AS ({_SNAPS}) SELECT event_id, snapshot_id FROM events JOIN s ON user_id = s.key AND observed_at <= ts AND ts < expires_at WHERE event_type = 'click'")
+def _(t):
+    from .streaming.traffic import drain, fresh_stream
+
+    s = t.events.where("event_type = 'signup'").select(F.col("user_id").alias("key"), F.col("ts").alias("observed_at"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("expires_at"), F.concat(F.lit("s"), "event_id").alias("snapshot_id"))
+    return drain(lambda x: fresh_stream(x.where("event_type = 'click'").select("event_id", F.col("user_id").alias("key"), "ts"), s).select("event_id", "snapshot_id"), t.events, f"{t.sf_dir}/events.parquet*")
+
+
+@query("k8_chain_stream", ORACLES["g15_chain"])
+def _(t):
+    from .streaming.traffic import chain_stream, drain
+
+    return drain(lambda s: chain_stream(s.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("payload"))), t.events, f"{t.sf_dir}/events.parquet*")

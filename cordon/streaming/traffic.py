@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.folds import budget_fold
+from ..operators.folds import GENESIS, budget_fold
 
 
 def concurrency(intervals: DataFrame, key: str = "scope") -> DataFrame:
@@ -68,6 +69,28 @@ def lifecycle_stream(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("record_id").applyInPandasWithState(step, "record_id long, state string", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def chain_stream(stream: DataFrame) -> DataFrame:
+    """Hash chain by scope over a stream of record_id, scope, ts_us, payload; the state is the last number and digest."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, GENESIS)
+        rows = pd.concat(list(frames)).sort_values(["ts_us", "record_id"])
+        out = []
+        for record_id, payload in zip(rows.record_id, rows.payload, strict=True):
+            n, before, last = n + 1, last, hashlib.sha256(f"{last}|{payload}".encode()).hexdigest()
+            out.append((record_id, n, before, last))
+        state.update((n, last))
+        yield pd.DataFrame(out, columns=["record_id", "sequence", "previous_sha256", "content_sha256"])
+
+    return stream.groupBy("scope").applyInPandasWithState(step, "record_id long, sequence long, previous_sha256 string, content_sha256 string", "n long, last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def fresh_stream(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Events of a stream with the static snapshots of their key that hold at their time."""
+    s = snapshots.withColumnRenamed("key", "own")
+    return events.join(s, (F.col("key") == F.col("own")) & (F.col("observed_at") <= F.col("ts")) & (F.col("ts") < F.col("expires_at"))).drop("own")
+
+
 def drain(transform: Callable[[DataFrame], DataFrame], like: DataFrame, path: str) -> DataFrame:
     """Run a stream over the files that are at `path` now, to its end, and return what it wrote."""
     spark = like.sparkSession
