@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = roots if found.isEmpty() else again()
         found = compared(_apart(rooted(open_, roots), pool, regs, ngram, percent, scratch))
         roots = roots if found.isEmpty() else again()
+    scratch.only(sigs, roots)
     out = sigs.join(roots, sigs.id == roots.node, "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 

@@ -29,7 +29,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/cordon/{label}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._kept = 0, []
         path = self._hadoop(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
@@ -43,10 +43,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         out._cordon_path = to
+        self._kept.append(out)
         return out
 
+    def only(self, *tables: DataFrame) -> None:
+        """Delete every table but these, once no lazy step reads the others."""
+        self.drop(*(x for x in self._kept if not any(x is t for t in tables)))
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in tables:
             path = self._hadoop(df._cordon_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._kept = [x for x in self._kept if not any(x is t for t in tables)]
