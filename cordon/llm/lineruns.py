@@ -136,7 +136,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     key, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string"))
     runs = repeated_runs(docs.select(key.alias("id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text")), min_words, scratch)
     lists = scratch.keep(runs.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "length")).alias("_runs")))
-    return docs.withColumns({"_id": key, "_mark": mark}).join(lists.withColumnsRenamed({"id": "_id", "mark": "_mark"}), ["_id", "_mark"], "left")
+    scratch.only(lists)
+    return docs.withColumns({"_id": key, "_mark": mark}).join(lists.withColumnsRenamed({"id": "_id", "mark": "_mark"}).hint("merge"), ["_id", "_mark"], "left")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30) -> DataFrame:
