@@ -26,7 +26,7 @@ from .textkit import SpanHash, U, flatten, mix, slices
 
 GRAM = 24
 #: Phrases a task holds before it sends them on; equal ones among them are sent once.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 LAST = (1 << 63) - 1
 # place: first byte of the first window (32 bits), hash of the text (16), windows (7), trigger's distance (7), already known to be removed (1)
 ROW = "gram long, phrase long, id long, place long"
