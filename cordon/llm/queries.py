@@ -15,6 +15,7 @@ from .language import identify
 from .lineruns import line_report
 from .minhash import near_duplicates
 from .oracle_quality import QUALITY
+from .oracle_text import DECONTAMINATION, NEAR_DUPLICATES
 from .resample import resample
 from .substring import remove_repeats
 from .toxicity import classify
@@ -36,7 +37,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside occurrences of 13-word benchmark phrases."""
-    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY, "op6_licences": licences.oracle()}
+    return {"op1_minhash": NEAR_DUPLICATES, "op2_quality_rules": QUALITY, "op3_decontamination": DECONTAMINATION, "op6_licences": licences.oracle()}

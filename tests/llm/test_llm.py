@@ -121,12 +121,13 @@ def test_components_of_a_chain(spark):
     assert out == {k: 0 for k in range(21)} | {30: 30, 31: 30}
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op6_licences"])
-def test_native_queries_equal_sql(spark, name):
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_queries_equal_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("needs the driver's tables")
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, expected = q.queries()[name](spark, SF).toPandas(), c.sql(q.oracle_sql()[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(expected.columns)
