@@ -817,6 +817,44 @@ def _(t):
     return history.what_if(states, variants, 3, keep)
 
 
+def _keeper(t: Tables) -> Callable[[DataFrame], DataFrame]:
+    from .streaming.traffic import _shared
+
+    base, n = _shared(t.spark), iter(range(1_000))
+
+    def keep(df: DataFrame) -> DataFrame:
+        to = f"{base}/{next(n)}"
+        df.write.parquet(to)
+        return t.spark.read.schema(df.schema).parquet(to)
+
+    return keep
+
+
+_DAYS = "SELECT user_id, user_id || '|' || strftime(ts, '%Y-%m-%d') AS scope, event_type FROM events"
+
+
+def _days(t: Tables) -> DataFrame:
+    return t.events.select("user_id", F.concat_ws("|", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("scope"), "event_type")
+
+
+# Every event is a fact of its user's day.
+@query("h5_fixed_point_all", f"""WITH f AS (SELECT DISTINCT scope, event_type AS fact FROM ({_DAYS})), e AS (SELECT scope FROM f WHERE fact = 'view' INTERSECT SELECT scope FROM f WHERE fact = 'click'), b AS (SELECT scope FROM e INTERSECT SELECT scope FROM f WHERE fact = 'purchase')
+SELECT * FROM f UNION ALL SELECT scope, 'engaged' FROM e UNION ALL SELECT scope, 'buyer' FROM b""")
+def _(t):
+    rules = t.spark.createDataFrame([(1, "view", "engaged"), (1, "click", "engaged"), (2, "engaged", "buyer"), (2, "purchase", "buyer")], "rule_id int, premise string, conclusion string")
+    return history.fixed_point(_days(t).select("scope", F.col("event_type").alias("fact")), rules, _keeper(t))
+
+
+# A state is all that a user's day showed; its variants are all that the user ever showed.
+@query("h17_what_if_all", f"""WITH RECURSIVE d AS ({_DAYS}), s AS (SELECT user_id, scope, bit_or({_BITS}) AS mask FROM d GROUP BY ALL), v AS (SELECT DISTINCT user_id, 'add-' || event_type AS action, {_BITS} AS bit FROM d),
+w AS (SELECT user_id, scope, mask, 0 AS depth, '' AS path FROM s UNION ALL SELECT w.user_id, w.scope, w.mask | v.bit, w.depth + 1, CASE WHEN w.path = '' THEN v.action ELSE w.path || '>' || v.action END FROM w JOIN v ON v.user_id = w.user_id WHERE w.depth < 3 AND NOT (w.mask & 3 <> 0 AND w.mask & 8 <> 0) AND (w.mask | v.bit) <> w.mask)
+SELECT scope, depth, min(path) AS path FROM w JOIN (SELECT scope, min(depth) AS depth FROM w WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope) m USING (scope, depth) WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope, depth""")
+def _(t):
+    e = _days(t).withColumn("bit", F.expr(_BITS))
+    actions = e.select("user_id", F.concat(F.lit("add-"), "event_type").alias("action"), "bit").distinct()
+    return history.what_if(e.select("scope", F.col("bit").alias("mask")), e.select("user_id", "scope").distinct().join(actions, "user_id").drop("user_id"), 3, _keeper(t))
+
+
 @query("j5_check_receipts", "SELECT event_id AS receipt_id, CASE WHEN event_id % 3 = 1 AND event_id % 5 = 0 THEN 'REWRITE_WITHOUT_TEXT' WHEN event_id % 2 = 0 AND event_id % 7 = 0 THEN 'RUN_NOT_ALLOWED' ELSE 'RUN_WITH_FAILED_CHECK' END AS fault FROM events WHERE (event_id % 3 = 1 AND event_id % 5 = 0) OR (event_id % 2 = 0 AND (event_id % 7 = 0 OR event_id % 11 = 0))")
 def _(t):
     e = F.col("event_id")
