@@ -323,6 +323,36 @@ def test_mixing_meets_its_targets(spark, docs, labels):
     assert out.count() == docs.count() and out.where("_rate.rate < 0 or _rate.rate is null").count() == 0
 
 
+def labelled_texts(spark):
+    rng = random.Random(8)
+    rows, marks = [], []
+    for k in range(400):
+        kind = rng.choices([(1, 0), (0, 0), (1, 1), (0, 1)], [0.76, 0.08, 0.11, 0.05])[0]
+        words = [rng.choice(WORDS) for _ in range(rng.randint(20, 60))] + ["idiotic"] * (kind[1] and rng.randint(2, 4)) + ["buynow"] * ((not kind[0]) and rng.randint(2, 4))
+        rows.append((k, " ".join(words)))
+        if k % 5 < 3:
+            marks.append((k, *kind))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def test_default_mixing_equals_brute_force(spark):
+    out = [r._rate for r in mixing.mix(*labelled_texts(spark)).collect()]
+    t, p, rate = np.array([r.tokens for r in out], float), np.array([r.p for r in out]), np.array([r.rate for r in out])
+    aim = np.array(list(mixing.TARGETS.values()))
+    assert np.abs((t * rate) @ p / t.sum() - aim).max() < 1e-3
+    w, best = np.linalg.inv((p.T * t) @ p / t.sum()), np.ones(len(p))
+    for _ in range(20_000):
+        best = np.maximum(0.0, best - 0.5 * (p @ (w @ ((t * best) @ p / t.sum() - aim)) + 1e-3 * (best - 1)))
+    assert np.abs(best - rate).max() < 1e-2
+
+
+def test_unreachable_mixing_targets_are_reported(spark):
+    docs, labels = labelled_texts(spark)
+    one = labels.where("quality = 1 and toxic = 0")
+    with pytest.warns(UserWarning, match="targets are missed"):
+        assert mixing.mix(docs, one).where("_rate.rate < 0").count() == 0
+
+
 def test_empty_tables(spark, empty, labels):
     bench = spark.createDataFrame([], "item_id long, text string")
     none = labels.limit(0)
