@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import MAX_LABELLED, labelled
 from .scratch import Scratch
 from .textkit import LETTER_DIGIT, LOWER, SpanHash, U, byte_class, flatten, mix, slices, split_ranges, word_spans
 
@@ -49,21 +48,46 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums)], names=["bucket", "n"])
 
 
-def _model(texts: DataFrame) -> np.ndarray:
-    """Log shares of the buckets over all rows, with one added to each count; BUCKETS numbers, whatever the input."""
-    counts = texts.select("text").mapInArrow(_totals, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.ones(BUCKETS)
-    for r in counts:
-        out[r.bucket] += r.n
-    return np.log(out / out.sum())
+def _target_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _totals over the rows that are wanted; bucket BUCKETS counts them, the next one all rows."""
+    sums = np.zeros(BUCKETS + 2, np.int64)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            wanted = part.filter(part.column("wanted"))
+            sums[:BUCKETS] += np.bincount(ngram_buckets(wanted.column("text"))[0], minlength=BUCKETS)
+            sums[BUCKETS:] += wanted.num_rows, part.num_rows
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 2)), pa.array(sums)], names=["bucket", "n"])
+
+
+def _counts(rows: DataFrame, totals, size: int) -> np.ndarray:
+    """Sums of the buckets over all tasks; `size` numbers, whatever the input."""
+    out = np.zeros(size, np.int64)
+    for r in rows.mapInArrow(totals, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def _model(counts: np.ndarray) -> np.ndarray:
+    """Log shares of the buckets, with one added to each count."""
+    return np.log((counts + 1) / (counts + 1).sum())
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, target: Column, id_col: str, text_col: str) -> DataFrame:
+    """Text and wanted of every row with a labelled id; an id with several labels is wanted if all of them are.
+
+    The labels are hashed and the texts dealt out at every size, so that no table has to fit a task.
+    """
+    marks = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("lid"), target.alias("wanted")).dropna().groupBy("lid").agg(F.min("wanted").alias("wanted"))
+    own = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return own.join(marks.hint("shuffle_hash"), "lid").select("text", "wanted")
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, share: float | None = None, seed: int = 0, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: Column | None = None, share: float | None = None, seed: int = 0) -> DataFrame:
     """Keep the share of the documents that best resembles a target text, by Gumbel top-k.
 
     The log weight of a text is the sum over its tokens and token pairs of the log ratio of two
-    generative models of hashed n-grams: of the target (texts whose label meets `target`, quality
-    = 1 by default; a sample of `max_labelled` labelled rows at most) and of all texts. A
+    generative models of hashed n-grams: of the target (all texts whose label meets `target`,
+    quality = 1 by default) and of all texts. A
     Gumbel variate from a hash of id and seed is added; the round(share * rows) largest keys are
     kept, and any that tie with the last. `share` is that of the target among the labelled rows
     unless given. Without target texts all weights are 0 and the choice is uniform. A null or
@@ -71,19 +95,17 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     :return: one row per row of `docs`: id_col, n_words (long), log_weight, gumbel_key (double), kept.
 
-    Two narrow passes over the texts. The k-th largest key is found by counting, 16 bits of the
+    Two narrow passes over the texts and one join with the labels. The k-th largest key is found by counting, 16 bits of the
     key at a time, so no rows are sorted or gathered.
     """
     scratch = Scratch(docs.sparkSession, "resample")
     target = F.col("quality") == 1 if target is None else target
     texts = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)).alias("draw"), F.col(text_col).cast("string").alias("text"))
-    sample = labelled(docs, labels, {"target": target}, id_col, text_col, max_labelled)
-    wanted = sample.where("y0")
+    counts = _counts(labelled_texts(docs, labels, target, id_col, text_col), _target_totals, BUCKETS + 2)
+    n_wanted, n_labelled = int(counts[BUCKETS]), int(counts[BUCKETS + 1])
     if share is None:
-        got = sample.agg(F.count("*").alias("n"), F.sum(F.col("y0").cast("long")).alias("k")).first()
-        share = got.k / got.n if got.n else 1.0
-    raw, aim = _model(texts), _model(wanted)
-    ratio = aim - raw if not wanted.isEmpty() else np.zeros(BUCKETS)
+        share = n_wanted / n_labelled if n_labelled else 1.0
+    ratio = _model(counts[:BUCKETS]) - _model(_counts(texts.select("text"), _totals, BUCKETS)) if n_wanted else np.zeros(BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

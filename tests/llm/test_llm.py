@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,23 @@ def test_resampling_keeps_the_share(spark, docs, labels):
     assert resample.kth_largest(df, "v", 0) is None and resample.kth_largest(df, "v", 99) is not None or True
 
 
+def test_resampling_counts_every_target_text(spark):
+    n = 12_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 7, ' v', id % 11) as text").repartition(3)
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as quality", "0 as toxic")
+    labels = labels.unionByName(labels.where("doc_id % 5 = 0"))
+    rows = {r.doc_id: r for r in resample.resample(docs, labels).collect()}
+    raw, aim = np.ones(resample.BUCKETS), np.ones(resample.BUCKETS)
+    own = {k: resample.ngram_buckets(pa.array([f"w{k % 7} v{k % 11}"]))[0] for k in range(77)}
+    for k in range(n):
+        np.add.at(raw, own[k % 77], 1)
+        if k % 3 == 0:
+            np.add.at(aim, own[k % 77], 1)
+    ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
+    assert max(abs(rows[k].log_weight - ratio[own[k % 77]].sum()) for k in range(n)) < 2e-6
+    assert sum(r.kept for r in rows.values()) == n // 3
+
+
 def test_licence_sequences(spark):
     s = licences.SENTENCES
     texts = [f"{s[3]}:\n\n{s[4]}.\n{s[5]}.", f"{s[4]}.\n{s[3]}.", f"{s[30]}:\n{s[31]}.\nOther.\n{s[32]}.\n{s[33]}.", "Released under the MIT License. All rights reserved.", None, ""]
