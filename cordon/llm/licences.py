@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Normalised sentences of well-known licence texts and notices.
@@ -45,12 +45,39 @@ RULES = [
 HINTS = ["licen", "permission", "above copyright notice", "rights reserved", "provided", "redistribut", "warranty", "except in compliance"]
 
 
+#: A full stop after one of these doesn't end a sentence.
+ABBREVIATIONS = ["v", "ver", "no", "inc", "co", "corp", "ltd", "etc"]
+
+
+def _cuts(text: Column) -> Column:
+    """Words of lower-cased texts, one blank between them, with H at cuts and S where a sentence may also go on."""
+    short = "".join(rf"(?<![^a-z0-9]{a}\.)" for a in ABBREVIATIONS)
+    for pattern, to in (
+        (r"\n[^a-z0-9\n]*+\n[^a-z0-9]*+", "H"),
+        (r"\n[^a-z0-9\nH]++", "\n"),  # comment marks and margins
+        (rf"(?<=[.!?]){short}[ \t\r\n]+", "H"),
+        (r"\n|(?<=[.!?:;])[ \t\r]+", "S"),
+        ("[^a-z0-9HS]+", " "),
+    ):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def _pattern(sentences) -> str:
+    """Any of the sentences, whole, in a text of _cuts."""
+    longest = sorted(sentences, key=len, reverse=True)
+    return "(?:(?<=[HS])|(?<=[HS] )|(?<=^)|(?<=^ ))(?:" + "|".join(s.replace(" ", "[ S]++") for s in longest) + ")(?= ?(?:[HS]|$))"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[int, str] | None = None, rules: list | None = None, hints: list[str] | None = None) -> DataFrame:
     """Licences that every text names.
 
-    A text is cut into sentences at line ends and after . ! ? or : before a blank; a sentence
-    is lower-cased and its runs of other characters than a-z and 0-9 become one blank. Sentences
-    that equal a known one make the text's identifier sequence, in order; a rule matches where
+    A text is cut at blank lines (lines of comment marks only are blank) and after . ! or ?
+    before a blank or a line end. Other line ends, : or ; before a blank, and the full stop of an
+    abbreviation may end a sentence or lie inside it: both readings are tried, the longest known
+    sentence first, so that wrapped texts and one-line notices are found alike. A sentence is
+    lower-cased and its runs of other characters than a-z and 0-9 become one blank. Known
+    sentences make the text's identifier sequence, in order; a rule matches where
     its identifiers follow one another in that sequence. A rule whose identifiers are a part of
     a longer matching rule's, one after another, gives way to it. Null and empty texts have none.
     Rows are judged one by one, so repeated rows and ids get equal results.
@@ -66,8 +93,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (s, str(i))))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     likely = F.lower(text).rlike("|".join(h.replace(" ", "[^a-z0-9]+") for h in hints))
-    cut = F.transform(F.split(text, r"\n|(?<=[.!?:])[ \t\r]+"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.transform(F.filter(F.when(likely, cut), lambda s: s.isin(list(sentences.values()))), lambda s: known[s])
+    found = F.transform(F.regexp_extract_all(_cuts(F.lower(text)), F.lit(_pattern(sentences.values())), 0), lambda s: F.regexp_replace(s, "[ S]+", " "))
+    ids = F.transform(F.when(likely, found), lambda s: known[s])
     df = docs.select(F.col(id_col).alias("own_id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     df = df.withColumn("sentence_ids", F.concat_ws(",", "ids"))
     path = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -302,6 +303,33 @@ def test_resampling_keeps_the_share(spark, docs, labels):
     assert resample.kth_largest(df, "v", 0) is None and resample.kth_largest(df, "v", 99) is not None or True
 
 
+def test_wrapped_licence_texts(spark):
+    def wrap(text, width, mark=""):
+        return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+    s = licences.SENTENCES
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    warranty = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one."
+    cases = []
+    for width, mark in ((70, ""), (30, " * "), (45, "# "), (60, "! "), (50, ";; ")):
+        w, gap = (lambda text: wrap(text, width, mark)), f"\n{mark}\n"  # noqa: B023
+        cases += [
+            (gap.join(["Copyright X", w(s[3] + ":"), w(s[4] + "."), w(s[5].upper() + ".")]), "MIT"),
+            (gap.join([w("Copyright X. All rights reserved."), w(s[30] + ":"), w("1. " + s[31] + "."), w("2. " + s[32] + ".")]), "BSD-2-Clause,LicenseRef-all-rights-reserved"),
+            (gap.join([w(s[30] + ":"), w("* " + s[31] + "."), w("* " + s[32] + "."), w("* " + s[33] + ".")]), "BSD-3-Clause"),
+            (gap.join([w(gpl.format(":", ",", 3)), w(warranty)]), "GPL-3.0-or-later"),
+            (gap.join([w(gpl.format(";", ";", 2)), w(warranty)]), "GPL-2.0-or-later"),
+            (gap.join([w(apache), f"{mark}    http://www.apache.org/licenses/LICENSE-2.0", w(s[14] + ".")]), "Apache-2.0"),
+            (w(mpl), "MPL-2.0"),
+        ]
+    cases += [("Some code\nReleased under the MIT License\nby someone", "MIT"), ("it is not released under the MIT License\nat all", ""), ("all rights\n\nreserved", ""), ("all rights. Reserved", "")]
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "doc_id int, text string")
+    out = {r.doc_id: r.licences for r in licences.scan(df).collect()}
+    assert out == {k: want for k, (_, want) in enumerate(cases)}
+
+
 def test_resampling_counts_every_target_text(spark):
     n = 12_000
     docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 7, ' v', id % 11) as text").repartition(3)
