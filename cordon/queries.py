@@ -300,6 +300,15 @@ def _(t):
     return policy.catalog_diff(snap(2), snap(3))
 
 
+# Every part row is in the first snapshot; the second has the parts that were ever ordered.
+@query("d13_catalog_diff_all", """WITH a AS (SELECT p_brand AS dataset, p_type AS field, min(p_name) AS before FROM part GROUP BY 1, 2), b AS (SELECT p_brand AS dataset, p_type AS field, max(p_name) AS after FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1, 2)
+SELECT dataset, field, before, after, CASE WHEN before IS NULL THEN 'ADDED' WHEN after IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (dataset, field) WHERE before IS DISTINCT FROM after""")
+def _(t):
+    snap = lambda parts, f: parts.groupBy(F.col("p_brand").alias("dataset"), F.col("p_type").alias("field")).agg(f("p_name").alias("category"))
+    ordered = t.part.join(t.lineitem.select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    return policy.catalog_diff(snap(t.part, F.min), snap(ordered, F.max))
+
+
 @query("d17_trust_state", """WITH c AS (SELECT user_id::VARCHAR AS subject, event_type AS predicate, event_id % 4 = 0 AS agent, ts > TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '2024-01-30' AS fresh, event_id % 3 <> 0 AS complete, round(value) AS value FROM events),
 g AS (SELECT subject, predicate, bool_or(NOT agent) AS a, bool_or(NOT agent AND fresh) AS f, bool_or(NOT agent AND fresh AND complete) AS m, count(DISTINCT CASE WHEN NOT agent AND fresh AND complete THEN value END) AS n FROM c GROUP BY 1, 2)
 SELECT subject, predicate, CASE WHEN NOT a THEN 'AGENT_ASSERTED' WHEN NOT f THEN 'STALE' WHEN NOT m THEN 'INCOMPLETE' WHEN n > 1 THEN 'CONTESTED' ELSE 'TRUSTED' END AS trust_state FROM g""")
