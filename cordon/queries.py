@@ -221,6 +221,13 @@ def _(t):
     return fx.scan_secrets(t.documents.select("doc_id", "text"), "text", secrets).where("spelling = 'raw'").select("doc_id", "secret_id", "spelling")
 
 
+@query("b6_secret_scan_all", """WITH s(secret_id, secret) AS (VALUES (1, 'MIT License'), (2, 'idiot')), n AS (SELECT secret_id, 'raw' AS spelling, secret AS needle FROM s UNION ALL SELECT secret_id, 'percent', replace(url_encode(secret), '%20', '+') FROM s
+UNION ALL SELECT secret_id, 'hex', lower(hex(secret)) FROM s UNION ALL SELECT secret_id, 'base64', to_base64(secret::BLOB) FROM s) SELECT doc_id, secret_id, spelling FROM documents JOIN n ON contains(text, needle)""")
+def _(t):
+    secrets = t.spark.createDataFrame([(1, "MIT License"), (2, "idiot")], "secret_id int, secret string")
+    return fx.scan_secrets(t.documents.select("doc_id", "text"), "text", secrets).select("doc_id", "secret_id", "spelling")
+
+
 # ---- C, D, E: plan facts, context, decisions
 def _facts(t: Tables) -> tuple[DataFrame, DataFrame]:
     return facts.log_facts(t.spark, t.events)
