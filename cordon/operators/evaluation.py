@@ -115,3 +115,37 @@ def candidate_cost(cands: DataFrame, costs: DataFrame) -> DataFrame:
     """Adds goal_cost, info_cost and change_cost of candidates (query_id, candidate, actions array) from a table of action costs."""
     each = cands.select("query_id", "candidate", F.explode("actions").alias("action")).join(costs, "action")
     return each.groupBy("query_id", "candidate").agg(*(F.sum(c).alias(c) for c in ("goal_cost", "info_cost", "change_cost")))
+
+
+# What each family selects beside the subject.
+FAMILY_COLUMNS = {"support_case": ("support_cases", "case_category"), "churn_score": ("retention_scores", "churn_score"), "purchase_amount": ("orders", "purchase_amount")}
+
+
+def render(mutations: DataFrame) -> DataFrame:
+    """Adds sql_text, the statement that a mutation stands for."""
+    pick = lambda k: F.create_map(*(F.lit(x) for f, own in FAMILY_COLUMNS.items() for x in (f, own[k])))[F.col("family")]
+    a, b = F.split("aliases", "/")[0], F.split("aliases", "/")[1]
+    where = F.when(F.col("predicate") == "age", F.concat(F.lit(" WHERE "), a, F.lit(".age_band = '18-29'"))).when(F.col("predicate") == "area", F.concat(F.lit(" WHERE "), a, F.lit(".precise_area IS NOT NULL"))).otherwise("")
+    parts = ["SELECT ", a, ".customer_id, ", b, ".", pick(1), " FROM customers ", a, " ", F.col("join_style"), " ", pick(0), " ", b, " ON ", a, ".customer_id = ", b, ".customer_id", where, F.when(F.col("tail") == "limit", " LIMIT 10").otherwise("")]
+    return mutations.withColumn("sql_text", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+
+
+def report_sha(report: DataFrame) -> DataFrame:
+    """One digest of a report's rows, in any order, with their number."""
+    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(report.columns))), 256)
+    part = F.conv(F.substring(row, 1, 8), 16, 10).cast("long")
+    sums = report.select(part.alias("p")).agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor("p"), F.lit(0)).alias("x"), F.coalesce(F.sum("p"), F.lit(0)).alias("s"))
+    return sums.select("n_rows", F.sha2(F.concat_ws("|", "n_rows", "x", "s"), 256).alias("report_sha256"))
+
+
+def sequences(events: DataFrame, scenarios: dict[str, tuple[str, str]], maximum: int, window_s: int) -> DataFrame:
+    """Every event (record_id, scope, ts, protected) under each release scenario, with the budget's decision.
+
+    scenarios: name to the cohort and family under which a scope's later releases are made. What
+    a credential, cohort or family is called changes no scope, so the budget must hold in all.
+    """
+    from .ledger import replay_budget
+
+    names = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(c).alias("cohort"), F.lit(f).alias("family")) for n, (c, f) in scenarios.items())))
+    each = events.withColumn("x", names).select("*", "x.scenario", "x.cohort", "x.family").drop("x").withColumn("key", F.concat_ws("|", F.col("scope").cast("string"), "scenario"))
+    return replay_budget(each, maximum, window_s, key="key")

@@ -85,9 +85,11 @@ def scope_totals(records: DataFrame, key: str = "scope", ts: str = "ts") -> Data
     return records.groupBy(key).agg(F.count("*").alias("n_records"), F.count_if("protected").alias("n_protected"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
-def verify_history(records: DataFrame, key: str = "scope") -> DataFrame:
-    """Sequences that a scope holds more than once."""
-    return records.groupBy(key, "sequence").agg(F.count("*").alias("n")).where("n > 1")
+def verify_history(records: DataFrame, scopes: DataFrame, key: str = "scope") -> DataFrame:
+    """scope, sequence, fault: DUPLICATE (a sequence that a scope holds more than once) or FOREIGN (a scope that isn't known; its smallest sequence)."""
+    twice = records.groupBy(key, "sequence").agg(F.count("*").alias("n")).where("n > 1").select(key, "sequence", F.lit("DUPLICATE").alias("fault"))
+    foreign = records.join(scopes.select(key), key, "left_anti").groupBy(key).agg(F.min("sequence").alias("sequence")).withColumn("fault", F.lit("FOREIGN"))
+    return twice.unionByName(foreign)
 
 
 def verify_claims(records: DataFrame, claims: DataFrame) -> DataFrame:
@@ -114,3 +116,40 @@ def verify_index(records: DataFrame) -> DataFrame:
     """Records whose index columns (scope, record_id) differ from the JSON payload's."""
     p = F.from_json("payload_json", "scope bigint, record_id bigint")
     return records.where(~(p["scope"].eqNullSafe(F.col("scope")) & p["record_id"].eqNullSafe(F.col("record_id")))).select("record_id")
+
+
+def semantic_sha(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """query_id and semantic_sha256: a digest of what a release shows and how it is grouped; output names, order and repeats don't count."""
+    one = F.sha2(F.concat_ws("|", "dataset", "field", F.coalesce("kind", F.lit("REFERENCE"))), 256)
+    per = refs.groupBy("query_id").agg(F.concat_ws(",", F.array_sort(F.collect_set(one))).alias("shown"))
+    text = F.concat_ws("|", F.coalesce("shown", F.lit("")), F.col("is_grouped").cast("string"), F.coalesce(F.col("threshold").cast("string"), F.lit("")), F.coalesce("threshold_subject", F.lit("")))
+    return queries.join(per, "query_id", "left").select("query_id", F.sha2(text, 256).alias("semantic_sha256"))
+
+
+def subject_domain(queries: DataFrame, sources: DataFrame, catalog: DataFrame) -> DataFrame:
+    """query_id, domain, reason: the category of the declared identifier field in the query's datasets. It must be
+    an identifier in one of them (else NO_IDENTIFIER) and of one category wherever it stands (else SEVERAL_CATEGORIES)."""
+    own = queries.select("query_id", F.element_at(F.split("subject", "[.]"), -1).alias("field"))
+    there = sources.select("query_id", "dataset").distinct().join(own, "query_id").join(catalog, ["dataset", "field"]).groupBy("query_id").agg(F.count_distinct("category").alias("n"), F.min("category").alias("c"))
+    one = F.col("c").isin("DIRECT_IDENTIFIER", "STABLE_PSEUDONYM") & (F.col("n") == 1)
+    return own.join(there, "query_id", "left").select("query_id", F.when(one, F.col("c")).alias("domain"), F.when(F.col("n") > 1, "SEVERAL_CATEGORIES").when(~F.coalesce(one, F.lit(False)), "NO_IDENTIFIER").alias("reason"))
+
+
+def cohort_form(facts: DataFrame) -> DataFrame:
+    """query_id and cohort_json: sources, conditions and group keys as sorted sets without aliases; the order only where rows are limited.
+
+    facts: query_id, part (source, condition, group, order), value, limited.
+    """
+    part = lambda p: F.array_sort(F.collect_set(F.when(F.col("part") == p, F.col("value"))))
+    per = facts.groupBy("query_id").agg(part("source").alias("sources"), part("condition").alias("conditions"), part("group").alias("groups"), part("order").alias("order"), F.bool_or("limited").alias("limited"))
+    shown = F.when(F.col("limited"), F.col("order")).otherwise(F.array().cast("array<string>")).alias("order")
+    return per.select("query_id", F.to_json(F.struct("sources", "conditions", "groups", shown)).alias("cohort_json"))
+
+
+def verify_composition(records: DataFrame) -> DataFrame:
+    """record_id and fault of records whose composition disagrees with their semantics: PROTECTION (the flag isn't that of
+    is_protected), MISSING (protected, without composition), UNEXPECTED (the reverse) or SUBJECT (another subject domain)."""
+    protected = is_protected(F.col("aggregates"), F.col("categories"))
+    fault = F.when(F.col("protected") != protected, "PROTECTION").when(protected & F.col("composition").isNull(), "MISSING").when(~protected & F.col("composition").isNotNull(), "UNEXPECTED")
+    fault = fault.when(F.col("composition") != F.col("subject_domain"), "SUBJECT")
+    return records.select("record_id", fault.alias("fault")).where("fault is not null")

@@ -30,36 +30,40 @@ def _any(condition: Column) -> Column:
     return F.coalesce(F.bool_or(condition), F.lit(False))
 
 
-def flags(queries: DataFrame, refs: DataFrame, catalog: DataFrame, lineage: DataFrame) -> DataFrame:
-    """One row a query with what its columns show; queries without columns keep false."""
-    rows = effective(resolve_context(refs, catalog), lineage, catalog).join(queries.select("query_id", "subject"), "query_id")
+def flags(queries: DataFrame, refs: DataFrame, catalog: DataFrame, lineage: DataFrame, count_quasi: bool = False) -> DataFrame:
+    """One row a query with what its columns show; queries without columns keep false. n_quasi (shown quasi-identifiers) only on request."""
+    rows = effective(resolve_context(refs, catalog), lineage, catalog).withColumn("own", F.concat_ws(".", "dataset", "field"))
     shown = F.col("kind").isin(EXPOSED)
-    own = F.concat_ws(".", "dataset", "field")
+    governed = F.array_compact(F.collect_set(F.when(F.col("category").isin(IDENTIFIERS), F.col("own"))))
     per = rows.groupBy("query_id").agg(
         _any(F.col("context_reason") == "UNRESOLVED_DATASET").alias("no_dataset"), _any(F.col("context_reason") == "UNRESOLVED_COLUMN").alias("no_column"),
         _any(F.col("context_reason").isNotNull() | (F.col("eff_category") == "UNCLASSIFIED")).alias("unclassified"), _any(F.col("kind") == "NESTED_SCOPE").alias("nested"),
         _any((F.col("kind") == "CONDITIONAL_AGGREGATE") & (F.col("eff_category") != "PUBLIC_OR_LOW_RISK")).alias("conditional"),
         _any(shown & (F.col("eff_category") == "DIRECT_IDENTIFIER")).alias("has_direct"), _any(shown & (F.col("eff_category") == "STABLE_PSEUDONYM")).alias("has_pseudonym"),
-        _any(shown & (F.col("eff_category") == "SENSITIVE_ATTRIBUTE")).alias("has_sensitive"), F.count_distinct(F.when(shown & (F.col("eff_category") == "QUASI_IDENTIFIER"), F.col("eff_key"))).alias("n_quasi"),
-        _any(F.col("eff_category") == "SENSITIVE_ATTRIBUTE").alias("sensitive_anywhere"), _any((own == F.col("subject")) & F.col("category").isin(IDENTIFIERS)).alias("subject_governed"),
+        _any(shown & (F.col("eff_category") == "SENSITIVE_ATTRIBUTE")).alias("has_sensitive"),
+        _any(F.col("eff_category") == "SENSITIVE_ATTRIBUTE").alias("sensitive_anywhere"), governed.alias("governed"),
+        *([F.size(F.collect_set(F.when(shown & (F.col("eff_category") == "QUASI_IDENTIFIER"), F.col("eff_key")))).alias("n_quasi")] if count_quasi else []),
     )
-    names = [c for c in per.columns if c != "query_id"]
+    names = [c for c in per.columns if c not in ("query_id", "governed")]
     fill = {c: 0 if c == "n_quasi" else False for c in names}
-    return queries.join(per, "query_id", "left").fillna(fill, names)
+    out = queries.join(per, "query_id", "left").fillna(fill, names)
+    return out.withColumn("subject_governed", F.coalesce(F.array_contains("governed", F.col("subject")), F.lit(False))).drop("governed")
 
 
-def decide(queries: DataFrame, refs: DataFrame, catalog: DataFrame, lineage: DataFrame, k: int = K) -> DataFrame:
+def decide(queries: DataFrame, refs: DataFrame, catalog: DataFrame, lineage: DataFrame, k: int = K, min_quasi: int = 0) -> DataFrame:
     """One row a query: decision (BLOCK before REWRITE before ALLOW), reasons (ordered, unique), trusted_threshold.
 
-    One shuffle by query_id; catalog and lineage are joined as Catalyst sees fit. Join, group
+    min_quasi: an ungrouped pseudonym with a sensitive attribute blocks only with as many shown
+    quasi-identifiers (2 in legacy mode). One shuffle by query_id; catalog and lineage are joined as Catalyst sees fit. Join, group
     and filter columns count for resolution and for the threshold, not for linkage.
     """
-    f = flags(queries, refs, catalog, lineage)
+    f = flags(queries, refs, catalog, lineage, min_quasi > 0)
+    enough = F.col("n_quasi") >= min_quasi if min_quasi else F.lit(True)
     when = lambda c, reason: F.when(c, F.lit(reason))
     risk = "COMPOSITIONAL_REIDENTIFICATION_RISK"
     blocks = F.array_distinct(F.array_compact(F.array(
         F.col("upstream"), when(F.col("no_dataset"), "UNRESOLVED_DATASET"), when(F.col("no_column"), "UNRESOLVED_COLUMN"), when(F.col("unclassified"), "UNCLASSIFIED_COLUMN"), when(F.col("nested"), "UNRESOLVED_COLUMN"),
-        when(F.col("conditional"), risk), when(F.col("has_direct") & F.col("has_sensitive"), "DIRECT_SENSITIVE_LINKAGE"), when(~F.col("is_grouped") & F.col("has_pseudonym") & F.col("has_sensitive"), risk),
+        when(F.col("conditional"), risk), when(F.col("has_direct") & F.col("has_sensitive"), "DIRECT_SENSITIVE_LINKAGE"), when(~F.col("is_grouped") & F.col("has_pseudonym") & F.col("has_sensitive") & enough, risk),
     )))
     f = f.withColumn("blocks", blocks).withColumn("trusted_threshold", F.when((F.col("threshold_subject") == F.col("subject")) & F.col("subject_governed"), F.col("threshold")))
     grouped = F.col("is_grouped") & F.col("sensitive_anywhere")
@@ -287,3 +291,52 @@ def governed_columns(context: DataFrame) -> DataFrame:
     key = F.concat_ws(".", "dataset", "field")
     own = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("category") == c, key))))
     return context.groupBy("query_id").agg(own("QUASI_IDENTIFIER").alias("quasi"), own("SENSITIVE_ATTRIBUTE").alias("sensitive"), _any(F.col("category").isNull() | (F.col("category") == "UNCLASSIFIED")).alias("rejected"))
+
+
+def qualify(df: DataFrame, *parts: str) -> DataFrame:
+    """Adds qualified_name: the parts that are there, joined by dots."""
+    return df.withColumn("qualified_name", F.concat_ws(".", *parts))
+
+
+def mark_group_keys(outputs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds is_group_key: the query groups by the output's column. keys: query_id, dataset, field."""
+    own = keys.select("query_id", "dataset", "field").distinct().withColumn("is_group_key", F.lit(True))
+    return outputs.join(own, ["query_id", "dataset", "field"], "left").fillna(False, ["is_group_key"])
+
+
+def is_pure_count() -> Column:
+    """A bare count of all rows, of one column or of its distinct values, over facts agg, is_filter, nested, n_columns and bare."""
+    return (F.col("agg") == "count") & ~F.col("is_filter") & ~F.col("nested") & ((F.col("n_columns") == 0) | ((F.col("n_columns") == 1) & F.col("bare")))
+
+
+def root_outputs(outputs: DataFrame) -> DataFrame:
+    """query_id, keys: sorted unique columns that the root scope (scope_id 0) shows."""
+    return outputs.where("scope_id = 0").groupBy("query_id").agg(F.concat_ws(",", F.array_sort(F.collect_set(F.concat_ws(".", "dataset", "field")))).alias("keys"))
+
+
+def evidence(queries: DataFrame, refs: DataFrame, catalog: DataFrame, lineage: DataFrame) -> DataFrame:
+    """query_id and evidence: the shown columns of each category (own or upstream, sorted), what is unresolved, and the threshold."""
+    rows = effective(resolve_context(refs, catalog), lineage, catalog)
+    shown = F.col("kind").isin(EXPOSED)
+    keys = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("eff_key"))))
+    per = rows.groupBy("query_id").agg(
+        keys(shown & (F.col("eff_category") == "DIRECT_IDENTIFIER")).alias("direct"), keys(shown & (F.col("eff_category") == "STABLE_PSEUDONYM")).alias("pseudonyms"), keys(shown & (F.col("eff_category") == "QUASI_IDENTIFIER")).alias("quasi"),
+        keys(shown & (F.col("eff_category") == "SENSITIVE_ATTRIBUTE")).alias("sensitive"), keys(F.col("context_reason").isNotNull()).alias("unresolved"),
+    )
+    parts = ["direct", "pseudonyms", "quasi", "sensitive", "unresolved"]
+    none = F.array().cast("array<string>")
+    return queries.join(per, "query_id", "left").select("query_id", F.struct(*(F.coalesce(c, none).alias(c) for c in parts), "threshold", "threshold_subject").alias("evidence"))
+
+
+def edit_refs(queries: DataFrame, refs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plan facts of changed queries: a query for each (query_id, variant) of the edits, with the id `query_id#variant`.
+
+    edits: query_id, variant, op (ADD, REMOVE, or KEEP for a variant that changes no column), dataset, field, kind.
+    """
+    name = F.concat_ws("#", F.col("query_id").cast("string"), "variant")
+    each = edits.select("query_id", "variant").distinct()
+    gone = edits.where("op = 'REMOVE'").select("query_id", "variant", "dataset", "field").distinct()
+    rest = each.join(refs, "query_id").join(gone, ["query_id", "variant", "dataset", "field"], "left_anti")
+    new = edits.where("op = 'ADD'").select("query_id", "variant", "dataset", "field", "kind")
+    both = rest.select(*new.columns).unionByName(new).withColumn("query_id", name).drop("variant")
+    return each.join(queries, "query_id").withColumn("query_id", name), both

@@ -891,3 +891,6 @@ def _(t):
     from .streaming.traffic import chain_stream, drain
 
     return drain(lambda s: chain_stream(s.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("payload"))), t.events, f"{t.sf_dir}/events.parquet*")
+
+
+from . import audit_queries  # noqa: E402, F401  registers the rest, on the names above

@@ -30,9 +30,9 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(path)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON catalog as one row a field: dataset, field, category, tags, glossary_terms."""
-    raw = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
+def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A JSON catalog as one row a field: dataset, field, category, tags, glossary_terms. Without multi_line, each line is a document."""
+    raw = spark.read.schema(CATALOG_SCHEMA).option("multiLine", multi_line).json(path)
     per_set = raw.select("version", F.explode("datasets").alias("dataset", "d"))
     return per_set.select("version", "dataset", "d.urn", F.explode("d.fields").alias("field", "f")).select("version", "dataset", "urn", "field", "f.category", "f.tags", "f.glossary_terms")
 
