@@ -106,6 +106,8 @@ def _shared(spark) -> str:
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cordon-")
         spark.sparkContext.setCheckpointDir(base)
     to = f"{base}/cordon/stream-{uuid.uuid4().hex}"
