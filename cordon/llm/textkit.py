@@ -14,11 +14,8 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240117))
-_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) | U(1)
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[str, np.ndarray] = {}
+_M = U((1 << 31) - 1)
+_TABLES: dict[int, list[dict]] = {}
 
 
 def byte_class(*spans: tuple[int, int]) -> np.ndarray:
@@ -60,16 +57,6 @@ def flatten(texts: pa.Array, terminator: bytes = b"\n") -> tuple[np.ndarray, np.
     return data, offsets - offsets[0] if len(joined) else np.zeros(1, np.int64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(size, base, U)
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x)
-    return _POWERS["up"][:n], _POWERS["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -77,17 +64,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for x below 2^63."""
+    x = (x & _M) + (x >> U(31))
+    x = (x & _M) + (x >> U(31))
+    return np.minimum(x, x - _M)  # below the prime, x - prime wraps round
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, U)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = _reduced(out[:more] * U(pow(base, done, int(_M))))
+        done += more
+    return out.astype(np.uint32)
+
+
+def _tables(salt: int, n: int) -> list[dict]:
+    """For each of two random bases: codes of the bytes, and powers of the base and of its inverse."""
+    if salt not in _TABLES:
+        rng = np.random.Generator(np.random.PCG64([20240117, salt]))
+        _TABLES[salt] = [{"base": int(b), "code": rng.integers(1, int(_M), 256, dtype=np.int64).astype(U), "size": 0} for b in rng.integers(1 << 20, int(_M) - 1, 2)]
+    for t in _TABLES[salt]:
+        if t["size"] < n:
+            t["size"] = max(n, SLICE_BYTES + 4096)
+            t["up"], t["down"] = _powers(t["base"], t["size"]), _powers(pow(t["base"], -1, int(_M)), t["size"])
+    return _TABLES[salt]
+
+
 class SpanHash:
-    """Hash of any span of a byte array in constant time, from one prefix sum."""
+    """Hash of any span of a byte array in constant time, from prefix sums.
+
+    Two polynomials modulo the prime 2^31 - 1 at random bases: for any two spans of n bytes the
+    chance (over the bases) of equal hashes is at most (n / 2^31)^2. Salts have bases of their own.
+    """
 
     def __init__(self, data: np.ndarray, salt: int = 0):
-        code = mix(_CODE + U(salt)) | U(1) if salt else _CODE
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(code[data] * up[: len(data)], out=self.sums[1:])
+        self.parts = []
+        for t in _tables(salt, len(data) + 1):
+            sums = np.zeros(len(data) + 1, U)
+            x = t["code"][data] * t["up"][: len(data)]
+            np.cumsum((x & _M) + (x >> U(31)), out=sums[1:])
+            self.parts.append((sums, t["down"]))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        one, two = (_reduced(_reduced(sums[end] - sums[start]) * down[start]) for sums, down in self.parts)
+        return mix(((one << U(31)) | two) + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,13 +122,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(texts: pa.Array, is_word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, is_word: np.ndarray, lower: bool = True, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and for each text the range of its words."""
     data, offsets = flatten(texts)
     if lower:
         data = LOWER[data]
     starts, ends, at = word_spans(data, offsets, is_word)
-    return SpanHash(data)(starts, ends), at
+    return SpanHash(data, salt)(starts, ends), at
 
 
 def shingles(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
