@@ -16,7 +16,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(width):
         key = (key << bits) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))

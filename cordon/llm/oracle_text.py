@@ -20,7 +20,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '{_WORDS}') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({_TEXT}, '{_WORDS}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all({_TEXT}, '{_WORDS}') AS w FROM benchmark),
 p AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 dp AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
 h AS (SELECT doc_id, dp.n, i, item_id FROM dp JOIN p ON dp.n = p.n AND dp.s = p.s),

@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is made only where it is unset."""
+    """The folder of spark.checkpoint.dir. Where it is unset a local one is made, for a local master only: executors of a cluster wouldn't share it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cordon-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """A folder of Parquet tables below the shared folder, deleted when the application ends.
 
