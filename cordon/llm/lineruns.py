@@ -1,15 +1,14 @@
-"""Line dedup: repeated runs of lines, from a suffix order over line identifiers.
+"""Line dedup: maximal repeated runs of lines, from suffix order and common-prefix intervals.
 
 Lines are symbols. Prefix doubling numbers, for each power of two, the classes of positions whose
 next 2^k lines are equal: a class of 2^(k+1) lines is a pair of classes of 2^k, and pairs are
 numbered in sorted order, so the numbers of level k order the suffixes by their first 2^k lines.
-Positions that are alone in their class leave. Suffixes with a common prefix of n lines are an
-interval of that order; two overlapping classes of 2^k lines, 2^k <= n < 2^(k+1), name it.
+Doubling goes on until no two suffixes agree on so many lines; positions that are alone leave.
 
-A run counts from `min_words` words on. Every line of a repeated run of that size lies in the
-shortest such run from some line of it, or in the shortest that ends at the line itself, and both
-lie inside the repeated run. So it is enough to look up the intervals of those two kinds of runs,
-and doubling ends at `min_words` lines, however long the repeats are.
+The tree of longest-common-prefix intervals is then walked from the top, halving the step. All
+positions of an interval of n lines that share 2^k lines more move to an interval of n + 2^k
+lines; its first position also stays behind and stands for all of them. At the end every
+position knows the longest run that starts there and earlier too, and the run is maximal.
 """
 
 from __future__ import annotations
@@ -22,11 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 from .textkit import BLANK_SPLIT, SpanHash, flatten, slices, word_spans
 
 LAST = (1 << 63) - 1
 AT = ["id", "mark", "pos"]
+PLACE = ["id", "pos", "mark"]
 
 
 def _cut(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -38,65 +38,84 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return data, start, end, words[1] - words[0], np.searchsorted(start, offsets)
 
 
-def _lines(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, start, end, words, at = _cut(part.column("text"))
-                full = words > 0
-                doc = np.repeat(np.arange(part.num_rows), np.diff(at))[full]
-                to = np.concatenate([[0], np.cumsum(full)])[at]
-                pos = np.arange(len(doc)) - to[doc]
-                total = np.concatenate([[0], np.cumsum(words[full])])
-                index = np.arange(len(doc))
-                # lines of the shortest run with min_words words from each line, and up to it; 0 for none
-                ahead = np.searchsorted(total, total[:-1] + min_words) - index
-                ahead[index + ahead > to[1:][doc]] = 0
-                back = index + 2 - np.searchsorted(total, total[1:] - min_words, side="right")
-                back[(total[1:] < min_words) | (index + 1 - back < to[:-1][doc])] = 0
-                one, two = SpanHash(data)(start[full], end[full]), SpanHash(data, 5)(start[full], end[full])
-                own = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[doc]) for c in ("id", "mark")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(pos), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ahead), pa.array(back)], names=[*AT, "h1", "h2", "ahead", "back"])
-
-    return run
-
-
-def _numbered(rows: DataFrame, keys: list[str], carry: list[str], scratch: Scratch) -> DataFrame:
-    """AT, r and carried columns; r is the number of a row's key among the sorted keys. Keys of a single row are left out."""
-    shared = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    numbers = scratch.keep(shared.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("number")))
-    return scratch.keep(rows.join(numbers, keys).select(*AT, F.col("number").alias("r"), *carry))
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line that has a word: its place among those of its text, a 124-bit hash and its number of words."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            data, start, end, words, at = _cut(part.column("text"))
+            full = words > 0
+            doc = np.repeat(np.arange(part.num_rows), np.diff(at))[full]
+            to = np.concatenate([[0], np.cumsum(full)])[at]
+            hashes = [SpanHash(data, salt)(start[full], end[full]).view(np.int64) for salt in (0, 5)]
+            own = [part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("id", "mark")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, np.arange(len(doc)) - to[doc], *hashes, words[full])], names=[*AT, "h1", "h2", "words"])
+
+
+def _numbers(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """Keys of more than one row, numbered in sorted order, with the first place of each."""
+    shared = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
+    return scratch.keep(shared.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("number"), "first"))
+
+
+def _levels(lines: DataFrame, min_words: int, scratch: Scratch) -> list[DataFrame]:
+    """For each power of two: AT, r (class of the next 2^k lines), more (the position has a class of twice as
+    many lines) and first (it is the first place of that class)."""
+    level = lines.join(_numbers(lines, ["h1", "h2"], scratch), ["h1", "h2"]).select(*AT, F.col("number").alias("r"), "words")
+    # a counted run lies inside a stretch of such lines that has as many words
+    order = Window.partitionBy("id", "mark").orderBy("pos")
+    level = level.withColumn("stretch", F.col("pos") - F.row_number().over(order))
+    level = level.withColumn("all", F.sum("words").over(Window.partitionBy("id", "mark", "stretch"))).where(F.col("all") >= min_words).select(*AT, "r")
+    levels, size = [], 1
+    while True:
+        within = order.rangeBetween(size, size)
+        pairs = scratch.keep(level.withColumn("r2", F.max("r").over(within)))
+        numbers = _numbers(pairs.where("r2 is not null"), ["r", "r2"], scratch)
+        longer = pairs.where("r2 is not null").join(numbers, ["r", "r2"], "left").select(*AT, "r", "number", F.coalesce(F.col("first") == F.struct(*PLACE), F.lit(False)).alias("first"))
+        alone = pairs.where("r2 is null").select(*AT, "r", F.lit(None).cast("long").alias("number"), F.lit(False).alias("first"))
+        levels.append(scratch.keep(longer.unionByName(alone)))
+        scratch.drop(pairs)
+        level = levels[-1].where("number is not null").select(*AT, F.col("number").alias("r"))
+        size *= 2
+        if level.isEmpty():
+            return levels
 
 
 def repeated_runs(texts: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """id, mark, pos, length: runs of lines with `min_words` words or more that start earlier too.
+    """id, mark, pos, length: for each position the longest run of lines from there that starts earlier too,
+    unless the run of the position before holds it. Runs of all lengths in lines; some have fewer than `min_words` words.
 
     :param texts: id (long), mark (long, tells texts of equal id apart), text. Positions count
         the lines that have a word. Earlier: smaller (id, pos).
     """
-    lines = texts.mapInArrow(_lines(min_words), "id long, mark long, pos long, h1 long, h2 long, ahead long, back long")
-    level = _numbered(lines.dropDuplicates(AT), ["h1", "h2"], ["ahead", "back"], scratch)
-    runs = level.where("ahead > 0").select("id", "mark", "pos", F.col("ahead").alias("length")).unionByName(level.where("back > 0").select("id", "mark", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("length"))).distinct()
-    runs, named, size = scratch.keep(runs), [], 1
-    while size <= min_words:
-        own = runs.where((F.col("length") >= size) & (F.col("length") < 2 * size))
-        head = own.join(level.select(*AT, F.col("r").alias("head")), AT)
-        tail = level.select("id", "mark", F.col("pos").alias("last"), F.col("r").alias("tail"))
-        named.append(head.withColumn("last", F.col("pos") + F.col("length") - size).join(tail, ["id", "mark", "last"]).select(*AT, "length", "head", "tail"))
-        if 2 * size <= min_words:
-            within = Window.partitionBy("id", "mark").orderBy("pos").rangeBetween(size, size)
-            level = _numbered(level.withColumn("r2", F.max("r").over(within)).where("r2 is not null"), ["r", "r2"], [], scratch)
-        size *= 2
-    every = named[0]
-    for x in named[1:]:
-        every = every.unionByName(x)
-    every = scratch.keep(every)
-    first = every.groupBy("length", "head", "tail").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return every.join(first, ["length", "head", "tail"]).where("first.id < id or (first.id = id and first.pos < pos)").select(*AT, "length")
-
-
-def _delete(text: str, names: list[str], report: bool):
-    """Without the report, texts that have lost all their words are left out."""
+    lines = scratch.keep(texts.mapInArrow(_lines, "id long, mark long, pos long, h1 long, h2 long, words long").dropDuplicates(AT))
+    levels = _levels(lines, min_words, scratch)
+    key = ["class", "length", "r"]
+    moving, found = None, []
+    for k in range(len(levels) - 1, -1, -1):
+        top = levels[k].where("number is null or first").select(*AT, F.lit(None).cast(T.StructType([T.StructField(c, T.LongType()) for c in ("id", "pos", "mark")])).alias("class"), F.lit(0).cast("long").alias("length"), "r")
+        rows = top
+        if moving is not None:
+            ahead = levels[k].select("id", "mark", F.col("pos").alias("next"), "r")
+            rows = top.unionByName(moving.withColumn("next", F.col("pos") + F.col("length")).join(ahead, ["id", "mark", "next"], "left").select(*AT, *key))
+        rows = scratch.keep(rows)
+        live = rows.where("r is not null")
+        own = F.coalesce("class", F.struct(*(F.lit(-1).cast("long").alias(c) for c in ("id", "pos", "mark"))))
+        groups = live.groupBy(own.alias("own"), "length", "r").agg(F.min(F.struct(*PLACE)).alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
+        groups = scratch.keep(groups)
+        moved = live.withColumn("own", own).join(groups, ["own", "length", "r"], "left").select(*AT, "class", "length", "to")
+        moved = scratch.keep(moved.unionByName(rows.where("r is null").select(*AT, "class", "length", F.lit(None).cast(moved.schema["to"].dataType).alias("to"))))
+        further = moved.where("to is not null").select(*AT, F.col("to").alias("class"), (F.col("length") + (1 << k)).alias("length"))
+        stay = moved.where((F.col("to").isNull() | (F.col("to") == F.struct(*PLACE))) & (F.col("length") > 0)).select(*AT, "class", "length")
+        scratch.drop(rows, groups)
+        moving = further.unionByName(stay)
+    later = (F.col("class.id") < F.col("id")) | ((F.col("class.id") == F.col("id")) & (F.col("class.pos") < F.col("pos")))
+    longest = moving.where(later).groupBy(*AT).agg(F.max("length").alias("length"))
+    before = F.lag(F.col("pos") + F.col("length")).over(Window.partitionBy("id", "mark").orderBy("pos"))
+    return longest.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("pos") + F.col("length") > F.col("before")).select(*AT, "length")
+
+
+def _delete(text: str, runs: str, names: list[str], min_words: int, report: bool):
+    """Runs of `min_words` words or more go. Without the report, texts that have lost all their words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +123,16 @@ def _delete(text: str, names: list[str], report: bool):
                 data, start, end, words, at = _cut(part.column(text))
                 raw, full = data.tobytes(), words > 0
                 gone = np.zeros(len(start) + 1, np.int64)
-                lists = part.column("_runs")
+                lists = part.column(runs)
                 where = np.flatnonzero(full)
                 to = np.concatenate([[0], np.cumsum(full)])[at]
+                total = np.concatenate([[0], np.cumsum(words[full])])
                 for k in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
                     for x in lists[k].as_py():
-                        gone[where[to[k] + x["pos"]]] += 1
-                        gone[where[to[k] + x["pos"] + x["length"] - 1] + 1] -= 1
+                        a, b = to[k] + x["pos"], to[k] + x["pos"] + x["length"]
+                        if total[b] - total[a] >= min_words:
+                            gone[where[a]] += 1
+                            gone[where[b - 1] + 1] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
                 new, counts, alive = [], [], []
                 for k in range(part.num_rows):
@@ -131,36 +153,42 @@ def _delete(text: str, names: list[str], report: bool):
     return run
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, str]:
+    """All columns of `docs` and the runs of each text, and the name of their column."""
     scratch = Scratch(docs.sparkSession, "lineruns")
     key, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string"))
     runs = repeated_runs(docs.select(key.alias("id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text")), min_words, scratch)
-    lists = scratch.keep(runs.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "length")).alias("_runs")))
+    name, id_, mark_ = fresh(docs, "_runs"), fresh(docs, "_id"), fresh(docs, "_mark")
+    lists = scratch.keep(runs.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "length")).alias(name)))
     scratch.only(lists)
-    return docs.withColumns({"_id": key, "_mark": mark}).join(lists.withColumnsRenamed({"id": "_id", "mark": "_mark"}).hint("merge"), ["_id", "_mark"], "left")
+    lists = lists.withColumnsRenamed({"id": id_, "mark": mark_}).hint("merge")
+    return docs.withColumns({id_: key, mark_: mark}).join(lists, [id_, mark_], "left").drop(id_, mark_), name
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30) -> DataFrame:
     """Delete every line of a run of lines that stands earlier too and has `min_words` words or more.
 
     Earlier: in a document of smaller id, or earlier in the same one; the first copy stays. Lines
-    are what \\n separates and must be equal byte for byte; lines without a word are skipped when
+    are what \\n separates and must be equal byte for byte (by a hash of 124 bits); lines without a word are skipped when
     runs are matched, and deleted where they lie inside a deleted run. Runs may overlap. Null and empty texts have none
     and stay; rows that repeat an id and text are one document, and stay or change together; a
-    null id counts as larger than all others. A text that loses all its words is dropped.
+    null id counts as larger than all others. Texts and lines of any length are taken whole; an
+    empty table gives no rows. A text that loses all its words is dropped.
 
-    :return: the other rows of `docs`, with the text changed and all other columns as they were.
+    :return: the other rows of `docs`, with the text changed and all other columns as they were, whatever their names.
 
-    What is shuffled is a row for each line, then only for lines that stand twice; counts are
-    combined in the tasks, so a line of a third of all documents is not gathered in one.
+    What is shuffled is a row for each line, then only for lines that stand twice in stretches of
+    `min_words` words; counts and first places are combined in the tasks, so a line of a third of
+    all documents is not gathered in one.
     """
-    joined = _joined(docs, id_col, text_col, min_words)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "_runs").mapInArrow(_delete(text_col, docs.columns, False), docs.schema)
+    joined, runs = _joined(docs, id_col, text_col, min_words)
+    return joined.mapInArrow(_delete(text_col, runs, docs.columns, min_words, False), docs.schema)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30) -> DataFrame:
     """One row per row of `docs`: id, n_lines, n_removed_lines (with a word), n_removed_runs, kept_sha256 of the remaining lines."""
-    own = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
     schema = T.StructType([*own.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_runs"))])
-    out = _joined(own, id_col, "text", min_words).select(id_col, "text", "_runs").mapInArrow(_delete("text", own.columns, True), schema)
-    return out.select(id_col, "n_lines", "n_removed_lines", "n_removed_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    joined, runs = _joined(own, "own_id", "own_text", min_words)
+    out = joined.mapInArrow(_delete("own_text", runs, own.columns, min_words, True), schema)
+    return out.select(F.col("own_id").alias(id_col), "n_lines", "n_removed_lines", "n_removed_runs", F.sha2(F.coalesce("own_text", F.lit("")), 256).alias("kept_sha256"))
