@@ -31,6 +31,18 @@ SENTENCES = {
     43: "this work is licensed under a creative commons attribution 4 0 international license",
     50: "this source code form is subject to the terms of the mozilla public license v 2 0",
     60: "all rights reserved",
+    70: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    71: "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    72: "this is free and unencumbered software released into the public domain",
+    73: "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    74: "distributed under the boost software license version 1 0",
+    75: "this software is provided as is without any express or implied warranty",
+    76: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    80: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    81: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    82: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    83: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    84: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
 }
 #: Rule, licence, identifiers that must follow one another (other sentences may lie between).
 RULES = [
@@ -40,9 +52,11 @@ RULES = [
     ("bsd-2-text", "BSD-2-Clause", [30, 31, 32]), ("bsd-3-text", "BSD-3-Clause", [30, 31, 32, 33]),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", [40]), ("cc-by-notice", "CC-BY-4.0", [41]), ("cc-by-sa-notice", "CC-BY-SA-4.0", [42]), ("cc-by-text", "CC-BY-4.0", [43]),
     ("mpl-notice", "MPL-2.0", [50]), ("reserved", "LicenseRef-all-rights-reserved", [60]),
+    ("isc-text", "ISC", [70, 71]), ("unlicense-text", "Unlicense", [72, 73]), ("bsl-notice", "BSL-1.0", [74]), ("zlib-text", "Zlib", [75, 76]),
+    ("agpl-3-header", "AGPL-3.0-or-later", [80, 22]), ("lgpl-2.1-header", "LGPL-2.1-or-later", [81, 82]), ("epl-notice", "EPL-2.0", [83]), ("cc-by-sa-text", "CC-BY-SA-4.0", [84]),
 ]
 #: A text without any of these, in any case, holds no known sentence.
-HINTS = ["licen", "permission", "above copyright notice", "rights reserved", "provided", "redistribut", "warranty", "except in compliance"]
+HINTS = ["licen", "permission", "above copyright notice", "rights reserved", "provided", "redistribut", "warranty", "except in compliance", "unencumbered", "anyone is free", "disclaims all warranties"]
 
 
 #: A full stop after one of these doesn't end a sentence.
@@ -69,6 +83,13 @@ def _pattern(sentences) -> str:
     return "(?:(?<=[HS])|(?<=[HS] )|(?<=^)|(?<=^ ))(?:" + "|".join(s.replace(" ", "[ S]++") for s in longest) + ")(?= ?(?:[HS]|$))"
 
 
+def _occurrence(ids: list[int], longer: list[list[int]]) -> str:
+    """Pattern of ids, one after another, in a path ",1,2,3,", but not where they are a part of a longer sequence."""
+    text = lambda seq: "".join(f"{i}," for i in seq)
+    inside = [(o[:k], o[k + len(ids) :]) for o in longer for k in range(len(o) - len(ids) + 1) if o[k : k + len(ids)] == ids]
+    return "(?<=,)" + "".join("(?!" + (f"(?<=,{text(a)})" if a else "") + text(ids) + text(b) + ")" for a, b in inside) + text(ids)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[int, str] | None = None, rules: list | None = None, hints: list[str] | None = None) -> DataFrame:
     """Licences that every text names.
 
@@ -78,9 +99,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     sentence first, so that wrapped texts and one-line notices are found alike. A sentence is
     lower-cased and its runs of other characters than a-z and 0-9 become one blank. Known
     sentences make the text's identifier sequence, in order; a rule matches where
-    its identifiers follow one another in that sequence. A rule whose identifiers are a part of
-    a longer matching rule's, one after another, gives way to it. Null and empty texts have none.
-    Rows are judged one by one, so repeated rows and ids get equal results.
+    its identifiers follow one another in that sequence. An occurrence that lies inside one of a
+    longer rule gives way to it; a rule is named if an occurrence of it is left. Null and empty
+    texts have none; texts of any length are read whole, an empty table gives no rows, and other
+    columns are ignored. Rows are judged one by one, so repeated rows and ids get equal results.
 
     :return: one row per row of `docs`: id_col, n_sentences (known ones), sentence_ids, rules,
         licences (comma-joined; the last two sorted and distinct), n_licences.
@@ -98,14 +120,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     df = docs.select(F.col(id_col).alias("own_id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     df = df.withColumn("sentence_ids", F.concat_ws(",", "ids"))
     path = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    joined = {name: ",".join(map(str, seq)) for name, _, seq in rules}
-    found = {}
-    for name, _, seq in rules:
-        longer = [o for o, _, _ in rules if o != name and f",{joined[name]}," in f",{joined[o]},"]
-        hit = path.contains(f",{joined[name]},")
-        for o in longer:
-            hit = hit & ~path.contains(f",{joined[o]},")
-        found[name] = hit
+    found = {name: path.rlike(_occurrence(seq, [o for _, _, o in rules if len(o) > len(seq)])) for name, _, seq in rules}
     hits = F.filter(F.array(*(F.when(found[name], F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence"))) for name, licence, _ in rules)), lambda x: x.isNotNull())
     df = df.withColumn("hits", hits)
     return df.select(
@@ -118,20 +133,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
 def oracle() -> str:
     """SQL that gives the rows of scan() over `documents`."""
     values = ", ".join(f"('{s}', {i})" for i, s in SENTENCES.items())
-    joined = {name: ",".join(map(str, seq)) for name, _, seq in RULES}
-    cases = []
-    for name, licence, _ in RULES:
-        longer = [o for o in joined if o != name and f",{joined[name]}," in f",{joined[o]},"]
-        cases.append(f"SELECT doc_id, '{name}' AS rule, '{licence}' AS licence FROM s WHERE contains(path, ',{joined[name]},')" + "".join(f" AND NOT contains(path, ',{joined[o]},')" for o in longer))
+    rules = ", ".join(f"('{name}', '{licence}', {seq})" for name, licence, seq in RULES)
     return f"""
 WITH known(sentence, id) AS (VALUES {values}),
 line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
 cut AS (SELECT doc_id, i, unnest(string_split(regexp_replace(l, '([.!?:])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) AS s,
         unnest(range(len(string_split(regexp_replace(l, '([.!?:])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))))) AS j FROM line),
 hit AS (SELECT doc_id, i, j, id FROM cut JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
-s AS (SELECT doc_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY i, j) AS ids, ',' || string_agg(id::VARCHAR, ',' ORDER BY i, j) || ',' AS path FROM hit GROUP BY doc_id),
-r AS ({" UNION ALL ".join(cases)}),
+s AS (SELECT doc_id, count(*) AS n, list(id ORDER BY i, j) AS ids FROM hit GROUP BY doc_id),
+rule(rule, licence, seq) AS (VALUES {rules}),
+place AS (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS a FROM s),
+o AS (SELECT doc_id, rule, licence, a, a + len(seq) - 1 AS b FROM place, rule WHERE a + len(seq) - 1 <= len(ids) AND ids[a:a + len(seq) - 1] = seq),
+r AS (SELECT doc_id, rule, licence FROM o WHERE NOT EXISTS (SELECT 1 FROM o AS l WHERE l.doc_id = o.doc_id AND l.a <= o.a AND l.b >= o.b AND l.b - l.a > o.b - o.a)),
 g AS (SELECT doc_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(DISTINCT licence) AS n FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(s.n, 0) AS n_sentences, coalesce(s.ids, '') AS sentence_ids, coalesce(g.rules, '') AS rules, coalesce(g.licences, '') AS licences, coalesce(g.n, 0) AS n_licences
+SELECT d.doc_id, coalesce(s.n, 0) AS n_sentences, coalesce(array_to_string(s.ids, ','), '') AS sentence_ids, coalesce(g.rules, '') AS rules, coalesce(g.licences, '') AS licences, coalesce(g.n, 0) AS n_licences
 FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN g USING (doc_id)
 """
