@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import MAX_LABELLED, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 from .textkit import BLANK_SPLIT, slices, flatten, word_spans
 
 #: Share of the expected tokens that each domain is to get.
@@ -29,8 +29,8 @@ def domains() -> dict[str, Column]:
     return {"good": good & ~toxic, "plain": ~good & ~toxic, "toxic": good & toxic, "toxic_plain": ~good & toxic}
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], id_col: str, text_col: str, max_labelled: int, scratch: Scratch) -> DataFrame:
-    """All columns of `docs` and `_mix`: tokens (words of the text) and p, the probability of each domain (one-against-rest models, made to sum to 1)."""
+def posteriors(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], id_col: str, text_col: str, max_labelled: int, scratch: Scratch, out_col: str) -> DataFrame:
+    """All columns of `docs` and `out_col`: tokens (words of the text) and p, the probability of each domain (one-against-rest models, made to sum to 1)."""
     rows = labelled(docs, labels, conditions, id_col, text_col, max_labelled)
     chosen = select_features(rows, len(conditions), scratch)
     doc, which, y, _ = collect_training(rows, chosen, len(conditions))
@@ -49,10 +49,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column]
                 data, offsets = flatten(part.column(text_col))
                 tokens = np.diff(word_spans(data, offsets, BLANK_SPLIT)[2])
                 column = pa.StructArray.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "_mix"])
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, out_col])
 
     mix = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_mix", mix)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, mix)]))
 
 
 def _rates(p: np.ndarray, steps: list[np.ndarray], ridge: float, size: float) -> np.ndarray:
@@ -128,7 +128,7 @@ def descend(table: DataFrame, targets: np.ndarray, ridge: float, tolerance: floa
 
 def mix(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", conditions: dict[str, Column] | None = None, targets: dict[str, float] | None = None,
-    ridge: float = 1e-3, tolerance: float = 1e-6, max_steps: int = 40, max_labelled: int = MAX_LABELLED,
+    ridge: float = 1e-3, tolerance: float = 1e-6, max_steps: int = 40, max_labelled: int = MAX_LABELLED, out_col: str = "_rate",
 ) -> DataFrame:
     """A nonnegative rate for every document, so that the expected tokens of the domains meet the targets.
 
@@ -140,7 +140,7 @@ def mix(
     and a rate by them. Without labels all posteriors are equal. Repeated rows count as often as
     they stand. An empty table gives no rows.
 
-    :return: all columns and rows of `docs` (none is renamed) and the struct column `_rate`:
+    :return: all columns and rows of `docs` (none is renamed) and the struct column `out_col`, whose name must be new:
         tokens, p (an array in the order of `targets`), rate.
 
     Two narrow passes over the texts; the steps read a written table of a few numbers a row.
@@ -148,10 +148,12 @@ def mix(
     conditions, targets = conditions or domains(), targets or TARGETS
     if list(conditions) != list(targets):
         raise ValueError("domains and targets must have the same names in the same order")
-    scratch = Scratch(docs.sparkSession, "mixing")
+    if fresh(docs, out_col) != out_col:
+        raise ValueError(f"documents have a column {out_col} already")
+    scratch, mixed = Scratch(docs.sparkSession, "mixing"), fresh(docs, "_mix")
     aim = np.array(list(targets.values()), float)
-    with_p = posteriors(docs, labels, conditions, id_col, text_col, max_labelled, scratch)
-    table = scratch.keep(with_p.select("_mix.tokens", "_mix.p"))
+    with_p = posteriors(docs, labels, conditions, id_col, text_col, max_labelled, scratch, mixed)
+    table = scratch.keep(with_p.select(f"{mixed}.tokens", f"{mixed}.p"))
     aim = aim / aim.sum()
     steps, share, left = descend(table, aim, ridge, tolerance, max_steps)
     if share is not None and np.abs(share - aim).max() > MISS:
@@ -162,14 +164,14 @@ def mix(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("_mix")
+            x = batch.column(mixed)
             p = x.field("p")
             rate = _rates(p.flatten().to_numpy().reshape(batch.num_rows, -1), steps, ridge, size) if batch.num_rows else np.zeros(0)
             out = pa.StructArray.from_arrays([x.field("tokens"), p, pa.array(rate)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "_rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], out_col])
 
     rate = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())])
-    return with_p.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_rate", rate)]))
+    return with_p.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, rate)]))
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import MAX_LABELLED, chance, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 from .textkit import slices
 
 FOLDS = 5
@@ -41,19 +41,22 @@ def fit_chain(doc: np.ndarray, which: np.ndarray, y: np.ndarray, ids: np.ndarray
     return models
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: dict[str, Column] | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: dict[str, Column] | None = None, max_labelled: int = MAX_LABELLED, out_col: str = "_chain") -> DataFrame:
     """Probabilities of the chain's categories for every text.
 
     :param labels: id_col and the columns that the categories' conditions read. The models are
         fitted on at most `max_labelled` labelled rows, in the order of a hash of the id; the
         features are words and word beginnings whose presence differs between the classes.
-    :return: all columns and rows of `docs` (none is renamed) and the struct column `_chain` of
-        one double a category.
+    :return: all columns and rows of `docs` (none is renamed) and the struct column `out_col` of
+        one double a category; its name must be new.
 
     A null or empty text has no features and gets the share of each category among texts
     without any. Without labels, or with a single class, every probability is that of the class
-    seen, or 0. One narrow pass over `docs` after the fit; the models are small arrays in the task.
+    seen, or 0. Rows are judged one by one, so repeated rows get equal results; an id that repeats in
+    `labels` counts once. Texts of any length are read whole. An empty table gives no rows. One narrow pass over `docs` after the fit; the models are small arrays in the task.
     """
+    if fresh(docs, out_col) != out_col:
+        raise ValueError(f"documents have a column {out_col} already")
     chain = chain or categories()
     names = list(chain)
     rows = labelled(docs, labels, chain, id_col, text_col, max_labelled)
@@ -74,9 +77,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     dense = np.concatenate([dense, _logit(p)], 1)
                 out = out or [np.zeros(n)] * len(names)
                 column = pa.StructArray.from_arrays([pa.array(x) for x in out], names=names)
-                yield pa.RecordBatch.from_arrays([*part.columns, column.cast(kind)], names=[*part.schema.names, "_chain"])
+                yield pa.RecordBatch.from_arrays([*part.columns, column.cast(kind)], names=[*part.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_chain", T.StructType([T.StructField(c, T.DoubleType()) for c in names]))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StructType([T.StructField(c, T.DoubleType()) for c in names]))]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
@@ -89,4 +92,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of `docs` that aren't toxic, with their columns unchanged."""
-    return score(docs, labels, **options).where(F.col("_chain.toxic") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = fresh(docs, "_chain")
+    return score(docs, labels, out_col=name, **options).where(F.col(f"{name}.toxic") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
