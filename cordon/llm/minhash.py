@@ -5,10 +5,12 @@ the top bits of its g-th hash, and the bucket keeps the leading-zero count (6 bi
 10 mantissa bits of its smallest value. One group of the first BANDS is one band: its four
 16-bit registers are the band key. Texts that share a band key are compared with a hub of that
 key, first by the collision-corrected Jaccard estimate of all registers, then on full shingle sets.
+What hubs leave apart is paired by a prefix join that misses no similar pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .textkit import BLANK_SPLIT, U, mix, shingles, slices, split_ranges, word_hashes
+from .textkit import BLANK_SPLIT, LOWER, SpanHash, U, flatten, mix, shingles, slices, split_ranges, word_hashes, word_spans
 
 GROUPS, BANDS, BUCKETS, MANTISSA = 64, 32, 4, 10
 EMPTY = 0xFFFF
@@ -28,8 +30,8 @@ EMPTY = 0xFFFF
 MARGIN = 5.0
 #: Members compared with one copy of a hub's text.
 CHUNK = 256
-#: Members of a group of candidates that are paired directly.
-SMALL = 32
+#: 64-bit words of a text's bitmap of shingles.
+BITMAP = 16
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (GROUPS, 2), dtype=np.int64).astype(U) | U(1)
 
 
@@ -78,19 +80,19 @@ def _signatures(text: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                words, at = word_hashes(part.column(text), BLANK_SPLIT)
-                hashes, to = shingles(words, at, n)
+                data, offsets = flatten(part.column(text))
+                data = LOWER[data]
+                start, end, at = word_spans(data, offsets, BLANK_SPLIT)
+                hashes, to = shingles(SpanHash(data)(start, end), at, n)
                 regs = registers(hashes, to)
                 size = [len(np.unique(x)) for x in split_ranges(hashes, to)]
-                order = np.arange(len(words), dtype=U) - np.repeat(at[:-1], np.diff(at)).astype(U)
-                marks = []
-                for salt in (U(0x51), U(0xA7)):
-                    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(words * (salt | U(1)) ^ mix(order + salt)))])
-                    marks.append(mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(size, pa.int64()), pa.array(marks[0]), pa.array(marks[1]), pa.array([x.tobytes() for x in regs], pa.binary())],
-                    names=["id", "n_shingles", "m1", "m2", "regs"],
-                )
+                # the words, one separator after each, are digested: texts of equal words are equal texts
+                word = BLANK_SPLIT[data]
+                shown = word | np.concatenate([[False], word[:-1]])
+                flat = np.where(word, data, 10)[shown].tobytes()
+                ends = np.concatenate([[0], np.cumsum(shown)])[offsets].tolist()
+                words = [hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())], names=["id", "n_shingles", "words", "regs"])
 
     return run
 
@@ -118,6 +120,10 @@ def _plausible(threshold: float):
     return run
 
 
+def _sets(texts: pa.Array, n: int, salt: int) -> list[np.ndarray]:
+    return [np.unique(x) for x in split_ranges(*shingles(*word_hashes(texts, BLANK_SPLIT, salt=salt), n))]
+
+
 def _verify(text: str, n: int, percent: int):
     """Rows sorted by hub, chunk, role: a hub's texts come before its members'."""
 
@@ -125,8 +131,8 @@ def _verify(text: str, n: int, percent: int):
         now, hubs = None, []
         for batch in batches:
             for part in slices(batch, text):
-                words, at = word_hashes(part.column(text), BLANK_SPLIT)
-                sets = [np.unique(x) for x in split_ranges(*shingles(words, at, n))]
+                # bases of their own: what signatures and bands take for equal is judged anew
+                sets = _sets(part.column(text), n, salt=1)
                 a, b = [], []
                 for hub, chunk, role, id_, own in zip(*(part.column(c).to_pylist() for c in ("hub", "chunk", "role", "id")), sets, strict=True):
                     if (hub, chunk) != now:
@@ -152,24 +158,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are lower-cased (A-Z) runs of non-blank characters; a text of fewer than `ngram` words
     is one shingle, a text without words or a null text has none and is linked with nothing.
     Rows that repeat an id are one document: it has the links of each of its rows. Rows with a
-    null id are never linked and have a null component. Other columns of `docs` are ignored.
+    null id are never linked and have a null component. Other columns of `docs` are ignored,
+    whatever their names. Very long texts are taken whole; an empty table gives no rows.
 
     :return: one row per row of `docs`: id_col, n_shingles (long), component_id (smallest id
         reachable over links, itself included), kept (component_id equals the id; true for a null id).
 
-    Equal word sequences are grouped first and stand for one another, so a large group of copies
-    costs a row each, not a pair each. Then each band key links its members to one hub. Where a
-    key's members are not in one component after that, they are linked to the hub with most
-    links, and what is still apart is looked up by its rarest shingles.
+    Texts of equal words (by a 128-bit digest) are grouped first and stand for one another, so a
+    large group of copies costs a row each, not a pair each. Then each band key links its members
+    to one hub, and where they aren't in one component after that, to the hub with most links.
+    Texts that are still apart from others of their band keys are paired by `_apart`. So a large
+    group costs a pair a member and key, and beyond that only pairs that its rarest shingles,
+    positions, lengths and bitmaps can't rule out.
     The chance that a pair of similarity 0.8 shares none of the bands is (1 - 0.8^4)^32 < 1e-7.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = scratch.keep(texts.mapInArrow(_signatures("text", ngram), "id long, n_shingles long, m1 long, m2 long, regs binary"))
+    sigs = scratch.keep(texts.mapInArrow(_signatures("text", ngram), "id long, n_shingles long, words binary, regs binary"))
     known = sigs.where("id is not null and n_shingles > 0")
-    first = known.groupBy("m1", "m2").agg(F.min("id").alias("rep"), F.min_by("regs", "id").alias("regs"), F.min("n_shingles").alias("n"))
-    reps = scratch.keep(first.select(F.col("rep").alias("id"), "m1", "m2", "regs", "n"))
-    copies = known.join(reps.select("m1", "m2", F.col("id").alias("rep")), ["m1", "m2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    first = known.groupBy("words").agg(F.min("id").alias("rep"), F.min_by("regs", "id").alias("regs"), F.min("n_shingles").alias("n"))
+    reps = scratch.keep(first.select(F.col("rep").alias("id"), "words", "regs", "n"))
+    copies = known.join(reps.select("words", F.col("id").alias("rep")), "words").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     dealt = scratch.keep(reps.select("id", "regs").mapInArrow(_bands, "band long, id long"))
     shared = dealt.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", F.col("low").alias("hub"))
@@ -201,52 +210,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = scratch.keep(open_.join(links, "id", "left").groupBy("band").agg(best).select("band", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root")))
         found = compared(open_.join(hubs, "band").where("root <> hub_root").select(F.col("id").alias("a"), F.col("hub").alias("b")))
         roots = roots if found.isEmpty() else again()
-        found = compared(_apart(rooted(open_, roots), pool, regs, ngram, percent, scratch))
+        members = scratch.keep(rooted(open_, roots).select("id", "root").distinct())
+        found = compared(_apart(members, pool, ngram, percent, scratch))
         roots = roots if found.isEmpty() else again()
     scratch.only(sigs, roots)
     out = sigs.join(roots, sigs.id == roots.node, "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _apart(rows: DataFrame, pool: DataFrame, regs: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of texts in different components that share a band key and can be similar.
+def _shingle_rows(n: int):
+    """A row for each shingle of each text, with the text's size."""
 
-    A key belongs to the group of the component that holds most of its members. Members of a
-    group of up to SMALL are paired directly. In a larger one each text that isn't of the group's
-    own component is looked up by its rarest shingles there: a text of n shingles that shares at
-    least o with another has one of its n - o + 1 rarest among those of the other. Edited
-    copies have many rare shingles, so what is found is few, however large the group is.
-    """
-    size = rows.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", (-F.col("root")).alias("r"), "root")).alias("m")).select("band", F.col("m.root").alias("g"))
-    sizes = regs.groupBy("id").agg(F.min("n").alias("n_least"), F.max("n").alias("n"))
-    members = scratch.keep(rows.join(size, "band").select("g", "id", "root").distinct().join(sizes, "id"))
-    per = members.groupBy("g").agg(F.count("*").alias("members"))
-    members = scratch.keep(members.join(per, "g"))
-    small = members.where(F.col("members") <= SMALL).select("g", "id", "root", "n", "n_least")
-    other = small.toDF("g", "id2", "root2", "n2", "n_least2")
-    near = (100 * F.col("n_least") <= 10_000 / percent * F.col("n2")) & (100 * F.col("n_least2") <= 10_000 / percent * F.col("n"))
-    pairs = small.join(other, "g").where((F.col("root") > F.col("root2")) & near).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    large = members.where(F.col("members") > SMALL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = _sets(part.column("text"), n, salt=1)
+                size = np.array([len(x) for x in sets])
+                row = np.repeat(np.arange(len(sets)), size)
+                own = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("id", "mark", "root")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size[row]), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "mark", "root", "n", "shingle"])
+
+    return run
+
+
+def _bitmaps(n: int):
+    """A bitmap of each text's shingles: bit h for every shingle with hash h modulo its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words, at = word_hashes(part.column("text"), BLANK_SPLIT)
-                sets = [np.unique(x) for x in split_ranges(*shingles(words, at, ngram))]
-                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                own = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("g", "id", "root")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.array([len(x) for x in sets])[row]), pa.array(np.concatenate(sets).view(np.int64))], names=["g", "id", "root", "n", "shingle"])
-
-    each = scratch.keep(pool.join(large.select("g", "id", "root"), "id").select("g", "id", "root", "text").mapInArrow(run, "g long, id long, root long, n long, shingle long"))
-    often = each.groupBy("g", "shingle").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("g", "id", "n").orderBy("often", "shingle")
-    asked = each.where("root <> g").join(often, ["g", "shingle"]).withColumn("place", F.row_number().over(order))
-    # a partner has as many shingles at least as would make the smallest overlap
-    asked = asked.where((100 * (F.col("n") + 1 - F.col("place")) >= percent * F.col("n")) & (F.col("often") > 1))
-    there = each.select("g", "shingle", F.col("id").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
-    reached = (100 + percent) * (F.col("n") + 1 - F.col("place")) >= percent * (F.col("n") + F.col("m"))
-    found = asked.select("g", "shingle", F.col("id").alias("a"), "root", "n", "place").join(there, ["g", "shingle"]).where((F.col("root") != F.col("other")) & reached & (100 * F.col("m") >= percent * F.col("n")))
-    return pairs.unionByName(found.select("a", "b").distinct())
+                sets = _sets(part.column("text"), n, salt=1)
+                bits = np.zeros((len(sets), BITMAP), U)
+                for row, x in zip(bits, sets, strict=True):
+                    np.bitwise_or.at(row, (x >> U(6)) % U(BITMAP), U(1) << (x & U(63)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *(pa.array(b.view(np.int64)) for b in np.ascontiguousarray(bits.T))], names=["id", "mark", *(f"b{k}" for k in range(BITMAP))])
+
+    return run
+
+
+def _apart(members: DataFrame, pool: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Every pair (a, b) of the members (id, root) with different roots that can be similar.
+
+    Shingles are ordered by how rare they are among the members. Of two similar texts of n and m
+    shingles that share at least o, the first shared one in that order has a place of at most
+    n - o + 1 in one text and m - o + 1 in the other. A pair that meets there is ruled out by
+    its sizes, or by the bits in which the bitmaps of its shingles differ: no more shingles can
+    be in one text alone than similarity allows. Edited copies start with shingles of their own,
+    so groups of any size meet little, and all sizes take this one way.
+    """
+    texts = scratch.keep(pool.join(members, "id").select("id", F.xxhash64("text").alias("mark"), "root", "text"))
+    each = scratch.keep(texts.mapInArrow(_shingle_rows(ngram), "id long, mark long, root long, n long, shingle long"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("id", "mark").orderBy("often", "shingle")
+    placed = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
+    # a partner has percent / 100 of the shingles at least
+    first = placed.where((100 * (F.col("n") + 1 - F.col("place")) >= percent * F.col("n")) & (F.col("often") > 1)).drop("often")
+    bits = texts.mapInArrow(_bitmaps(ngram), "id long, mark long, " + ", ".join(f"b{k} long" for k in range(BITMAP)))
+    first = scratch.keep(first.join(bits, ["id", "mark"]))
+    scratch.drop(each)
+    a, b = first.alias("a"), first.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    reached = [(100 + percent) * (F.col(f"{s}.n") + 1 - F.col(f"{s}.place")) >= percent * both for s in "ab"]
+    differ = F.lit(0)
+    for k in range(BITMAP):
+        differ = differ + F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}")))
+    near = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * differ <= (100 - percent) * both)
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") > F.col("b.root")) & reached[0] & reached[1] & near)
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, pool: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
