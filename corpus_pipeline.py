@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordon.llm import decontaminate, lineruns, minhash, mixing, toxicity
-from cordon.llm.scratch import shared_dir
+from cordon.llm.scratch import fresh, shared_dir
 from cordon.session import ship
 
 
@@ -17,38 +17,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't call toxic."""
+    """Documents that the classifier chain doesn't call toxic. Rows are judged one by one: repeated rows and
+    ids, null ids, null, empty and very long texts stay or go by their text alone."""
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of lines of 30 words or more; n_chars follows the text."""
+    """Documents without later copies of runs of lines of 30 words or more; n_chars follows the text. A text that
+    loses all its words goes; null and empty texts stay. Rows of one id and text are one document."""
     ship(spark)
     return lineruns.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8); rows that repeat an id become one."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that of smallest id.
+
+    Rows that repeat an id and its text become one, the least by its other columns; rows of one id with
+    different texts stay together or go together, as one document. Of rows with a null id, which are
+    linked with nothing, one of each text stays. Null and empty texts are copies of nothing.
+    """
     ship(spark)
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    groups = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    gone = fresh(docs, "_id")
+    left = docs.join(groups.withColumnRenamed("id", gone), F.col("doc_id") == F.col(gone), "left_anti")
+    # the least row of each id and text; texts are told apart by a digest
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = left.withColumn(mark := fresh(docs, "_text"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    first = own.groupBy("doc_id", F.col("text").isNull().alias("none"), mark).agg(F.min(F.struct("text", *others)).alias("row"))
+    return first.select(*("doc_id" if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty lies in a benchmark phrase."""
+    """Documents of which less than one word in twenty lies in a benchmark phrase. Rows are judged one by one."""
     return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a rate above 0, and the rate: how often a document is to be drawn for the domains to meet their targets."""
-    out = mixing.mix(docs, _table(spark, sf_dir, "labels"))
-    return out.where("_rate.rate > 0").select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_rate.tokens").alias("mix_tokens"), F.round("_rate.rate", 6).alias("mix_rate"))
+    """Documents with a rate above 0, and the rate: how often a document is to be drawn for the domains to meet
+    their targets. Null and empty texts have a rate too; repeated rows count as often as they stand."""
+    name = fresh(docs, "_rate")
+    out = mixing.mix(docs, _table(spark, sf_dir, "labels"), out_col=name)
+    return out.where(F.col(f"{name}.rate") > 0).select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{name}.tokens").alias("mix_tokens"), F.round(f"{name}.rate", 6).alias("mix_rate"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("minhash", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", weigh)]
 
-#: The stages fit and search; SQL doesn't express them. tests/llm compares each with a brute-force version.
+#: The stages fit and search; SQL doesn't express them. tests/llm compares them with brute-force versions.
 ORACLE_SQL = None
 
 
