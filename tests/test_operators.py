@@ -148,3 +148,29 @@ def test_conditional_aggregate_over_protected_data_blocks(spark):
 def test_exposure_precedence(spark, rows, kind):
     df = spark.createDataFrame([(1, *r) for r in rows], "query_id long, output_name string, src_field string, bare boolean, grouped boolean, is_filter boolean, agg string, nested boolean, position int")
     assert policy.classify_exposure(df).first().kind == kind
+
+
+def test_receipts_that_repeat_in_a_batch(spark, tmp_path):
+    from cordon.sources import sinks
+
+    rows = [("a", "1"), ("a", "1"), ("b", "1"), ("b", "2"), ("c", "1")]
+    df = spark.createDataFrame(rows, "receipt_id string, content_sha256 string")
+    assert sorted(tuple(r) for r in sinks.write_receipts(df, f"{tmp_path}/r").collect()) == [("b", "1"), ("b", "2")]
+    again = spark.createDataFrame([("a", "1"), ("c", "9")], df.schema)
+    assert [tuple(r) for r in sinks.write_receipts(again, f"{tmp_path}/r").collect()] == [("c", "9")]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/r").collect()) == [("a", "1"), ("c", "1")]
+
+
+def test_direct_identifier_conditional_and_nested_block(spark):
+    from cordon.operators import policy
+
+    catalog = spark.createDataFrame([("p", "email", "DIRECT_IDENTIFIER"), ("p", "key", "STABLE_PSEUDONYM"), ("p", "ill", "SENSITIVE_ATTRIBUTE"), ("p", "age", "QUASI_IDENTIFIER")], "dataset string, field string, category string")
+    lineage = spark.createDataFrame([], "dataset string, field string, src_dataset string, src_field string")
+    refs = [(1, "email", "RAW_VALUE"), (1, "ill", "RAW_VALUE"), (2, "ill", "CONDITIONAL_AGGREGATE"), (3, "age", "NESTED_SCOPE"), (4, "key", "RAW_VALUE"), (4, "ill", "RAW_VALUE"), (5, "age", "RAW_VALUE")]
+    refs = spark.createDataFrame([(q, "p", f, k) for q, f, k in refs], "query_id long, dataset string, field string, kind string")
+    queries = spark.createDataFrame([(k, False, None, None, "p.key", None) for k in range(1, 6)], "query_id long, is_grouped boolean, threshold int, threshold_subject string, subject string, upstream string")
+    got = {r.query_id: (r.decision, r.reasons) for r in policy.decide(queries, refs, catalog, lineage).collect()}
+    risk = "COMPOSITIONAL_REIDENTIFICATION_RISK"
+    assert got == {1: ("BLOCK", ["DIRECT_SENSITIVE_LINKAGE"]), 2: ("BLOCK", [risk]), 3: ("BLOCK", ["UNRESOLVED_COLUMN"]), 4: ("BLOCK", [risk]), 5: ("ALLOW", ["NO_COMPOSITIONAL_RISK"])}
+    legacy = {r.query_id: r.decision for r in policy.decide(queries, refs, catalog, lineage, min_quasi=2).collect()}
+    assert legacy[4] == "ALLOW" and legacy[1] == "BLOCK"
