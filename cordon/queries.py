@@ -300,15 +300,7 @@ def _(t):
     return policy.asof_snapshot(e.withColumn("ts", F.col("ts").cast("timestamp")), s.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withColumn("expires_at", F.col("expires_at").cast("timestamp")))
 
 
-@query("d13_catalog_diff", """WITH a AS (SELECT p_brand AS dataset, p_type AS field, min(p_name) AS before FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT p_brand AS dataset, p_type AS field, min(p_name) AS after FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2)
-SELECT dataset, field, before, after, CASE WHEN before IS NULL THEN 'ADDED' WHEN after IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (dataset, field) WHERE before IS DISTINCT FROM after""")
-def _(t):
-    snap = lambda m: t.part.where(f"p_partkey % {m} = 0").groupBy(F.col("p_brand").alias("dataset"), F.col("p_type").alias("field")).agg(F.min("p_name").alias("category"))
-    return policy.catalog_diff(snap(2), snap(3))
-
-
-# Every part row is in the first snapshot; the second has the parts that were ever ordered.
-@query("d13_catalog_diff_all", """WITH a AS (SELECT p_brand AS dataset, p_type AS field, min(p_name) AS before FROM part GROUP BY 1, 2), b AS (SELECT p_brand AS dataset, p_type AS field, max(p_name) AS after FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1, 2)
+@query("d13_catalog_diff", """WITH a AS (SELECT p_brand AS dataset, p_type AS field, min(p_name) AS before FROM part GROUP BY 1, 2), b AS (SELECT p_brand AS dataset, p_type AS field, max(p_name) AS after FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1, 2)
 SELECT dataset, field, before, after, CASE WHEN before IS NULL THEN 'ADDED' WHEN after IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (dataset, field) WHERE before IS DISTINCT FROM after""")
 def _(t):
     snap = lambda parts, f: parts.groupBy(F.col("p_brand").alias("dataset"), F.col("p_type").alias("field")).agg(f("p_name").alias("category"))
@@ -795,44 +787,9 @@ def _(t):
     return ledger.verify_index(r.withColumn("payload_json", F.to_json(F.struct((F.col("scope") + (F.col("record_id") % 23 == 0).cast("long")).alias("scope"), "record_id"))))
 
 
-@query("h5_fixed_point", """WITH f AS (SELECT DISTINCT user_id AS scope, event_type AS fact FROM events WHERE event_id % 40 < 9), e AS (SELECT scope FROM f WHERE fact = 'view' INTERSECT SELECT scope FROM f WHERE fact = 'click'), b AS (SELECT scope FROM e INTERSECT SELECT scope FROM f WHERE fact = 'purchase')
-SELECT * FROM f UNION ALL SELECT scope, 'engaged' FROM e UNION ALL SELECT scope, 'buyer' FROM b""")
-def _(t):
-    from .streaming.traffic import _shared
-
-    base, n = _shared(t.spark), iter(range(1_000))
-
-    def keep(df: DataFrame) -> DataFrame:
-        to = f"{base}/{next(n)}"
-        df.write.parquet(to)
-        return t.spark.read.schema(df.schema).parquet(to)
-
-    rules = t.spark.createDataFrame([(1, "view", "engaged"), (1, "click", "engaged"), (2, "engaged", "buyer"), (2, "purchase", "buyer")], "rule_id int, premise string, conclusion string")
-    return history.fixed_point(t.events.where("event_id % 40 < 9").select(F.col("user_id").alias("scope"), F.col("event_type").alias("fact")), rules, keep)
-
-
 _BITS = "CASE event_type WHEN 'view' THEN 16 WHEN 'click' THEN 4 WHEN 'error' THEN 16 WHEN 'signup' THEN 2 ELSE 8 END"
 
 
-@query("h17_what_if", f"""WITH RECURSIVE s AS (SELECT user_id AS scope, bit_or({_BITS}) AS mask FROM events WHERE event_id % 50 = 0 GROUP BY 1), v AS (SELECT DISTINCT user_id AS scope, 'add-' || event_type AS action, {_BITS} AS bit FROM events WHERE event_id % 50 IN (1, 2, 3)),
-w AS (SELECT scope, mask, 0 AS depth, '' AS path FROM s UNION ALL SELECT w.scope, w.mask | v.bit, w.depth + 1, CASE WHEN w.path = '' THEN v.action ELSE w.path || '>' || v.action END FROM w JOIN v ON v.scope = w.scope WHERE w.depth < 3 AND NOT (w.mask & 3 <> 0 AND w.mask & 8 <> 0) AND (w.mask | v.bit) <> w.mask)
-SELECT scope, depth, min(path) AS path FROM w JOIN (SELECT scope, min(depth) AS depth FROM w WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope) m USING (scope, depth) WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope, depth""")
-def _(t):
-    from .streaming.traffic import _shared
-
-    base, n = _shared(t.spark), iter(range(1_000))
-
-    def keep(df: DataFrame) -> DataFrame:
-        to = f"{base}/{next(n)}"
-        df.write.parquet(to)
-        return t.spark.read.schema(df.schema).parquet(to)
-
-    e = t.events.withColumn("bit", F.expr(_BITS))
-    states = e.where("event_id % 50 = 0").select(F.col("user_id").alias("scope"), F.col("bit").alias("mask"))
-    variants = e.where("event_id % 50 in (1, 2, 3)").select(F.col("user_id").alias("scope"), F.concat(F.lit("add-"), "event_type").alias("action"), "bit").distinct()
-    return history.what_if(states, variants, 3, keep)
-
-
 def _keeper(t: Tables) -> Callable[[DataFrame], DataFrame]:
     from .streaming.traffic import _shared
 
@@ -854,7 +811,7 @@ def _days(t: Tables) -> DataFrame:
 
 
 # Every event is a fact of its user's day.
-@query("h5_fixed_point_all", f"""WITH f AS (SELECT DISTINCT scope, event_type AS fact FROM ({_DAYS})), e AS (SELECT scope FROM f WHERE fact = 'view' INTERSECT SELECT scope FROM f WHERE fact = 'click'), b AS (SELECT scope FROM e INTERSECT SELECT scope FROM f WHERE fact = 'purchase')
+@query("h5_fixed_point", f"""WITH f AS (SELECT DISTINCT scope, event_type AS fact FROM ({_DAYS})), e AS (SELECT scope FROM f WHERE fact = 'view' INTERSECT SELECT scope FROM f WHERE fact = 'click'), b AS (SELECT scope FROM e INTERSECT SELECT scope FROM f WHERE fact = 'purchase')
 SELECT * FROM f UNION ALL SELECT scope, 'engaged' FROM e UNION ALL SELECT scope, 'buyer' FROM b""")
 def _(t):
     rules = t.spark.createDataFrame([(1, "view", "engaged"), (1, "click", "engaged"), (2, "engaged", "buyer"), (2, "purchase", "buyer")], "rule_id int, premise string, conclusion string")
@@ -862,7 +819,7 @@ def _(t):
 
 
 # A state is all that a user's day showed; its variants are all that the user ever showed.
-@query("h17_what_if_all", f"""WITH RECURSIVE d AS ({_DAYS}), s AS (SELECT user_id, scope, bit_or({_BITS}) AS mask FROM d GROUP BY ALL), v AS (SELECT DISTINCT user_id, 'add-' || event_type AS action, {_BITS} AS bit FROM d),
+@query("h17_what_if", f"""WITH RECURSIVE d AS ({_DAYS}), s AS (SELECT user_id, scope, bit_or({_BITS}) AS mask FROM d GROUP BY ALL), v AS (SELECT DISTINCT user_id, 'add-' || event_type AS action, {_BITS} AS bit FROM d),
 w AS (SELECT user_id, scope, mask, 0 AS depth, '' AS path FROM s UNION ALL SELECT w.user_id, w.scope, w.mask | v.bit, w.depth + 1, CASE WHEN w.path = '' THEN v.action ELSE w.path || '>' || v.action END FROM w JOIN v ON v.user_id = w.user_id WHERE w.depth < 3 AND NOT (w.mask & 3 <> 0 AND w.mask & 8 <> 0) AND (w.mask | v.bit) <> w.mask)
 SELECT scope, depth, min(path) AS path FROM w JOIN (SELECT scope, min(depth) AS depth FROM w WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope) m USING (scope, depth) WHERE mask & 3 <> 0 AND mask & 8 <> 0 GROUP BY scope, depth""")
 def _(t):
