@@ -6,7 +6,9 @@ windows of one trigger are a phrase: a stretch of text that holds each of its wi
 The dictionary of distinct phrases keeps the first place of each in corpus order; a phrase that
 stands elsewhere is removed there. Only phrases that share a trigger with another phrase of the
 dictionary can share single windows with it. Their suffixes, cut at `length` bytes, are sorted
-together with the places they come from in corpus order, and all but the first are removed.
+by their bytes, equal ones by place in corpus order, and all but the first of equals are removed.
+No string of `length` bytes leaves its phrase, so the parse needs no order beyond one phrase: its
+places, sorted by phrase and corpus order, take the part of its suffix array.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .textkit import SpanHash, U, flatten, mix, slices
 GRAM = 24
 #: Phrases a task holds before it sends them on; equal ones among them are sent once.
 FLUSH = 1 << 18
+#: Bytes of phrases whose suffixes are made at once; they take up to `length` times as many.
+SUFFIX_SLICE = 1 << 17
 LAST = (1 << 63) - 1
 # place: first byte of the first window (32 bits), hash of the text (16), windows (7), trigger's distance (7), already known to be removed (1)
 ROW = "gram long, phrase long, id long, place long"
@@ -179,20 +183,45 @@ def _contexts(text: str, length: int):
 
 
 def _suffixes(length: int):
-    """The windows of each phrase, with two hashes of their bytes."""
+    """The suffixes of each phrase that hold a window, cut to its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "bytes"):
+            for part in slices(batch, "bytes", SUFFIX_SLICE):
                 data, offsets = flatten(part.column("bytes"))
                 place = part.column("place").to_numpy()
                 count = _windows(place)
                 row = np.repeat(np.arange(len(place)), count)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                at = offsets[row] + step
-                one, two = SpanHash(data)(at, at + length), SpanHash(data, 77)(at, at + length)
+                cut = np.lib.stride_tricks.sliding_window_view(data, length)[offsets[row] + step]
+                suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(row), [None, pa.py_buffer(np.ascontiguousarray(cut))])
                 where = _pack(_start(place)[row] + step, (place[row] >> 15) & 0xFFFF, 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(part.column("id").to_numpy()[row]), pa.array(where)], names=["gram", "phrase", "id", "place"])
+                yield pa.RecordBatch.from_arrays([suffix.cast(pa.binary()), pa.array(part.column("id").to_numpy()[row]), pa.array(where)], names=["suffix", "id", "place"])
+
+    return run
+
+
+def _later(length: int):
+    """Reads rows sorted by suffix, id, place: those whose suffix has an earlier place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suffix, first_id, first_start = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("suffix").cast(pa.large_binary())
+            offset = np.frombuffer(at.buffers()[1], np.int64)[at.offset]
+            # all are of one length, so that equal means equal bytes
+            s = np.frombuffer(at.buffers()[2], f"S{length}", count=len(at), offset=int(offset))
+            i, place = batch.column("id").to_numpy(), batch.column("place").to_numpy()
+            start = _start(place)
+            new = np.concatenate([[suffix is None or s[0] != suffix], s[1:] != s[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+            ids, starts = np.where(first < 0, first_id, i[first]), np.where(first < 0, first_start, start[first])
+            later = (i != ids) | (start != starts)
+            suffix, first_id, first_start = s[-1], ids[-1], starts[-1]
+            if later.any():
+                yield pa.RecordBatch.from_arrays([pa.array(i[later]), pa.array(place[later])], names=["id", "place"])
 
     return run
 
@@ -238,8 +267,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A phrase is a row of two hashes and a place, and there is one for about `length` / 3 bytes.
     They are shuffled once and sorted, and repeats found within a task are not dealt by their
-    trigger, so a passage of many documents costs a task's share a row, not a document's. Hashes
-    are compared 128 bits at a time; texts are fetched only for the phrases that stand in doubt.
+    trigger, so a passage of many documents costs a task's share a row, not a document's. Phrases
+    are told apart by their own hash and their trigger's (124 bits); texts are fetched only for
+    those that stand in doubt, whose suffixes are compared byte for byte.
     """
     if not 2 * GRAM <= length <= 127:
         raise ValueError(f"length must be from {2 * GRAM} to 127")
@@ -252,8 +282,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = lambda df: df.groupBy("id").agg(F.collect_list("place").alias("places"))
     doubtful = texts.select("id", "text").join(listed(marked.where("kind = 2")), "id")
     contexts = doubtful.mapInArrow(_contexts("text", length), "gram long, id long, place long, bytes binary")
-    windows = contexts.repartition("gram").mapInArrow(_suffixes(length), ROW).sortWithinPartitions(*by)
-    single = scratch.keep(windows.mapInArrow(_mark, "id long, place long, kind byte").where("kind = 1").select("id", "place"))
+    suffixes = contexts.repartition("gram").mapInArrow(_suffixes(length), "suffix binary, id long, place long")
+    single = scratch.keep(suffixes.sortWithinPartitions("suffix", "id", "place").mapInArrow(_later(length), "id long, place long"))
 
     gone = listed(marked.where("kind = 1").select("id", "place").unionByName(single))
     out = T.StructType([T.StructField("own_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
