@@ -50,9 +50,8 @@ def _phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     if len(data) < length:
         return none.astype(U), none.astype(U), none, none, none, none
     spans = SpanHash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    grams = spans(at, at + GRAM)
-    low = (grams & U(0xFFFFFFFF00000000)) | (U(0xFFFFFFFF) - at.astype(U))
+    low = spans.order(GRAM) << U(32)
+    low |= U(0xFFFFFFFF) - np.arange(len(low), dtype=U)
     width, reach = length - GRAM + 1, 1
     while reach * 2 <= width:
         low = np.minimum(low[:-reach], low[reach:])
@@ -68,7 +67,7 @@ def _phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     sums = np.concatenate([[0], np.cumsum(whole)])
     borders = np.concatenate([np.flatnonzero(new), [n]])
     count = sums[borders[np.searchsorted(borders, start, side="right")]] - sums[start]
-    return grams[trigger[start]], spans(start, start + count - 1 + length), doc[start], start - offsets[doc[start]], count, trigger[start] - start
+    return spans(trigger[start], trigger[start] + GRAM), spans(start, start + count - 1 + length), doc[start], start - offsets[doc[start]], count, trigger[start] - start
 
 
 def _parse(text: str, length: int):

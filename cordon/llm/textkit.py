@@ -112,6 +112,12 @@ class SpanHash:
         one, two = (_reduced(_reduced(sums[end] - sums[start]) * down[start]) for sums, down in self.parts)
         return mix(((one << U(31)) | two) + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
+    def order(self, length: int) -> np.ndarray:
+        """A number of 32 bits for each span of `length` bytes, by one base only: to choose spans by, not to tell them apart."""
+        sums, down = self.parts[0]
+        n = max(len(sums) - length, 0)
+        return (_reduced(_reduced(sums[length:] - sums[:n]) * down[:n]) * U(0x9E3779B97F4A7C15)) >> U(32)
+
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the range of its words. The terminator must not be a word byte."""
