@@ -13,7 +13,7 @@ from .operators import claims as cl
 from .operators import evaluation as ev
 from .operators import folds, history, ledger, policy, repair
 from .operators import variants as va
-from .queries import _FOLD, _REC, _REL, ORACLES, Tables, _records, _releases, query
+from .queries import _FOLD, _REC, _REL, ORACLES, QUERIES, Tables, _records, _releases, query
 from .sources import sinks
 from .sources.tables import gen_warehouse, read_catalog, read_typed_csv
 
@@ -330,6 +330,14 @@ def _(t):
     return va.f6(t.customer.select(F.col("c_custkey").alias("scope"), F.lit("P").alias("policy"), F.lit("1-URGENT").alias("snapshot")), b)
 
 
+@query("h12_evaluate_all", "WITH a AS (" + ORACLES["h12_evaluate_state"] + "), b AS (" + ORACLES["h10_two_snapshots"] + "), c AS (" + ORACLES["h11_governance"] + """),
+u AS (SELECT scope, unnest(string_split(forbidden, ',')) AS p, true AS hit FROM a UNION ALL SELECT scope, 'F5', result = 'MATCHED' FROM b UNION ALL SELECT scope, 'F6', true FROM c), g AS (SELECT scope, p, bool_or(hit) AS hit FROM u GROUP BY 1, 2)
+SELECT scope, coalesce(string_agg(p, ',' ORDER BY p) FILTER (hit), '') AS forbidden, coalesce(string_agg(p, ',' ORDER BY p) FILTER (NOT hit), '') AS indeterminate FROM g GROUP BY scope""")
+def _(t):
+    seen = t.events.select(F.col("user_id").alias("scope"), F.col("event_type").alias("family"), F.when(F.col("event_id") % 9 > 0, F.date_trunc("week", "ts").cast("string")).alias("snapshot"), F.col("event_id").alias("release_id"))
+    return history.evaluate_all(history.atoms(_releases(t)), seen, QUERIES["h11_governance"](t.spark, t.sf_dir))
+
+
 _VREL = """SELECT o_custkey AS scope, o_orderkey AS release_id, o_orderstatus <> 'O' AS is_grouped, CASE WHEN o_totalprice > 200000 THEN 'SUM' WHEN o_totalprice > 100000 THEN 'AVG' END AS aggregate, o_orderpriority AS cohort, CAST(year(o_orderdate) AS VARCHAR(4)) AS snapshot FROM orders"""
 _SNAP_EDGES = "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR(4)) AS snapshot, CAST(year(o_orderdate) + 1 AS VARCHAR(4)) AS next_snapshot FROM orders WHERE year(o_orderdate) < 2000"
 _VARIANTS = f"""vrel AS ({_VREL}), edges AS ({_SNAP_EDGES}), shown AS (SELECT DISTINCT query_id AS release_id, dataset || '.' || field AS key, kind FROM sr WHERE kind IS NOT NULL), pk AS (SELECT DISTINCT release_id, key FROM shown WHERE kind <> 'GROUP_KEY'), gk AS (SELECT DISTINCT release_id, key FROM shown WHERE kind = 'GROUP_KEY'),
@@ -440,6 +448,23 @@ def _(t):
     return repair.evaluate_repairs(*_acts(t))
 
 
+_OPEN_REASONS = ["UNRESOLVED_DATASET", "UNRESOLVED_COLUMN", "UNCLASSIFIED_COLUMN"]
+
+
+@query("i7_repair_status", _WITH + _ACTS + ", " + _FIXED + ", " + _decision_sql("rq", "rr") + ", " + _cte("cost", repair.COSTS, "action, goal_cost, info_cost, change_cost") + """,
+c AS (SELECT split_part(query_id, '#', 1) AS query_id, split_part(query_id, '#', 2) AS candidate, decision = 'ALLOW' AS eligible, regexp_matches(reasons, 'UNRESOLVED_|UNCLASSIFIED_') AS failed FROM xd),
+o AS (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY NOT eligible, goal_cost, info_cost, change_cost, candidate) AS n, bool_or(failed) OVER (PARTITION BY query_id) AS closed FROM c JOIN cost ON cost.action = split_part(candidate, ':', 1))
+SELECT query_id, CASE WHEN eligible AND NOT closed THEN candidate END AS repair, CASE WHEN closed THEN 'FAIL_CLOSED' WHEN eligible THEN 'REPAIR_FOUND' ELSE 'NO_ELIGIBLE_REPAIR' END AS status FROM o WHERE n = 1""")
+def _(t):
+    q, r, c, lin, acts = _acts(t)
+    q2, r2 = repair.apply_repairs(q, r, repair.applicable(acts, q, r).where("fault is null").drop("fault"))
+    done = policy.decide(q2, r2, c, lin)
+    costs = _values(t, repair.COSTS, "action string, goal_cost int, info_cost int, change_cost int")
+    failed = F.arrays_overlap("reasons", F.array(*map(F.lit, _OPEN_REASONS)))
+    own = done.select(F.substring_index("query_id", "#", 1).alias("query_id"), F.col("variant").alias("candidate"), (F.col("decision") == "ALLOW").alias("eligible"), failed.alias("failed"))
+    return ev.repair_status(own.join(costs, F.substring_index("candidate", ":", 1) == F.col("action")).drop("action"))
+
+
 @query("i2_candidate_cost", _WITH + _ACTS + ", " + _cte("cost", repair.COSTS, "action, goal_cost, info_cost, change_cost") + " SELECT query_id, 'all' AS candidate, sum(goal_cost)::BIGINT AS goal_cost, sum(info_cost)::BIGINT AS info_cost, sum(change_cost)::BIGINT AS change_cost FROM fit JOIN cost USING (action) WHERE fault IS NULL AND query_id IN (SELECT query_id FROM sq) GROUP BY query_id")
 def _(t):
     q, r, _, _, acts = _acts(t)

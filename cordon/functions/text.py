@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import base64
+import unicodedata
+from collections.abc import Iterator
+from urllib.parse import quote_plus
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Statement kinds that a read-only log must not hold.
 FORBIDDEN = ["insert", "update", "delete", "merge", "create", "drop", "alter", "command", "transaction", "commit", "rollback", "grant", "revoke", "use", "set", "copy", "attach", "detach", "install", "load"]
@@ -49,14 +58,40 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 
 
 def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame, max_secrets: int = 10_000) -> DataFrame:
-    """Texts that hold a listed secret (secret_id, secret) raw, percent-encoded, in hex or in base64.
+    """Texts that hold a listed secret (secret_id, secret) raw, percent-encoded, in hex or in base64; or `nfkc`: only once text and secret are in normal form KC.
 
-    The list is checked to be at most `max_secrets` rows before it is broadcast; a longer one is refused.
+    The list is checked to be at most `max_secrets` rows before the tasks get it; a longer one is refused. Null texts and empty
+    secrets hold and are nothing. Each task builds one automaton of all needles, so that a text is read once however long the list is.
     """
-    if secrets.limit(max_secrets + 1).count() > max_secrets:
-        raise ValueError("the list of secrets is too long to be broadcast")
-    spelled = secrets.select("secret_id", F.explode(F.array(
-        F.struct(F.lit("raw").alias("spelling"), F.col("secret").alias("needle")), F.struct(F.lit("percent").alias("spelling"), F.url_encode("secret").alias("needle")),
-        F.struct(F.lit("hex").alias("spelling"), F.lower(F.hex(F.encode("secret", "UTF-8"))).alias("needle")), F.struct(F.lit("base64").alias("spelling"), F.base64(F.encode("secret", "UTF-8")).alias("needle")),
-    )).alias("v")).select("secret_id", "v.spelling", "v.needle").where("length(needle) > 0")
-    return corpus.join(F.broadcast(spelled), F.col(text_col).contains(F.col("needle"))).select(*corpus.columns, "secret_id", "spelling")
+    known = secrets.select("secret_id", "secret").where("length(secret) > 0").limit(max_secrets + 1).toArrow().to_pylist()
+    if len(known) > max_secrets:
+        raise ValueError("the list of secrets is too long to be given to every task")
+    key = secrets.schema["secret_id"]
+    kind = to_arrow_type(key.dataType)
+    names = [*corpus.columns, "secret_id", "spelling"]
+    at = corpus.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, normal = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for r in known:
+            raw = r["secret"].encode()
+            for spelling, needle in (("raw", r["secret"]), ("percent", quote_plus(r["secret"], safe="*-._").replace("~", "%7E")), ("hex", raw.hex()), ("base64", base64.b64encode(raw).decode())):
+                plain.add_word(needle, {*plain.get(needle, ()), (r["secret_id"], spelling)})
+            folded = unicodedata.normalize("NFKC", r["secret"])
+            normal.add_word(folded, {*normal.get(folded, ()), (r["secret_id"], "nfkc")})
+        plain.make_automaton(), normal.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column(at).to_pylist() if len(plain) else []):
+                hits = {h for _, held in plain.iter(text or "") for h in held}
+                if text and not (text.isascii() and ascii_only):
+                    shown = {i for i, spelling in hits if spelling == "raw"}
+                    hits |= {h for _, held in normal.iter(unicodedata.normalize("NFKC", text)) for h in held if h[0] not in shown}
+                rows += [k] * len(hits)
+                found += sorted(hits)
+            own = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([i for i, _ in found], kind), pa.array([s for _, s in found], pa.string())], names=names)
+
+    # an ASCII text is its own normal form, but a secret may not be
+    ascii_only = all(r["secret"] == unicodedata.normalize("NFKC", r["secret"]) for r in known)
+    return corpus.mapInArrow(run, T.StructType([*corpus.schema.fields, T.StructField("secret_id", key.dataType), T.StructField("spelling", T.StringType())]))

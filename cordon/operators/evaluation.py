@@ -74,6 +74,15 @@ def choose_repair(evaluated: DataFrame) -> DataFrame:
     return per.select("query_id", F.col("b.name").alias("repair"), "n_eligible", "n_candidates", F.when(F.col("n_eligible") > 0, "REPAIR_FOUND").otherwise("NO_ELIGIBLE_REPAIR").alias("status"))
 
 
+def repair_status(evaluated: DataFrame) -> DataFrame:
+    """query_id, repair, status of candidates (query_id, candidate, three costs, eligible, failed): FAIL_CLOSED, without a repair, if the check
+    of any candidate failed (or tells nothing), else REPAIR_FOUND with the cheapest eligible one, else NO_ELIGIBLE_REPAIR."""
+    best = F.min(F.when(F.col("eligible"), F.struct("goal_cost", "info_cost", "change_cost", "candidate")))
+    per = evaluated.groupBy("query_id").agg(best.alias("b"), F.bool_or(F.coalesce("failed", F.lit(True))).alias("failed"))
+    status = F.when(F.col("failed"), "FAIL_CLOSED").when(F.col("b").isNotNull(), "REPAIR_FOUND").otherwise("NO_ELIGIBLE_REPAIR")
+    return per.select("query_id", F.when(~F.col("failed"), F.col("b.candidate")).alias("repair"), status.alias("status"))
+
+
 def content_sha(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -91,6 +92,34 @@ def rate_fold(limit: int, window_us: int, ts: str = "ts_us", counted: str | None
 RATE_COLUMNS = "admitted boolean, retry_after_s long"
 
 
+def traffic_fold(limit: int, window_us: int, most_open: int, ts: str = "ts_us", end: str = "end_us") -> Callable[[], Callable[[dict], dict]]:
+    """Sliding-window limit and requests open at once, together: a request refused for its rate leaves no time stamp, one refused for those that are open does. A request that ends at the time of another's start is no longer open."""
+
+    def make():
+        kept: deque = deque()
+        running: list[int] = []
+
+        def step(row: dict) -> dict:
+            while kept and kept[0] <= row[ts] - window_us:
+                kept.popleft()
+            if len(kept) >= limit:
+                return {"admitted": False, "reason": "RATE_LIMIT_EXCEEDED", "retry_after_s": math.ceil((window_us - (row[ts] - kept[0])) / 1_000_000)}
+            kept.append(row[ts])
+            while running and running[0] <= row[ts]:
+                heapq.heappop(running)
+            if len(running) >= most_open:
+                return {"admitted": False, "reason": "CONCURRENCY_LIMIT_EXCEEDED", "retry_after_s": 1}
+            heapq.heappush(running, row[end])
+            return {"admitted": True, "reason": None, "retry_after_s": None}
+
+        return step
+
+    return make
+
+
+TRAFFIC_COLUMNS = "admitted boolean, reason string, retry_after_s long"
+
+
 def chain_fold(payload: str) -> Callable[[], Callable[[dict], dict]]:
     """Hash chain: sequence from 1, each digest over the one before and the payload."""
 

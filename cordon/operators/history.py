@@ -94,6 +94,20 @@ def evaluate_state(a: DataFrame, k: int = 20) -> DataFrame:
     return hits.groupBy("scope").agg(F.concat_ws(",", F.array_sort(F.collect_set("predicate"))).alias("forbidden"))
 
 
+def evaluate_all(a: DataFrame, observations: DataFrame, governance: DataFrame, k: int = 20) -> DataFrame:
+    """scope, forbidden, indeterminate of each scope with either: the predicates F1 to F6 that match, and those that lack what they need (sorted).
+
+    observations: scope, family, snapshot, release_id (as `f5`). governance: scope, result (as `f6` of variants gives it). A predicate that
+    matches somewhere in the scope isn't indeterminate there.
+    """
+    hits = f1_f2(a).unionByName(f3(a, k)).unionByName(f4(a)).select("scope", "predicate", F.lit(True).alias("hit"))
+    seen = f5(observations).select("scope", F.lit("F5").alias("predicate"), (F.col("result") == "MATCHED").alias("hit"))
+    governed = governance.select("scope", F.lit("F6").alias("predicate"), F.lit(True).alias("hit"))
+    per = hits.unionByName(seen).unionByName(governed).groupBy("scope", "predicate").agg(F.bool_or("hit").alias("hit"))
+    names = lambda c: F.concat_ws(",", F.array_sort(F.collect_list(F.when(c, F.col("predicate")))))
+    return per.groupBy("scope").agg(names(F.col("hit")).alias("forbidden"), names(~F.col("hit")).alias("indeterminate"))
+
+
 def verify_paths(steps: DataFrame) -> DataFrame:
     """Steps (path, step) whose pre_state isn't the post_state of the step before."""
     before = F.lag("post_state").over(Window.partitionBy("path").orderBy("step"))

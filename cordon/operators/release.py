@@ -48,6 +48,11 @@ def check_groups(result: DataFrame, k: int = 20) -> DataFrame:
     return out.withColumn("passed", (F.col("n_groups") > 0) & F.coalesce(F.col("smallest") >= k, F.lit(False)))
 
 
+def check_groups_by(result: DataFrame, key: str, k: int = 20) -> DataFrame:
+    """key, passed: `check_groups` for the release of each key at once. A key without groups has no row."""
+    return result.groupBy(key).agg(F.coalesce(F.min("subject_count") >= k, F.lit(False)).alias("passed"))
+
+
 def qi_profile(df: DataFrame, qi_sets: dict[str, list[str]], subject: str, k: int = 20) -> DataFrame:
     """For each set of quasi-identifiers: n_groups, smallest, largest, n_below_k. One pass with grouping sets."""
     columns = sorted({c for s in qi_sets.values() for c in s})

@@ -477,6 +477,18 @@ def _(t):
     return folds.ordered_fold(_requests(t), "scope", ["ts_us", "record_id"], folds.rate_fold(2, 43_200_000_000), folds.RATE_COLUMNS).select("record_id", "admitted")
 
 
+@query("k1_rate_and_concurrency", """WITH RECURSIVE r AS (SELECT event_id AS record_id, user_id AS scope, ts, ts + to_hours(3 + 3 * (event_id % 5)) AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT scope, n, record_id, NULL::VARCHAR AS reason, [ts] AS kept, [done] AS busy, NULL::BIGINT AS wait FROM r WHERE n = 1
+UNION ALL SELECT scope, n, record_id, why, CASE WHEN why IS NOT DISTINCT FROM 'RATE_LIMIT_EXCEEDED' THEN live ELSE list_append(live, ts) END, CASE WHEN why IS NULL THEN list_append(open, done) ELSE open END,
+  CASE why WHEN 'RATE_LIMIT_EXCEEDED' THEN CAST(ceil((172800000000 - (epoch_us(ts) - epoch_us(live[1]))) / 1000000.0) AS BIGINT) WHEN 'CONCURRENCY_LIMIT_EXCEEDED' THEN 1 END FROM (
+  SELECT x.*, CASE WHEN len(live) >= 3 THEN 'RATE_LIMIT_EXCEEDED' WHEN len(open) >= 1 THEN 'CONCURRENCY_LIMIT_EXCEEDED' END AS why FROM (
+    SELECT r.*, list_filter(f.kept, lambda k: k > r.ts - INTERVAL 2 DAY) AS live, list_filter(f.busy, lambda k: k > r.ts) AS open FROM f JOIN r ON r.scope = f.scope AND r.n = f.n + 1) x))
+SELECT record_id, reason IS NULL AS admitted, reason, wait AS retry_after_s FROM f""")
+def _(t):
+    rows = t.events.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us")).withColumn("end_us", F.col("ts_us") + (3 + 3 * (F.col("record_id") % 5)) * 3_600_000_000)
+    return folds.ordered_fold(rows, "scope", ["ts_us", "record_id"], folds.traffic_fold(3, 172_800_000_000, 1), folds.TRAFFIC_COLUMNS).select("record_id", "admitted", "reason", "retry_after_s")
+
+
 @query("k2_failure_throttle", _FOLD.format("SELECT event_id AS record_id, user_id AS scope, ts, event_type = 'error' AS failed FROM events", "failed", "failed", "len(live) < 1", "1 DAY").replace("failed AS ok", "true AS ok") + " SELECT record_id, ok AS admitted FROM f")
 def _(t):
     return folds.ordered_fold(_requests(t), "scope", ["ts_us", "record_id"], folds.rate_fold(1, 86_400_000_000, counted="failed"), folds.RATE_COLUMNS).select("record_id", "admitted")
@@ -641,6 +653,16 @@ def _(t):
     return policy.effective_outcome(d.select("query_id", "decision"), checks)
 
 
+@query("e15_checked_outcome", _DECIDE + """, c AS (SELECT c_nationkey, min(n) >= 8 AS passed FROM (SELECT c_nationkey, c_mktsegment, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1, 2) GROUP BY 1)
+SELECT query_id, CASE decision WHEN 'REWRITE' THEN CASE WHEN coalesce(passed, false) THEN 'ALLOW' ELSE 'BLOCK' END ELSE decision END AS outcome FROM e LEFT JOIN c ON c_nationkey = query_id % 25""")
+def _(t):
+    # every logged query is held to release the segments of one nation; its check is made on those groups
+    d = _decided(t).select("query_id", "decision")
+    nations = release.check_groups_by(t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count_distinct("c_custkey").alias("subject_count")), "c_nationkey", 8)
+    checks = d.join(nations, F.col("query_id") % 25 == F.col("c_nationkey")).select("query_id", "passed")
+    return policy.effective_outcome(d, checks)
+
+
 @query("g19_verify_claims", "SELECT event_id AS record_id, CASE WHEN event_id % 11 = 0 THEN 'MISSING' WHEN event_id % 13 = 0 THEN 'DUPLICATE' ELSE 'MISMATCH' END AS fault FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0")
 def _(t):
     r = t.events.select(F.col("event_id").alias("record_id"), F.concat(F.lit("c"), "event_id").alias("content_sha256"))
@@ -707,7 +729,8 @@ def _(t):
         both = s.select(F.col("event_id").alias("record_id"), F.expr("filter(array(if(event_id % 5 > 0, struct(event_id * 2 as transition_id, 'PENDING' as state), null), case event_id % 5 when 1 then struct(event_id * 2 + 1 as transition_id, 'RELEASED' as state) when 2 then struct(event_id * 2 + 1 as transition_id, 'ABORTED' as state) when 4 then struct(event_id * 2 + 1 as transition_id, 'PENDING' as state) end), x -> x is not null)").alias("m"))
         return lifecycle_stream(both.select("record_id", F.explode("m").alias("x")).select("record_id", "x.transition_id", "x.state"))
 
-    return drain(moves, t.events, f"{t.sf_dir}/events.parquet*")
+    out = drain(moves, t.events, f"{t.sf_dir}/events.parquet*")
+    return out.groupBy("record_id").agg(F.max_by("state", "n_moves").alias("state"))
 
 
 @query("m9_ablation", _DECIDE + " SELECT count(*) AS n_queries, count(*) FILTER (decision = 'BLOCK' AND upstream IS NULL AND NOT nd AND NOT nc) AS n_changed FROM e")

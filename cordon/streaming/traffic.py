@@ -57,16 +57,23 @@ def replays(uses: DataFrame, ttl_s: int) -> DataFrame:
 
 
 def lifecycle_stream(transitions: DataFrame) -> DataFrame:
-    """State of each record after each micro-batch's transitions (record_id, transition_id, state); an illegal move makes it INVALID."""
+    """record_id, n_moves, state after each micro-batch's transitions (record_id, transition_id, state); an illegal sequence is INVALID.
+
+    Moves count in the order of their transition_id, in whatever micro-batch they come: the state holds a record's moves
+    and is read anew. Only its first three are held, since no legal sequence has more than two. The row of most moves is a record's latest.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else ""
-        for move in pd.concat(list(frames)).sort_values("transition_id").state:
+        n, moves = (state.get[0], json.loads(state.get[1])) if state.exists else (0, [])
+        rows = pd.concat(list(frames))
+        moves = sorted(moves + [[int(t), m] for t, m in zip(rows.transition_id, rows.state, strict=True)])[:3]
+        n, now = n + len(rows), ""
+        for _, move in moves:
             now = {("", "PENDING"): "PENDING", ("PENDING", "RELEASED"): "RELEASED", ("PENDING", "ABORTED"): "ABORTED"}.get((now, move), "INVALID")
-        state.update((now,))
-        yield pd.DataFrame({"record_id": [key[0]], "state": [now]})
+        state.update((n, json.dumps(moves)))
+        yield pd.DataFrame({"record_id": [key[0]], "n_moves": [n], "state": [now]})
 
-    return transitions.groupBy("record_id").applyInPandasWithState(step, "record_id long, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+    return transitions.groupBy("record_id").applyInPandasWithState(step, "record_id long, n_moves long, state string", "n long, moves string", "append", GroupStateTimeout.NoTimeout)
 
 
 def chain_stream(stream: DataFrame) -> DataFrame:
@@ -91,11 +98,11 @@ def fresh_stream(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     return events.join(s, (F.col("key") == F.col("own")) & (F.col("observed_at") <= F.col("ts")) & (F.col("ts") < F.col("expires_at"))).drop("own")
 
 
-def drain(transform: Callable[[DataFrame], DataFrame], like: DataFrame, path: str) -> DataFrame:
+def drain(transform: Callable[[DataFrame], DataFrame], like: DataFrame, path: str, files_a_batch: int = 1000) -> DataFrame:
     """Run a stream over the files that are at `path` now, to its end, and return what it wrote."""
     spark = like.sparkSession
     base = _shared(spark)
-    out = transform(spark.readStream.schema(like.schema).parquet(path))
+    out = transform(spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path))
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from cordon.functions import text as fx
 from cordon.operators import evaluation as ev
-from cordon.operators import history, ledger, policy, release
+from cordon.operators import folds, history, ledger, policy, release
 from cordon.plans import facts
 from cordon.sources import sinks, tables
 
@@ -174,3 +174,40 @@ def test_direct_identifier_conditional_and_nested_block(spark):
     assert got == {1: ("BLOCK", ["DIRECT_SENSITIVE_LINKAGE"]), 2: ("BLOCK", [risk]), 3: ("BLOCK", ["UNRESOLVED_COLUMN"]), 4: ("BLOCK", [risk]), 5: ("ALLOW", ["NO_COMPOSITIONAL_RISK"])}
     legacy = {r.query_id: r.decision for r in policy.decide(queries, refs, catalog, lineage, min_quasi=2).collect()}
     assert legacy[4] == "ALLOW" and legacy[1] == "BLOCK"
+
+
+def test_secrets_in_normal_form(spark):
+    texts = ["ｐass word~1", "pass%20word~1", "pass+word%7E1", "pass word~1", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = fx.scan_secrets(df, "text", spark.createDataFrame([(7, "pass word~1"), (8, ""), (9, "word~１")], "secret_id int, secret string"))
+    assert {(r.id, r.secret_id, r.spelling) for r in out.collect()} == {(0, 7, "nfkc"), (0, 9, "nfkc"), (1, 9, "nfkc"), (2, 7, "percent"), (3, 7, "raw"), (3, 9, "nfkc")}
+    assert fx.scan_secrets(df, "text", spark.createDataFrame([], "secret_id int, secret string")).count() == 0
+    with pytest.raises(ValueError):
+        fx.scan_secrets(df, "text", spark.createDataFrame([(1, "a"), (2, "b")], "secret_id int, secret string"), max_secrets=1)
+
+
+def test_requests_refused_for_open_ones_count_for_the_rate(spark):
+    s = 1_000_000
+    rows = [(1, "p", 0, 5 * s), (2, "p", s, 2 * s), (3, "p", 2 * s, 3 * s), (4, "p", 3 * s, 4 * s), (5, "p", 10 * s, 11 * s), (6, "q", 0, 1), (7, "q", 1, 2)]
+    df = spark.createDataFrame(rows, "id int, who string, ts_us long, end_us long")
+    out = {r.id: (r.reason, r.retry_after_s) for r in folds.ordered_fold(df, "who", ["ts_us"], folds.traffic_fold(3, 10 * s, 1), folds.TRAFFIC_COLUMNS).collect()}
+    assert out == {1: (None, None), 2: ("CONCURRENCY_LIMIT_EXCEEDED", 1), 3: ("CONCURRENCY_LIMIT_EXCEEDED", 1), 4: ("RATE_LIMIT_EXCEEDED", 7), 5: (None, None), 6: (None, None), 7: (None, None)}
+
+
+def test_a_failed_check_closes_the_repair(spark):
+    rows = [("a", "x", 1, 1, 1, True, False), ("a", "y", 0, 1, 1, True, False), ("b", "x", 0, 0, 0, True, False), ("b", "y", 1, 1, 1, False, True), ("c", "x", 1, 1, 1, False, False), ("d", "x", 1, 1, 1, True, None)]
+    df = spark.createDataFrame(rows, "query_id string, candidate string, goal_cost int, info_cost int, change_cost int, eligible boolean, failed boolean")
+    assert {r.query_id: (r.repair, r.status) for r in ev.repair_status(df).collect()} == {"a": ("y", "REPAIR_FOUND"), "b": (None, "FAIL_CLOSED"), "c": (None, "NO_ELIGIBLE_REPAIR"), "d": (None, "FAIL_CLOSED")}
+
+
+def test_lifecycle_of_moves_that_come_late(spark, tmp_path):
+    from cordon.streaming.traffic import drain, lifecycle_stream
+
+    schema = "record_id long, transition_id long, state string"
+    files = [[(1, 2, "RELEASED"), (2, 1, "PENDING")], [(1, 1, "PENDING"), (3, 2, "PENDING"), (3, 1, "PENDING")], [(2, 3, "RELEASED"), (2, 2, "ABORTED")]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "moves"))
+    like = spark.read.schema(schema).parquet(str(tmp_path / "moves"))
+    out = drain(lifecycle_stream, like, str(tmp_path / "moves"), files_a_batch=1).collect()
+    assert len(out) == 5
+    assert {k: max((r.n_moves, r.state) for r in out if r.record_id == k)[1] for k in (1, 2, 3)} == {1: "RELEASED", 2: "INVALID", 3: "INVALID"}
