@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +40,18 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(inside, LOWER[raw], 0).astype(np.uint8), inside & _LETTER[raw], doc
 
 
-def _training(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> tuple[list[str], tuple]:
+def _training(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_languages: int, max_docs: int, max_segments: int) -> tuple[list[str], tuple]:
     own = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     own = own.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        warnings.warn(f"more than {max_languages} languages: the rarer ones are never predicted, unless max_languages is raised", stacklevel=3)
+        counts = counts[:max_languages]
     languages = sorted(r.lang for r in counts)
     if not languages:
         return [], ()
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, MAX_DOCS / r.n))))
-    each = {r.lang: min(200, max(8, -(-MAX_SEGMENTS // max(1, min(MAX_DOCS, r.n))))) for r in counts}
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, max_docs / r.n))))
+    each = {r.lang: min(200, max(8, -(-max_segments // max(1, min(max_docs, r.n))))) for r in counts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +67,7 @@ def _training(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> tup
     sample = own.where(F.pmod("h", F.lit(1 << 20)) <= share[F.col("lang")] * (1 << 20))
     got = sample.mapInArrow(run, "lang string, h long, segment binary").toArrow().to_pandas().sort_values(["lang", "h", "segment"])
     if len(got):
-        got = pd.concat([x.iloc[np.unique(np.linspace(0, len(x) - 1, min(len(x), MAX_SEGMENTS)).astype(int))] for _, x in got.groupby("lang")])
+        got = pd.concat([x.iloc[np.unique(np.linspace(0, len(x) - 1, min(len(x), max_segments)).astype(int))] for _, x in got.groupby("lang")])
     if not len(got):
         return [], ()
     data = np.frombuffer(b"".join(got.segment), np.uint8).reshape(-1, LENGTH).T.copy()
@@ -71,12 +75,14 @@ def _training(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> tup
     return languages, (data, _LETTER[data], np.array([place[x] for x in got.lang]))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES, max_docs: int = MAX_DOCS, max_segments: int = MAX_SEGMENTS,
+) -> DataFrame:
     """The language of every text.
 
     The network is fitted on the driver, on a sample of the documents that held_out() leaves and
-    that have a language: at most MAX_DOCS documents (in expectation) and MAX_SEGMENTS segments
-    of each of the MAX_LANGUAGES commonest languages. Ids choose the sample, and are no input of
+    that have a language: at most `max_docs` documents (in expectation) and `max_segments` segments
+    of each of the `max_languages` commonest languages; a warning says if there are more. Ids choose the sample, and are no input of
     the network. Then every byte of every text is labelled, in segments of LENGTH bytes, and the
     probabilities of a text's letters are averaged.
 
@@ -85,9 +91,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         probability of that language, 0 to 1; 0 for `und`).
 
     One narrow pass after the fit; the network is a few thousand numbers in the task. A null id
-    is neither learned from nor held out.
+    is neither learned from nor held out. Rows are judged one by one, so repeated rows get equal results; texts of any
+    length are read whole; other columns are not read, whatever their names. An empty table gives no rows.
     """
-    languages, data = _training(docs, text_col, lang_col, id_col)
+    languages, data = _training(docs, text_col, lang_col, id_col, max_languages, max_docs, max_segments)
     weights = train(*data, len(languages)) if languages else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

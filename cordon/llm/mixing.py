@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linear import MAX_LABELLED, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance
+from .linear import MAX_FEATURES, MAX_LABELLED, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance
 from .scratch import Scratch, fresh
 from .textkit import BLANK_SPLIT, slices, flatten, word_spans
 
@@ -29,10 +29,10 @@ def domains() -> dict[str, Column]:
     return {"good": good & ~toxic, "plain": ~good & ~toxic, "toxic": good & toxic, "toxic_plain": ~good & toxic}
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], id_col: str, text_col: str, max_labelled: int, scratch: Scratch, out_col: str) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], id_col: str, text_col: str, max_labelled: int, scratch: Scratch, out_col: str, max_features: int = MAX_FEATURES) -> DataFrame:
     """All columns of `docs` and `out_col`: tokens (words of the text) and p, the probability of each domain (one-against-rest models, made to sum to 1)."""
     rows = labelled(docs, labels, conditions, id_col, text_col, max_labelled)
-    chosen = select_features(rows, len(conditions), scratch)
+    chosen = select_features(rows, len(conditions), scratch, limit=max_features)
     doc, which, y, _ = collect_training(rows, chosen, len(conditions))
     x = matrix(doc, which, len(y), len(chosen), np.zeros((len(y), 0)))
     models = [fit(x, y[:, k]) if len(y) else None for k in range(len(conditions))]
@@ -128,11 +128,11 @@ def descend(table: DataFrame, targets: np.ndarray, ridge: float, tolerance: floa
 
 def mix(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", conditions: dict[str, Column] | None = None, targets: dict[str, float] | None = None,
-    ridge: float = 1e-3, tolerance: float = 1e-6, max_steps: int = 40, max_labelled: int = MAX_LABELLED, out_col: str = "_rate",
+    ridge: float = 1e-3, tolerance: float = 1e-6, max_steps: int = 40, max_labelled: int = MAX_LABELLED, out_col: str = "_rate", max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """A nonnegative rate for every document, so that the expected tokens of the domains meet the targets.
 
-    A classifier fitted on at most `max_labelled` labelled rows gives every text its domain
+    A classifier fitted on at most `max_labelled` labelled rows, with at most `max_features` words a domain, gives every text its domain
     posteriors; a text of t words and rate r counts r * t * p tokens to a domain. Rates are the
     least-squares solution that `descend` describes, kept near 1 by `ridge`; equal posteriors get
     equal rates. Where a domain's share stays more than MISS off its target (no rates reach it, or
@@ -152,7 +152,7 @@ def mix(
         raise ValueError(f"documents have a column {out_col} already")
     scratch, mixed = Scratch(docs.sparkSession, "mixing"), fresh(docs, "_mix")
     aim = np.array(list(targets.values()), float)
-    with_p = posteriors(docs, labels, conditions, id_col, text_col, max_labelled, scratch, mixed)
+    with_p = posteriors(docs, labels, conditions, id_col, text_col, max_labelled, scratch, mixed, max_features)
     table = scratch.keep(with_p.select(f"{mixed}.tokens", f"{mixed}.p"))
     aim = aim / aim.sum()
     steps, share, left = descend(table, aim, ridge, tolerance, max_steps)

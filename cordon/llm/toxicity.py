@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linear import MAX_LABELLED, chance, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance
+from .linear import MAX_FEATURES, MAX_LABELLED, chance, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance
 from .scratch import Scratch, fresh
 from .textkit import slices
 
@@ -41,12 +41,13 @@ def fit_chain(doc: np.ndarray, which: np.ndarray, y: np.ndarray, ids: np.ndarray
     return models
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: dict[str, Column] | None = None, max_labelled: int = MAX_LABELLED, out_col: str = "_chain") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: dict[str, Column] | None = None, max_labelled: int = MAX_LABELLED, out_col: str = "_chain", max_features: int = MAX_FEATURES) -> DataFrame:
     """Probabilities of the chain's categories for every text.
 
     :param labels: id_col and the columns that the categories' conditions read. The models are
         fitted on at most `max_labelled` labelled rows, in the order of a hash of the id; the
-        features are words and word beginnings whose presence differs between the classes.
+        features are words and word beginnings whose presence differs between the classes, at most
+        `max_features` of them for each category.
     :return: all columns and rows of `docs` (none is renamed) and the struct column `out_col` of
         one double a category; its name must be new.
 
@@ -60,7 +61,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chain = chain or categories()
     names = list(chain)
     rows = labelled(docs, labels, chain, id_col, text_col, max_labelled)
-    chosen = select_features(rows, len(chain), Scratch(docs.sparkSession, "toxicity"))
+    chosen = select_features(rows, len(chain), Scratch(docs.sparkSession, "toxicity"), limit=max_features)
     doc, which, y, ids = collect_training(rows, chosen, len(chain))
     models = fit_chain(doc, which, y, ids, len(chosen)) if len(y) else None
     kind = pa.struct([(c, pa.float64()) for c in names])

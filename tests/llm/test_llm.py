@@ -263,6 +263,45 @@ def test_language_by_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_language_pools_every_letter(spark, monkeypatch):
+    from cordon.llm import bigru
+
+    monkeypatch.setattr(lang, "train", lambda data, mask, label, classes: bigru.new_weights(classes))
+    rng = random.Random(3)
+    texts = [prose(rng, 30), prose(rng, 200), "Été à Paris, 12 fois", "x", "é" * 100, "9 8 7", "", None, prose(rng, 3_000)]
+    rows = [(k, t, ("aa", "bb", "cc")[k % 3]) for k, t in enumerate(texts)] * 2
+    with pytest.warns(UserWarning, match="more than 2 languages"):
+        assert {r.lang_pred for r in lang.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=2).collect()} <= {"aa", "bb", "cc", "und"}
+    out = lang.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows)
+    w = {k: v.astype(np.float64) for k, v in bigru.new_weights(3).items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n = bigru.HIDDEN
+
+    def walk(d, seen):
+        h, states = np.zeros(n), []
+        for c in seen:
+            a, b = w["x"][c + 256 * d], h @ w["u"][d]
+            z, r = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+            states.append(h)
+        return states
+
+    for r in out:
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (texts[r.doc_id] or "").encode())
+        pooled, letters = np.zeros(3), 0
+        for at in range(0, len(raw), bigru.LENGTH):
+            own = raw[at : at + bigru.LENGTH].ljust(bigru.LENGTH, b"\0")
+            for c, f, back in zip(own, walk(0, own), walk(1, own[::-1])[::-1], strict=True):
+                if chr(c).isascii() and chr(c).isalpha() or c >= 0x80:
+                    e = np.exp(f @ w["v"][0] + back @ w["v"][1] + w["c"])
+                    pooled, letters = pooled + e / e.sum(), letters + 1
+        if not letters:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == "abc"[pooled.argmax()] * 2 and abs(r.score - pooled.max() / letters) < 1e-4
+
+
 def test_gradients_of_the_recurrent_network():
     from cordon.llm import bigru
 
@@ -291,6 +330,47 @@ def test_toxicity(spark, docs, labels):
     assert toxicity.classify(docs, labels.limit(0)).where("toxic").count() == 0
 
 
+def test_chain_equals_brute_force(spark):
+    docs, labels = labelled_texts(spark)
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    texts, marks = {r.doc_id: r.text for r in docs.collect()}, sorted((r.doc_id, r.quality, r.toxic) for r in labels.collect())
+    have = {k: {x for word in re.findall("[a-z0-9]+", t.lower()) for x in [("w", word)] + [(n, word[:n]) for n in (4, 5, 6, 7)]} for k, t in texts.items()}
+    y = np.array([(1 - a, b, b * (1 - a)) for _, a, b in marks], float)
+    counts = collections.defaultdict(lambda: np.zeros(4))
+    for (k, *_), row in zip(marks, y, strict=True):
+        for f in have[k]:
+            counts[f] += [1, *row]
+    chosen = set()
+    for j, share in enumerate(y.mean(0)):
+        z = {f: abs(c[j + 1] - c[0] * share) / (c[0] * share * (1 - share)) ** 0.5 for f, c in counts.items() if c[0] >= 5}
+        found = {f for f, v in z.items() if v >= 4}
+        assert len(found) < linear.MAX_FEATURES
+        chosen |= found
+    chosen = sorted(chosen, key=str)
+    x_of = lambda ids, extra: np.hstack([np.array([[f in have[k] for f in chosen] for k in ids], float), extra, np.ones((len(ids), 1))])
+
+    def newton(x, t):
+        w, cost = np.zeros(x.shape[1]), np.full(x.shape[1], 0.5)
+        cost[-1] = 1e-3
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w = w + np.clip(np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(cost), x.T @ (t - p) - cost * w), -2, 2)
+        return w
+
+    p_of = lambda x, w: 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    squash = lambda p: (np.log(np.clip(p, 1e-4, 1 - 1e-4)) - np.log1p(-np.clip(p, 1e-4, 1 - 1e-4)))[:, None] / 4
+    ids = [k for k, *_ in marks]
+    fold = np.array([(k * 0x9E3779B97F4A7C15 % 2**64 >> 40) % toxicity.FOLDS for k in ids])
+    everyone, learnt, seen = sorted(texts), np.zeros((len(ids), 0)), np.zeros((len(texts), 0))
+    for j, name in enumerate(("p_junk", "p_toxic", "p_toxic_junk")):
+        x, unseen = x_of(ids, learnt), np.zeros(len(ids))
+        for f in range(toxicity.FOLDS):
+            unseen[fold == f] = p_of(x[fold == f], newton(x[fold != f], y[fold != f, j]))
+        p = p_of(x_of(everyone, seen), newton(x, y[:, j]))
+        assert max(abs(got[k][name] - v) for k, v in zip(everyone, p, strict=True)) < 1e-3, name
+        learnt, seen = np.hstack([learnt, squash(unseen)]), np.hstack([seen, squash(p)])
+
+
 def test_resampling_keeps_the_share(spark, docs, labels):
     out = resample.resample(docs, labels, share=0.25).collect()
     assert sum(r.kept for r in out) >= round(0.25 * len(out))
