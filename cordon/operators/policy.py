@@ -245,19 +245,25 @@ def plan_budget(plan_node: DataFrame, max_nodes: int = 2_000, max_depth: int = 6
     return per.withColumn("over_budget", (F.col("n_nodes") > max_nodes) | (F.col("depth") > max_depth))
 
 
-def resolve_derived(projections: DataFrame, max_depth: int = 16) -> DataFrame:
+def resolve_derived(projections: DataFrame, max_depth: int = 64, levels: int = 8, keep=lambda df: df.checkpoint()) -> DataFrame:
     """Physical sources of each query's root outputs: query_id, output_name, dataset, field.
 
     projections: query_id, scope_id (0 is the root), output_name, dataset or src_scope, src_column.
-    A reference to an output that isn't there, or that doesn't end within max_depth scopes (a
-    cycle), becomes dataset @unresolved.
+    A reference to an output that isn't there, or that doesn't end within max_depth scopes (a cycle, or a plan deeper
+    than the depth budget), becomes dataset @unresolved. After each `levels` scopes the rows are kept, and the search ends
+    if none is open; it keeps nothing where max_depth is no more than that.
     """
     now = projections.where("scope_id = 0").select("query_id", F.col("output_name").alias("root_output"), "dataset", "src_scope", "src_column")
     lower = projections.select("query_id", F.col("scope_id").alias("src_scope"), F.col("output_name").alias("src_column"), F.col("dataset").alias("d2"), F.col("src_scope").alias("s2"), F.col("src_column").alias("c2"), F.lit(True).alias("there"))
-    for _ in range(max_depth):
+    for level in range(1, max_depth + 1):
+        open_, there = F.col("src_scope").isNotNull(), F.col("there").isNotNull()
         now = now.join(lower, ["query_id", "src_scope", "src_column"], "left").select(
-            "query_id", "root_output", F.when(F.col("src_scope").isNull(), F.col("dataset")).when(F.col("there").isNull(), "@unresolved").otherwise(F.col("d2")).alias("dataset"),
-            F.when(F.col("src_scope").isNotNull() & F.col("there").isNotNull(), F.col("s2")).alias("src_scope"), F.when(F.col("src_scope").isNotNull() & F.col("there").isNotNull(), F.col("c2")).otherwise(F.col("src_column")).alias("src_column"))
+            "query_id", "root_output", F.when(~open_, F.col("dataset")).when(~there, "@unresolved").otherwise(F.col("d2")).alias("dataset"),
+            F.when(open_ & there, F.col("s2")).alias("src_scope"), F.when(open_ & there, F.col("c2")).otherwise(F.col("src_column")).alias("src_column"))
+        if level % levels == 0 and level < max_depth:
+            now = keep(now.distinct())
+            if now.where("src_scope is not null").isEmpty():
+                break
     return now.select("query_id", F.col("root_output").alias("output_name"), F.when(F.col("src_scope").isNotNull(), "@unresolved").otherwise(F.col("dataset")).alias("dataset"), F.col("src_column").alias("field")).distinct()
 
 

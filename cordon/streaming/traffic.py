@@ -26,27 +26,50 @@ def dedupe_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> Da
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def budget_stream(stream: DataFrame, maximum: int, window_s: int) -> DataFrame:
+def _due(waiting: list, state: GroupState, delay: str | None) -> tuple[list, list]:
+    """The waiting rows [ts_us, ...] that the watermark has passed, in order (all without a `delay`), and the rest."""
+    waiting = sorted(waiting)
+    ready = [x for x in waiting if x[0] <= state.getCurrentWatermarkMs() * 1000] if delay else waiting
+    return ready, waiting[len(ready) :]
+
+
+def _wait(waiting: list, state: GroupState) -> None:
+    """Call the group again once the watermark has passed its first waiting row."""
+    if waiting:
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, waiting[0][0] // 1000))
+
+
+def _timed(stream: DataFrame, delay: str | None) -> tuple[DataFrame, str]:
+    if not delay:
+        return stream, GroupStateTimeout.NoTimeout
+    return stream.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay), GroupStateTimeout.EventTimeTimeout
+
+
+def budget_stream(stream: DataFrame, maximum: int, window_s: int, delay: str | None = None) -> DataFrame:
     """Rolling release budget by scope over a stream of record_id, scope, ts_us, protected; decisions are those of the batch fold.
 
-    The state of a scope is the list of the releases inside the window, `maximum` numbers at most.
-    Rows of a scope are taken in the order of (ts_us, record_id) within a micro-batch.
+    The state of a scope is the list of the releases inside the window, `maximum` numbers at most, and of the rows that wait.
+    Rows of a scope are taken in the order of (ts_us, record_id), as `chain_stream` does with and without a `delay`.
     """
     window_us = window_s * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, waiting = (json.loads(state.get[0]), json.loads(state.get[1])) if state.exists else ([], [])
+        for x in frames:
+            waiting += [[int(t), int(k), bool(p)] for t, k, p in zip(x.ts_us, x.record_id, x.protected, strict=True)]
+        ready, waiting = _due(waiting, state, delay)
         fold = budget_fold(maximum, window_us)()
-        for x in json.loads(state.get[0]) if state.exists else []:
-            fold({"ts_us": x, "protected": True})
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "record_id"])
-        out = [fold(r) for r in rows.to_dict("records")]
-        kept = list(json.loads(state.get[0])) if state.exists else []
-        kept += [int(t) for t, o, p in zip(rows.ts_us, out, rows.protected, strict=True) if o["allowed"] and p]
-        last = int(rows.ts_us.iloc[-1])
-        state.update((json.dumps([x for x in kept if x > last - window_us][-maximum:]),))
-        yield pd.DataFrame({"record_id": rows.record_id.to_numpy(), "scope": rows.scope.to_numpy(), "allowed": [o["allowed"] for o in out], "rule": [o["rule"] for o in out]})
+        for t in kept:
+            fold({"ts_us": t, "protected": True})
+        out = [fold({"ts_us": t, "protected": p}) for t, _, p in ready]
+        kept += [t for (t, _, p), o in zip(ready, out, strict=True) if o["allowed"] and p]
+        kept = [t for t in kept if t > ready[-1][0] - window_us][-maximum:] if ready else kept
+        state.update((json.dumps(kept), json.dumps(waiting)))
+        _wait(waiting, state)
+        yield pd.DataFrame({"record_id": [k for _, k, _ in ready], "scope": key[0], "allowed": [o["allowed"] for o in out], "rule": [o["rule"] for o in out]})
 
-    return stream.groupBy("scope").applyInPandasWithState(step, "record_id long, scope long, allowed boolean, rule string", "kept string", "append", GroupStateTimeout.NoTimeout)
+    timed, limit = _timed(stream, delay)
+    return timed.groupBy("scope").applyInPandasWithState(step, "record_id long, scope long, allowed boolean, rule string", "kept string, waiting string", "append", limit)
 
 
 def replays(uses: DataFrame, ttl_s: int) -> DataFrame:
@@ -76,20 +99,29 @@ def lifecycle_stream(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("record_id").applyInPandasWithState(step, "record_id long, n_moves long, state string", "n long, moves string", "append", GroupStateTimeout.NoTimeout)
 
 
-def chain_stream(stream: DataFrame) -> DataFrame:
-    """Hash chain by scope over a stream of record_id, scope, ts_us, payload; the state is the last number and digest."""
+def chain_stream(stream: DataFrame, delay: str | None = None) -> DataFrame:
+    """Hash chain by scope over a stream of record_id, scope, ts_us, payload; the state is the last number and digest.
+
+    Rows of a scope are taken in the order of (ts_us, record_id): within a micro-batch, or, with a `delay`, across micro-batches.
+    Then rows wait in the state until the watermark has passed them, what is later than it is dropped, and the last rows
+    are written once later ones of any scope move the watermark on.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, GENESIS)
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "record_id"])
+        n, last, waiting = (state.get[0], state.get[1], json.loads(state.get[2])) if state.exists else (0, GENESIS, [])
+        for x in frames:
+            waiting += [[int(t), int(k), p] for t, k, p in zip(x.ts_us, x.record_id, x.payload, strict=True)]
+        ready, waiting = _due(waiting, state, delay)
         out = []
-        for record_id, payload in zip(rows.record_id, rows.payload, strict=True):
+        for _, record_id, payload in ready:
             n, before, last = n + 1, last, hashlib.sha256(f"{last}|{payload}".encode()).hexdigest()
             out.append((record_id, n, before, last))
-        state.update((n, last))
+        state.update((n, last, json.dumps(waiting)))
+        _wait(waiting, state)
         yield pd.DataFrame(out, columns=["record_id", "sequence", "previous_sha256", "content_sha256"])
 
-    return stream.groupBy("scope").applyInPandasWithState(step, "record_id long, sequence long, previous_sha256 string, content_sha256 string", "n long, last string", "append", GroupStateTimeout.NoTimeout)
+    timed, limit = _timed(stream, delay)
+    return timed.groupBy("scope").applyInPandasWithState(step, "record_id long, sequence long, previous_sha256 string, content_sha256 string", "n long, last string, waiting string", "append", limit)
 
 
 def fresh_stream(events: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -211,3 +211,40 @@ def test_lifecycle_of_moves_that_come_late(spark, tmp_path):
     out = drain(lifecycle_stream, like, str(tmp_path / "moves"), files_a_batch=1).collect()
     assert len(out) == 5
     assert {k: max((r.n_moves, r.state) for r in out if r.record_id == k)[1] for k in (1, 2, 3)} == {1: "RELEASED", 2: "INVALID", 3: "INVALID"}
+
+
+def test_chain_of_rows_that_come_late(spark, tmp_path):
+    from cordon.streaming.traffic import chain_stream, drain
+
+    s, schema = 1_000_000, "record_id long, scope long, ts_us long, payload string"
+    files = [[(3, 1, 30 * s, "c"), (9, 2, 31 * s, "x")], [(1, 1, 10 * s, "a"), (2, 1, 10 * s, "b")], [(4, 1, 90 * s, "d"), (10, 2, 40 * s, "y")], [(99, 3, 900 * s, "end")]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    like = spark.read.schema(schema).parquet(str(tmp_path / "rows"))
+    got = drain(lambda x: chain_stream(x, "60 seconds"), like, str(tmp_path / "rows"), files_a_batch=1)
+    want = folds.ordered_fold(like.where("record_id < 99"), "scope", ["ts_us", "record_id"], folds.chain_fold("payload"), folds.CHAIN_COLUMNS)
+    names = ["record_id", "sequence", "previous_sha256", "content_sha256"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
+
+
+def test_long_chains_of_scopes_end_and_cycles_do_not(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    chain = [(1, k, f"o{k}", None, k + 1, f"o{k + 1}") for k in range(40)] + [(1, 40, "o40", "orders", None, "price")]
+    cycle = [(2, 0, "out", None, 1, "v"), (2, 1, "v", None, 2, "v"), (2, 1, "v", None, 1, "v"), (2, 2, "v", None, 1, "v"), (3, 0, "a", "t", None, "x"), (3, 0, "b", None, 1, "none")]
+    df = spark.createDataFrame(chain + cycle, "query_id int, scope_id int, output_name string, dataset string, src_scope int, src_column string")
+    got = {tuple(r) for r in policy.resolve_derived(df, max_depth=48).collect()}
+    assert got == {(1, "o0", "orders", "price"), (2, "out", "@unresolved", "v"), (3, "a", "t", "x"), (3, "b", "@unresolved", "none")}
+
+
+def test_budget_of_releases_that_come_late(spark, tmp_path):
+    from cordon.streaming.traffic import budget_stream, drain
+
+    s, schema = 1_000_000, "record_id long, scope long, ts_us long, protected boolean"
+    files = [[(3, 1, 30 * s, True), (4, 1, 31 * s, False)], [(1, 1, 10 * s, True), (2, 1, 20 * s, True), (7, 2, 35 * s, True)], [(5, 1, 115 * s, True), (6, 1, 116 * s, True)], [(99, 3, 900 * s, False)]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    like = spark.read.schema(schema).parquet(str(tmp_path / "rows"))
+    got = drain(lambda x: budget_stream(x, 2, 100, "60 seconds"), like, str(tmp_path / "rows"), files_a_batch=1).collect()
+    want = folds.ordered_fold(like.where("record_id < 99"), "scope", ["ts_us", "record_id"], folds.budget_fold(2, 100 * s), folds.BUDGET_COLUMNS).collect()
+    assert sorted((r.record_id, r.allowed, r.rule) for r in got) == sorted((r.record_id, r.allowed, r.rule) for r in want)
+    assert {r.record_id for r in got if not r.allowed} == {3, 6}
