@@ -19,6 +19,7 @@ from .oracle_text import DECONTAMINATION, NEAR_DUPLICATES
 from .resample import resample
 from .substring import remove_repeats
 from .toxicity import classify
+from .whitening import usable, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +76,22 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on 8 components; entries are counted in steps of 1/1024 from -100,000."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    steps = F.transform(F.col("embedding").cast("array<double>"), lambda c: F.floor(1024 * c).cast("long") + 100_000)
+    rows = vectors.where(usable(F.col("embedding"))).select("vec_id", steps.alias("x"))
+    sums = rows.select(F.posexplode("x").alias("j", "x")).groupBy("j").agg(F.sum("x").alias("s"), F.count("*").alias("n")).orderBy("j").collect()  # a row an entry of a vector
+    whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  a square can pass the range of a long
+    apart = F.zip_with("x", F.array(*(F.lit(r.s) for r in sums)).cast("array<bigint>"), lambda x, s: whole(x * F.lit(sums[0].n if sums else 0) - s))
+    deviation = F.aggregate(apart, F.lit(0).cast("decimal(38,0)"), lambda a, d: (a + d * d).cast("decimal(38,0)"))
+    white = whiten(rows.withColumn("deviation", deviation.cast("long")), "x")
+    each = white.select("vec_id", "deviation", "_white", F.posexplode("_white.whitened").alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "_white.n", "deviation", "whitened", F.col("_white.explained")[F.col("k")].alias("explained"), "_white.identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op7_language, op8_line_dedup, op9_suffix_dedup, op10_quality_resample]
+    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op7_language, op8_line_dedup, op9_suffix_dedup, op10_quality_resample, op11_whitening]
     return {f.__name__: f for f in own}
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,3 +67,21 @@ class Scratch:
             path = self._hadoop(df._cordon_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self._kept = [x for x in self._kept if not any(x is t for t in tables)]
+
+
+def quoted(name: str) -> str:
+    """A column name as F.col takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame, scratch: Scratch, index: str) -> DataFrame:
+    """df, written, with a column `index` (a new name) that counts its rows from 0 without gaps.
+
+    Rows are numbered within the tasks that write them; the offsets (a row for each of those tasks) are broadcast.
+    """
+    kept = scratch.keep(df.withColumn(index, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(index), 33)
+    counts = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_part").alias(p := fresh(kept, "_part")), F.coalesce(before, F.lit(0)).alias(o := fresh(kept, "_offset")))
+    return kept.join(F.broadcast(offsets), part == F.col(p)).withColumn(index, F.col(o) + F.col(index).bitwiseAND((1 << 33) - 1)).drop(p, o)
