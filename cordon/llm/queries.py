@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import licences, mixing
+from . import licences, mixing, simhash
 from .decontaminate import report
 from .divergence import quality_rules
 from .language import identify
@@ -90,8 +90,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("k") + 1).alias("component"), "_white.n", "deviation", "whitened", F.col("_white.explained")[F.col("k")].alias("explained"), "_white.identity_error")
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose SimHash fingerprints differ in 3 bits at most."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op7_language, op8_line_dedup, op9_suffix_dedup, op10_quality_resample, op11_whitening]
+    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op7_language, op8_line_dedup, op9_suffix_dedup, op10_quality_resample, op11_whitening, op12_simhash]
     return {f.__name__: f for f in own}
 
 
