@@ -224,10 +224,9 @@ def mine(
     found = scratch.keep(_search(rows, free, size.n, n_anchors, positives, True, *sized))
     # the positives of an anchor, in order; each is a range of scores
     ranges = found.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", "row_id", "score"))).alias("p"))  # `positives` of each at most
-    percent = lambda p, share, up: F.when(p.score >= 0, F.floor((share * p.score + (99 if up else 0)) / 100)).otherwise(F.lit(ends[up])).cast("long")
-    wide = F.sequence(F.lit(0), F.lit(positives - 1))
-    # scores below 0 leave no range: least to most percent of them runs backwards
-    bound = lambda share, up: F.transform(wide, lambda k: F.coalesce(percent(F.get("p", k), share, up), F.lit(ends[up])))
+    # a share of a score, rounded into the range; scores below 0 and missing positives have an empty one, from 2^62 to -2^62
+    share = lambda p, of, up: F.when(p.score >= 0, F.call_function("div", of * p.score + F.lit(99 * up), F.lit(100)))
+    bound = lambda of, up: F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda k: F.coalesce(share(F.get("p", k), of, up), F.lit(ends[up])))
     limited = asking.join(ranges, F.col("number") == F.col("anchor")).select("number", "id", "label", "x", "part", "p", bound(least, 1).alias("low"), bound(most, 0).alias("high"))
     limited = scratch.keep(limited)
     got = _search(rows, limited, size.n, n_anchors, negatives, False, *sized)
@@ -247,10 +246,10 @@ def whole_steps(vectors: DataFrame, vec_col: str, scale: int, out_col: str) -> D
 #: DuckDB's SQL for the registered query.
 HARD_NEGATIVES = """
 with v as (
-  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, c -> floor(256 * c::double)) as x
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x
   from embeddings
   where vec_id is not null and label is not null and embedding is not null
-    and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
 ), a as (select * from v where vec_id % 100 = 0),
 s as (select a.vec_id as anchor_id, v.vec_id as other, a.label = v.label as same, list_inner_product(a.x, v.x)::bigint as score from a join v on a.vec_id <> v.vec_id),
 p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)

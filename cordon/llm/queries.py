@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import licences, mixing, simhash
+from . import licences, mixing, negatives, simhash
 from .decontaminate import report
 from .divergence import quality_rules
 from .language import identify
@@ -95,10 +95,17 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each anchor (ids divisible by 100) and each of its five positives."""
+    steps = negatives.whole_steps(_table(spark, sf_dir, "embeddings"), "embedding", 256, "x")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(steps.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op7_language, op8_line_dedup, op9_suffix_dedup, op10_quality_resample, op11_whitening, op12_simhash]
+    own = [op1_minhash, op2_quality_rules, op3_decontamination, op4_mixing, op5_toxicity, op6_licences, op7_language, op8_line_dedup, op9_suffix_dedup, op10_quality_resample, op11_whitening, op12_simhash, op13_hard_negatives]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": NEAR_DUPLICATES, "op2_quality_rules": QUALITY, "op3_decontamination": DECONTAMINATION, "op6_licences": licences.oracle()}
+    return {"op1_minhash": NEAR_DUPLICATES, "op2_quality_rules": QUALITY, "op3_decontamination": DECONTAMINATION, "op6_licences": licences.oracle(), "op13_hard_negatives": negatives.HARD_NEGATIVES}
