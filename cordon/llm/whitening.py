@@ -10,10 +10,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +21,8 @@ from .scratch import Scratch, fresh, numbered, quoted
 
 #: Rows of one block.
 BLOCK_ROWS = 1024
-#: Rows of one BlockMatrix. The driver holds the coordinates of a matrix's blocks while it multiplies; more rows are more matrices.
-SLAB_ROWS = 1 << 26
+#: Blocks of one BlockMatrix. The driver holds the coordinates of a matrix's blocks while it multiplies; more blocks are more matrices.
+SLAB_BLOCKS = 1 << 16
 
 
 def usable(vec: Column) -> Column:
@@ -31,18 +31,18 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, finite), F.lit(False))
 
 
-def _blocks(rows: DataFrame, n: int, width: int, block_rows: int) -> BlockMatrix:
-    """Rows (index, v array<double>) as a matrix of one column of blocks."""
-    vectors = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("v").alias("vector")), "vector")
-    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(block_rows, width)
+def _blocks(rows: DataFrame, n: int, width: int, block_rows: int, slab_blocks: int, scratch: Scratch) -> list[tuple[int, BlockMatrix]]:
+    """Rows (index, v array<double>) as matrices of one column of blocks, each with the number of its first row.
 
-
-def _slabs(rows: DataFrame, n: int, width: int, block_rows: int, slab_rows: int) -> list[tuple[int, BlockMatrix]]:
-    """(first row, matrix) of each run of `slab_rows` rows."""
-    out = []
-    for low in range(0, n, slab_rows):
-        own = rows.where((F.col("index") >= low) & (F.col("index") < low + slab_rows)).select((F.col("index") - low).alias("index"), "v")
-        out.append((low, _blocks(own, min(slab_rows, n - low), width, block_rows)))
+    The blocks are a written table: the products read it again and again, and losing an executor repeats no step before it.
+    """
+    own = rows.groupBy(F.floor(F.col("index") / block_rows).alias("block")).agg(F.sort_array(F.collect_list(F.struct("index", "v"))).alias("rows"))
+    table = scratch.keep(own.select("block", F.size("rows").alias("n"), F.flatten("rows.v").alias("values")))
+    out, blocks = [], -(-n // block_rows)
+    for low in range(0, blocks, slab_blocks):
+        part = table.where((F.col("block") >= low) & (F.col("block") < low + slab_blocks))
+        dense = part.rdd.map(lambda r, low=low: ((int(r.block - low), 0), DenseMatrix(r.n, width, r["values"], True)))
+        out.append((low * block_rows, BlockMatrix(dense, block_rows, width, min(slab_blocks * block_rows, n - low * block_rows), width)))
     return out
 
 
@@ -61,7 +61,7 @@ def _centred(rows: DataFrame) -> DataFrame:
     return rows.select("index", F.zip_with("v", F.lit(_means(rows)), lambda x, m: x - m).alias("v"))
 
 
-def whiten(vectors: DataFrame, vec_col: str = "embedding", components: int = 8, out_col: str = "_white", block_rows: int = BLOCK_ROWS, slab_rows: int = SLAB_ROWS) -> DataFrame:
+def whiten(vectors: DataFrame, vec_col: str = "embedding", components: int = 8, out_col: str = "_white", block_rows: int = BLOCK_ROWS, slab_blocks: int = SLAB_BLOCKS) -> DataFrame:
     """Whitened coordinates of every row on the first `components` principal components of all rows.
 
     Rows whose vector is null, empty or has a null or non-finite entry are left out; all others are
@@ -90,22 +90,22 @@ def whiten(vectors: DataFrame, vec_col: str = "embedding", components: int = 8,
     if size.low != width:
         raise ValueError(f"vectors of {size.low} to {width} entries")
     centred = _centred(rows.select(F.col(index).alias("index"), vec.cast("array<double>").alias("v")))
-    parts = max(1, centred.rdd.getNumPartitions())
-    matrices = _slabs(centred, n, width, block_rows, slab_rows)
+    matrices = _blocks(centred, n, width, block_rows, slab_blocks, scratch)
+    parts = max(1, min(-(-n // block_rows), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
     values, axes = np.linalg.eigh(reduce(np.add, (_scatter(m, parts) for _, m in matrices)) / n)
     values, axes = values[::-1], axes[:, ::-1]
     k = min(components, int((values > max(values[0], 0.0) * width * np.finfo(float).eps).sum()))
     if not k:
         return rows.select(*columns, none.alias(out_col))
     weights = vectors.sparkSession.createDataFrame([(j, w.tolist()) for j, w in enumerate(axes[:, :k] / np.sqrt(values[:k]))], "index long, v array<double>")
-    by = _blocks(weights, width, k, width)
+    ((_, by),) = _blocks(weights, width, k, width, slab_blocks, scratch)
     projected = []
     for low, m in matrices:
         java = m.multiply(by).toIndexedRowMatrix()._java_matrix_wrapper._java_model
         # the rows as MLlib gives them to Python, before they are made Python objects
         projected.append(callMLlibFunc("getIndexedRows", java).select((F.col("index") + low).alias("index"), vector_to_array("vector").alias("v")))
     white = scratch.keep(reduce(DataFrame.unionByName, projected))
-    cover = reduce(np.add, (_scatter(m, parts) for _, m in _slabs(_centred(white), n, k, block_rows, slab_rows))) / n
+    cover = reduce(np.add, (_scatter(m, parts) for _, m in _blocks(_centred(white), n, k, block_rows, slab_blocks, scratch))) / n
     told = F.struct(F.lit(n).cast("long").alias("n"), F.col("v").alias("whitened"), F.lit(values[:k] / values.sum()).alias("explained"), F.lit(float(np.abs(cover - np.eye(k)).max())).alias("identity_error"))
     own = white.select(F.col("index").alias(at := fresh(rows, "_at")), told.alias(out_col))
     return rows.join(own, F.col(index) == F.col(at)).select(*columns, out_col)
