@@ -11,6 +11,7 @@ What hubs leave apart is paired by a prefix join that misses no similar pair.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,7 +32,9 @@ MARGIN = 5.0
 #: Members compared with one copy of a hub's text.
 CHUNK = 256
 #: 64-bit words of a text's bitmap of shingles.
-BITMAP = 16
+BITMAP = 32
+#: Texts of one shingle's bucket that a task takes as one side of a join.
+BUCKET = 1000
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (GROUPS, 2), dtype=np.int64).astype(U) | U(1)
 
 
@@ -107,14 +110,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["band", "id"])
 
 
-def _plausible(threshold: float):
+def _plausible(threshold: float, margin: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             if len(x):
                 a, b = (np.frombuffer(b"".join(x[c]), np.uint16).reshape(-1, GROUPS * BUCKETS) for c in ("ra", "rb"))
                 guess, count = estimate(a, b, x.na.to_numpy(), x.nb.to_numpy())
                 small, large = np.minimum(x.na, x.nb).to_numpy(), np.maximum(x.na, x.nb).to_numpy()
-                near = guess >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / count) - 1e-9
+                near = guess >= threshold - margin * np.sqrt(threshold * (1 - threshold) / count) - 1e-9
                 yield x.loc[near & (small >= threshold * large - 1e-6), ["a", "b"]]
 
     return run
@@ -152,7 +155,7 @@ def _verify(text: str, n: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, margin: float | None = MARGIN) -> DataFrame:
     """Groups of texts whose word-shingle sets have a Jaccard similarity of `percent` / 100 or more.
 
     Words are lower-cased (A-Z) runs of non-blank characters; a text of fewer than `ngram` words
@@ -171,6 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group costs a pair a member and key, and beyond that only pairs that its rarest shingles,
     positions, lengths and bitmaps can't rule out.
     The chance that a pair of similarity 0.8 shares none of the bands is (1 - 0.8^4)^32 < 1e-7.
+    A pair whose estimate is `margin` standard errors too low is not confirmed; with None every pair
+    of fitting sizes is.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -191,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         both = pairs.join(regs.toDF("a", "ra", "na"), "a").join(regs.toDF("b", "rb", "nb"), "b")
-        near = scratch.keep(both.mapInPandas(_plausible(percent / 100), "a long, b long").distinct())
+        near = scratch.keep(both.mapInPandas(_plausible(percent / 100, math.inf if margin is None else margin), "a long, b long").distinct())
         return scratch.keep(_confirm(near, pool, ngram, percent, scratch))
 
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -234,7 +239,10 @@ def _shingle_rows(n: int):
 
 
 def _bitmaps(n: int):
-    """A bitmap of each text's shingles: bit h for every shingle with hash h modulo its size."""
+    """A bitmap of each text's shingles: bit h is the parity of the number of shingles with hash h modulo its size.
+
+    The exclusive-or of two bitmaps is that of the shingles in one text alone, so its bits are at most as many as those are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,8 +250,58 @@ def _bitmaps(n: int):
                 sets = _sets(part.column("text"), n, salt=1)
                 bits = np.zeros((len(sets), BITMAP), U)
                 for row, x in zip(bits, sets, strict=True):
-                    np.bitwise_or.at(row, (x >> U(6)) % U(BITMAP), U(1) << (x & U(63)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *(pa.array(b.view(np.int64)) for b in np.ascontiguousarray(bits.T))], names=["id", "mark", *(f"b{k}" for k in range(BITMAP))])
+                    np.bitwise_xor.at(row, (x >> U(6)) % U(BITMAP), U(1) << (x & U(63)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array([x.tobytes() for x in bits], pa.binary())], names=["id", "mark", "bits"])
+
+    return run
+
+
+def _meet(percent: int):
+    """Rows sorted by shingle, part and side (0: one side, 1: the other, 2: both): pairs of a bucket that can be similar."""
+
+    def pairs(one: list[pa.RecordBatch], two: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = ({c: np.concatenate([x.column(c).to_numpy() for x in side]) for c in ("id", "root", "n", "place")} for side in (one, two))
+        bits = [np.frombuffer(b"".join(y for x in side for y in x.column("bits").to_pylist()), U).reshape(-1, BITMAP) for side in (one, two)]
+        for k in range(0, len(a["id"]), 64):
+            both = a["n"][k : k + 64, None] + b["n"]
+            near = a["root"][k : k + 64, None] > b["root"]
+            for side, x in ((a, slice(k, k + 64)), (b, slice(None))):
+                left = side["n"][x] + 1 - side["place"][x]
+                near &= (100 + percent) * (left[:, None] if side is a else left) >= percent * both
+            near &= 100 * np.minimum(a["n"][k : k + 64, None], b["n"]) >= percent * np.maximum(a["n"][k : k + 64, None], b["n"])
+            i, j = np.nonzero(near)
+            for at in range(0, len(i), CHUNK * BITMAP):
+                p, q = i[at : at + CHUNK * BITMAP], j[at : at + CHUNK * BITMAP]
+                differ = np.bitwise_count(bits[0][k + p] ^ bits[1][q]).sum(1, dtype=np.int64)
+                ok = (100 + percent) * differ <= (100 - percent) * both[p, q]
+                if ok.any():
+                    yield a["id"][k + p[ok]], b["id"][q[ok]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one, two = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for x, y in pairs(one, two) if one and two else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("shingle", "part", "side")])
+            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0).any(0)]))
+            for s, e in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                if (key := tuple(keys[:2, s])) != now:
+                    yield from done()
+                    now, one, two = key, [], []
+                part = batch.slice(s, e - s)
+                if keys[2, s] != 1:
+                    one.append(part)
+                if keys[2, s] != 0:
+                    two.append(part)
+                if keys[2, s] == 1:  # the first side is whole: the second goes by
+                    yield from done()
+                    two = []
+        yield from done()
 
     return run
 
@@ -254,9 +312,11 @@ def _apart(members: DataFrame, pool: DataFrame, ngram: int, percent: int, scratc
     Shingles are ordered by how rare they are among the members. Of two similar texts of n and m
     shingles that share at least o, the first shared one in that order has a place of at most
     n - o + 1 in one text and m - o + 1 in the other. A pair that meets there is ruled out by
-    its sizes, or by the bits in which the bitmaps of its shingles differ: no more shingles can
-    be in one text alone than similarity allows. Edited copies start with shingles of their own,
-    so groups of any size meet little, and all sizes take this one way.
+    its sizes, or by the bits in which the parity bitmaps of its shingles differ: at least as many
+    shingles are in one text alone, and similarity allows only so many. That leaves few pairs below
+    the threshold for texts of up to about a third as many shingles as a bitmap has bits (2,048),
+    whatever the size of their family; longer texts leave more. Buckets of frequent shingles are
+    joined in parts of BUCKET texts.
     """
     texts = scratch.keep(pool.join(members, "id").select("id", F.xxhash64("text").alias("mark"), "root", "text"))
     each = scratch.keep(texts.mapInArrow(_shingle_rows(ngram), "id long, mark long, root long, n long, shingle long"))
@@ -265,18 +325,16 @@ def _apart(members: DataFrame, pool: DataFrame, ngram: int, percent: int, scratc
     placed = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
     # a partner has percent / 100 of the shingles at least
     first = placed.where((100 * (F.col("n") + 1 - F.col("place")) >= percent * F.col("n")) & (F.col("often") > 1)).drop("often")
-    bits = texts.mapInArrow(_bitmaps(ngram), "id long, mark long, " + ", ".join(f"b{k} long" for k in range(BITMAP)))
+    bits = texts.mapInArrow(_bitmaps(ngram), "id long, mark long, bits binary")
     first = scratch.keep(first.join(bits, ["id", "mark"]))
     scratch.drop(each)
-    a, b = first.alias("a"), first.alias("b")
-    both = F.col("a.n") + F.col("b.n")
-    reached = [(100 + percent) * (F.col(f"{s}.n") + 1 - F.col(f"{s}.place")) >= percent * both for s in "ab"]
-    differ = F.lit(0)
-    for k in range(BITMAP):
-        differ = differ + F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}")))
-    near = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * differ <= (100 - percent) * both)
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") > F.col("b.root")) & reached[0] & reached[1] & near)
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    sizes = first.groupBy("shingle").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("shingle", F.ceil(F.col("size") / BUCKET).alias("parts"))
+    rows = first.join(scratch.keep(sizes), "shingle")
+    columns = ["shingle", "id", "root", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"), "bits"]
+    side = lambda rows, part, k: rows.select(*columns, part.alias("part"), F.lit(k).cast("long").alias("side"))
+    hot, own = rows.where("parts > 1"), F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts"))
+    dealt = side(rows.where("parts = 1"), F.lit(0).cast("long"), 2).unionByName(side(hot, own, 0)).unionByName(side(hot, F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<long>")), 1))
+    return dealt.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "side").mapInArrow(_meet(percent), "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, pool: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
