@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textkit import LETTER_DIGIT, LOWER, SpanHash, U, flatten, mix, slices, split_ranges, word_spans
+from .textkit import BLANK_SPLIT, LETTER_DIGIT, LOWER, SpanHash, U, flatten, mix, slices, split_ranges, word_spans
 
 #: Labelled rows that a model is fitted on at most, taken in the order of a hash of their id.
 MAX_LABELLED = 10_000
@@ -31,6 +31,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(kinds, 1).ravel(), at * len(kinds)
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Number of words of each text, as runs of non-blank characters."""
+    data, offsets = flatten(texts)
+    return np.diff(word_spans(data, offsets, BLANK_SPLIT)[2]).astype(np.int64)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id_col: str, text_col: str, limit: int) -> DataFrame:
     """Texts of at most `limit` labelled ids, with one boolean column y<k> for each target; ids without a full label are left out."""
     ys = [c.alias(f"y{k}") for k, c in enumerate(targets.values())]
@@ -79,8 +85,8 @@ def presence(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both // len(chosen), both % len(chosen)
 
 
-def collect_training(rows: DataFrame, chosen: np.ndarray, n_targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse presence rows of the sample and its labels; bounded by the sample and by the number of features."""
+def collect_training(rows: DataFrame, chosen: np.ndarray, n_targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse presence rows of the sample, its labels, ids and numbers of words; bounded by the sample and by the number of features."""
     names = [f"y{k}" for k in range(n_targets)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,13 +94,13 @@ def collect_training(rows: DataFrame, chosen: np.ndarray, n_targets: int) -> tup
             for part in slices(batch, "text"):
                 doc, which = presence(part.column("text"), chosen)
                 lists = np.split(which.astype(np.int32), np.searchsorted(doc, np.arange(1, part.num_rows)))
-                yield pa.RecordBatch.from_arrays([part.column("lid"), pa.array(lists, pa.list_(pa.int32())), *(part.column(c) for c in names)], names=["lid", "on", *names])
+                yield pa.RecordBatch.from_arrays([part.column("lid"), pa.array(lists, pa.list_(pa.int32())), pa.array(word_counts(part.column("text"))), *(part.column(c) for c in names)], names=["lid", "on", "words", *names])
 
-    got = rows.mapInArrow(run, "lid long, on array<int>, " + ", ".join(f"{c} boolean" for c in names)).toArrow().sort_by("lid").combine_chunks()
+    got = rows.mapInArrow(run, "lid long, on array<int>, words long, " + ", ".join(f"{c} boolean" for c in names)).toArrow().sort_by("lid").combine_chunks()
     on = [np.asarray(x, np.int64) for x in got.column("on").to_pylist()]
     doc = np.repeat(np.arange(len(on)), [len(x) for x in on])
     y = np.stack([got.column(c).to_numpy().astype(np.float64) for c in names], 1) if len(on) else np.zeros((0, n_targets))
-    return doc, np.concatenate(on) if on else np.zeros(0, np.int64), y, got.column("lid").to_numpy()
+    return doc, np.concatenate(on) if on else np.zeros(0, np.int64), y, got.column("lid").to_numpy(), got.column("words").to_numpy()
 
 
 def matrix(doc: np.ndarray, which: np.ndarray, n: int, n_features: int, dense: np.ndarray) -> np.ndarray:

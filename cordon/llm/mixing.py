@@ -1,4 +1,10 @@
-"""Mixing to target weights by soft membership: posteriors of a classifier, rates as a projected dual step."""
+"""Mixing to target weights by soft membership: calibrated posteriors, rates by projected gradient.
+
+The rates minimise half the squared distance of the domains' expected token shares from their targets,
+each divided by its target, plus a ridge towards 1, over rates from 0 to a highest one. Where the
+posteriors hardly tell domains apart the ridge wins: rates stay near 1 and the miss is reported. Every step is one pass over (tokens, p): it exchanges a gradient of one
+number a domain.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linear import MAX_FEATURES, MAX_LABELLED, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance
+from .linear import MAX_FEATURES, MAX_LABELLED, chance, collect_training, fit, labelled, matrix, presence, select_features, sparse_chance, word_counts
 from .scratch import Scratch, fresh
-from .textkit import BLANK_SPLIT, slices, flatten, word_spans
+from .textkit import U, mix as scramble, slices
 
 #: Share of the expected tokens that each domain is to get.
 TARGETS = {"good": 0.90, "plain": 0.05, "toxic": 0.03, "toxic_plain": 0.02}
 #: Difference of a domain's share from its target that is reported.
 MISS = 2e-3
-#: Lengths tried for a step, each half of the one before.
-HALVINGS = 8
+#: Highest rate: times that a document may be drawn.
+MOST = 20.0
+#: Parts of the labelled sample: each is judged by models of the others when posteriors are calibrated.
+FOLDS = 4
 
 
 def domains() -> dict[str, Column]:
@@ -29,119 +37,163 @@ def domains() -> dict[str, Column]:
     return {"good": good & ~toxic, "plain": ~good & ~toxic, "toxic": good & toxic, "toxic_plain": ~good & toxic}
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _odds(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What calibration sees: log-odds of the one-against-rest models, the log of the number of words, and ones."""
+    p = np.clip(p, 1e-5, 1 - 1e-5)
+    return np.column_stack([np.log(p / (1 - p)), np.log1p(tokens) / 5, np.ones(len(p))])
+
+
+def calibrate(p: np.ndarray, tokens: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights of a softmax regression from odds to domains, by Newton steps; at the start each domain has its own odds.
+
+    Its constant and word weights are all but free, so that on the sample (predicted by models that
+    didn't see it) the mean posterior of a domain is its share.
+    """
+    x, k = _odds(p, tokens), y.shape[1]
+    m = x.shape[1]
+    start = np.zeros((m, k))
+    start[:k] = np.eye(k)
+    penalty = np.full((m, k), l2)
+    penalty[k:] = 1e-3
+    w = start.copy()
+    for _ in range(steps):
+        q = _softmax(x @ w)
+        gradient = x.T @ (q - y) + penalty * (w - start)
+        curve = np.diag(penalty.ravel())
+        for a in range(k):
+            for b in range(k):
+                curve[a::k, b::k] += (x.T * (q[:, a] * ((a == b) - q[:, b]))) @ x
+        move = np.linalg.solve(curve, gradient.ravel()).reshape(m, k)
+        w -= move * min(1.0, 2.0 / max(1e-12, np.abs(move).max()))
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
+
+
 def posteriors(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], id_col: str, text_col: str, max_labelled: int, scratch: Scratch, out_col: str, max_features: int = MAX_FEATURES) -> DataFrame:
-    """All columns of `docs` and `out_col`: tokens (words of the text) and p, the probability of each domain (one-against-rest models, made to sum to 1)."""
+    """All columns of `docs` and `out_col`: tokens (words of the text) and p, the probability of each domain.
+
+    One-against-rest models give odds; a softmax regression on the odds that models fitted on the
+    other FOLDS - 1 parts of the sample give its rows makes them probabilities.
+    """
+    k = len(conditions)
     rows = labelled(docs, labels, conditions, id_col, text_col, max_labelled)
-    chosen = select_features(rows, len(conditions), scratch, limit=max_features)
-    doc, which, y, _ = collect_training(rows, chosen, len(conditions))
+    chosen = select_features(rows, k, scratch, limit=max_features)
+    doc, which, y, lid, words = collect_training(rows, chosen, k)
     x = matrix(doc, which, len(y), len(chosen), np.zeros((len(y), 0)))
-    models = [fit(x, y[:, k]) if len(y) else None for k in range(len(conditions))]
+    models = [fit(x, y[:, j]) for j in range(k)] if len(y) else []
+    fold, held = scramble(lid.astype(np.int64).view(U)) % U(FOLDS), np.full((len(y), k), 1 / k)
+    for f in range(FOLDS):
+        own = fold == f
+        if own.any() and not own.all():
+            held[own] = np.stack([chance(x[own], fit(x[~own], y[~own, j])) for j in range(k)], 1)
+    weights = calibrate(held, words, y) if len(y) else None
     kind = pa.struct([("tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 n = part.num_rows
-                doc, which = presence(part.column(text_col), chosen)
-                dense = np.zeros((n, 0))
-                p = np.stack([np.ones(n) if w is None else sparse_chance(doc, which, dense, w, n) for w in models], 1)
-                p /= p.sum(1, keepdims=True)
-                data, offsets = flatten(part.column(text_col))
-                tokens = np.diff(word_spans(data, offsets, BLANK_SPLIT)[2])
-                column = pa.StructArray.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], fields=list(kind))
+                tokens = word_counts(part.column(text_col))
+                p = np.full((n, k), 1 / k)
+                if models:
+                    doc, which = presence(part.column(text_col), chosen)
+                    p = _softmax(_odds(np.stack([sparse_chance(doc, which, np.zeros((n, 0)), w, n) for w in models], 1), tokens) @ weights)
+                column = pa.StructArray.from_arrays([pa.array(tokens), pa.array(list(p), pa.list_(pa.float64()))], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, out_col])
 
-    mix = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, mix)]))
-
-
-def _rates(p: np.ndarray, steps: list[np.ndarray], ridge: float, size: float) -> np.ndarray:
-    """Rates after the given gradient steps, from 1: every document's own part of the projected gradient."""
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.maximum(0.0, r - size * (p @ g + ridge * (r - 1)))
-    return r
+    both = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, both)]))
 
 
-def solve(table: DataFrame, targets: np.ndarray, ridge: float, tolerance: float, max_steps: int) -> list[np.ndarray]:
-    """The projected step from 1 that `descend` finds, as `_rates` takes it."""
-    return descend(table, targets, ridge, tolerance, max_steps)[0]
+def _rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]], size: float, ridge: float, ends: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates after the given steps of length `size` (that times the gradient by domain, momentum), from 1: the last two, and the point that the next step starts from."""
+    before = r = at = np.ones(len(p))
+    for g, momentum in steps:
+        before, r = r, np.clip(at - (p @ g + size * ridge * (at - 1)), *ends)
+        at = r + momentum * (r - before)
+    return before, r, at
 
 
-def descend(table: DataFrame, targets: np.ndarray, ridge: float, tolerance: float, max_steps: int) -> tuple[list[np.ndarray], np.ndarray | None, float]:
-    """The projected step from 1 to the solution (a list of one), the domain shares reached, and the largest part of the gradient left.
+def descend(table: DataFrame, targets: np.ndarray, ridge: float, tolerance: float, max_steps: int, ends: tuple[float, float] = (0.0, MOST)) -> tuple[list[tuple[np.ndarray, float]], float, np.ndarray | None, float]:
+    """The steps of accelerated projected gradient and their length (for `_rates`), the domain shares reached, and the last move of the rates.
 
-    Minimises |m(r) / m(1) - targets|^2 / 2 + ridge / 2 * sum of tokens * (r - 1)^2 / m(1) over
-    rates r >= 0, where m(r) is the expected number of tokens by domain and the first norm is that
-    of the inverse of the domains' second moments (sum of tokens * p * p' / m(1)), in which small
-    domains count as large ones do. At the solution r = max(0, 1 - p * v) for one vector v, which
-    Newton steps on the dual gradient find: each tries HALVINGS lengths in one pass over `table`
-    (tokens, p) and takes the one of least dual value, until no part of the gradient is above
-    `tolerance`. What comes back is a value, a gradient and a matrix of the domains for each
-    length and task. No step and no shares for a table without tokens.
+    Minimises the sum of (m(r) / m(1) - target)^2 / (2 * target) over the domains + ridge / 2 * sum of
+    tokens * (r - 1)^2 / m(1) over rates inside `ends`, where m(r) is the expected number of tokens by
+    domain (of all, for m(1)). The division by targets lets small domains count as large ones do; the
+    domains' second moments (sum of tokens * p * p' / m(1)) give the step length of the steepest direction.
+    Each step is a pass over `table` (tokens, p) that replays the steps so far and returns the shares
+    at the next point, those reached, and two sums; momentum starts anew where it points uphill. It ends when the
+    rates' root mean square move (by tokens) is at most `tolerance`. No step and no shares for a table without tokens.
     """
-    k, size = len(targets), 1.0 / (1.0 + ridge)
+    k = len(targets)
 
-    def totals(base: np.ndarray, tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, float]]:
-        """For each try v: sums of tokens * r^2 / 2, tokens * r * x and, where r > 0, tokens * x * x', x = p @ base; and of all tokens."""
-        n = base.shape[1]
-        width = 2 + n + n * n
+    def sums(steps: list[tuple[np.ndarray, float]], moments: bool = False) -> np.ndarray:
+        width = 3 + 2 * k + (k * k if moments else 0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(tries), width))
+            out = np.zeros(width)
             for batch in batches:
                 if batch.num_rows:
-                    x = batch.column("p").flatten().to_numpy().reshape(-1, k) @ base
-                    tokens = batch.column("tokens").to_numpy().astype(np.float64)
-                    for row, v in zip(sums, tries, strict=True):
-                        r = np.maximum(0.0, 1.0 - x @ v)
-                        row[0] += tokens.sum()
-                        row[1] += tokens @ r**2 / 2
-                        row[2 : 2 + n] += (tokens * r) @ x
-                        row[2 + n :] += (x.T @ ((tokens * (r > 0))[:, None] * x)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["j", "v"])
-
-        out = np.zeros(len(tries) * width)
+                    p = batch.column("p").flatten().to_numpy().reshape(-1, k)
+                    t = batch.column("tokens").to_numpy().astype(np.float64)
+                    before, r, at = _rates(p, steps, size, ridge, ends)
+                    start = _rates(p, steps[:-1], size, ridge, ends)[2]
+                    out[:3] += t.sum(), t @ (r - start) ** 2, t @ ((start - r) * (r - before))
+                    out[3 : 3 + k] += (t * at) @ p
+                    out[3 + k : 3 + 2 * k] += (t * r) @ p
+                    if moments:
+                        out[3 + 2 * k :] += ((p.T * t) @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(out)], names=["j", "v"])
+
+        total = np.zeros(width)
         for row in table.mapInArrow(run, "j long, v double").groupBy("j").agg(F.sum("v").alias("v")).collect():
-            out[row.j] = row.v
-        return [(x[1], x[2 : 2 + n], x[2 + n :].reshape(n, n), x[0]) for x in out.reshape(-1, width)]
+            total[row.j] = row.v
+        return total
 
-    _, share, moments, tokens = totals(np.eye(k), [np.zeros(k)])[0]
+    size = 0.0
+    got = sums([], True)
+    tokens, share = got[0], got[3 : 3 + k]
     if not tokens:
-        return [], None, 0.0
-    values, vectors = np.linalg.eigh(moments / tokens)
-    real = values > 1e-10 * values[-1]
-    base = vectors[:, real] / np.sqrt(values[real])
-    aim, v = targets @ base, np.zeros(real.sum())
-    gradient, curve = share / tokens @ base - aim, np.eye(len(v))
+        return [], size, None, 0.0
+    each = 1 / np.sqrt(np.maximum(targets, 1e-3))
+    size = 1 / (float(np.linalg.eigvalsh(each[:, None] * got[3 + 2 * k :].reshape(k, k) / tokens * each)[-1]) + ridge)
+    steps, theta, reached, moved = [], 1.0, share / tokens, 0.0
     for _ in range(max_steps):
-        if np.abs(gradient).max() < tolerance:
+        following = (1 + np.sqrt(1 + 4 * theta**2)) / 2
+        steps.append((size * each**2 * (share / tokens - targets), (theta - 1) / following))
+        theta = following
+        got = sums(steps)
+        if got[2] > 0:  # uphill: the last step stays, its momentum goes
+            steps[-1], theta = (steps[-1][0], 0.0), 1.0
+            got = sums(steps)
+        share, reached, moved = got[3 : 3 + k], got[3 + k : 3 + 2 * k] / tokens, float(np.sqrt(got[1] / tokens))
+        if moved <= tolerance:
             break
-        step = np.linalg.solve(curve + ridge * np.eye(len(v)), gradient)
-        tries = [v + step / 2.0**h for h in range(HALVINGS)]
-        got = totals(base, tries)
-        best = min(range(HALVINGS), key=lambda h: got[h][0] / tokens + tries[h] @ aim + ridge / 2 * tries[h] @ tries[h])  # noqa: B023
-        v, gradient, curve = tries[best], got[best][1] / tokens - aim - ridge * tries[best], got[best][2] / tokens
-    reached = np.linalg.pinv(base).T @ (gradient + aim + ridge * v)
-    return [base @ v / size], reached, float(np.abs(gradient).max())
+    return steps, size, reached, moved
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", conditions: dict[str, Column] | None = None, targets: dict[str, float] | None = None,
-    ridge: float = 1e-3, tolerance: float = 1e-6, max_steps: int = 40, max_labelled: int = MAX_LABELLED, out_col: str = "_rate", max_features: int = MAX_FEATURES,
+    ridge: float = 1e-3, tolerance: float = 5e-5, max_steps: int = 100, max_labelled: int = MAX_LABELLED, out_col: str = "_rate", max_features: int = MAX_FEATURES, least: float = 0.0, most: float = MOST, strict: bool = False,
 ) -> DataFrame:
-    """A nonnegative rate for every document, so that the expected tokens of the domains meet the targets.
+    """A rate from `least` (0 or more) to `most` for every document, so that the expected tokens of the domains meet the targets.
 
     A classifier fitted on at most `max_labelled` labelled rows, with at most `max_features` words a domain, gives every text its domain
     posteriors; a text of t words and rate r counts r * t * p tokens to a domain. Rates are the
     least-squares solution that `descend` describes, kept near 1 by `ridge`; equal posteriors get
     equal rates. Where a domain's share stays more than MISS off its target (no rates reach it, or
-    the steps ran out) a warning gives the shares reached. A null or empty text has no words, the posteriors of a text without features,
+    the steps ran out) a warning gives the shares reached, with `strict` an error. Very long texts are taken whole; ties don't arise. A null or empty text has no words, the posteriors of a text without features,
     and a rate by them. Without labels all posteriors are equal. Repeated rows count as often as
     they stand. An empty table gives no rows.
 
     :return: all columns and rows of `docs` (none is renamed) and the struct column `out_col`, whose name must be new:
-        tokens, p (an array in the order of `targets`), rate.
+        tokens, p (an array in the order of `targets`), rate, miss (largest distance of a domain's share from its target, the same for all rows).
 
     Two narrow passes over the texts; the steps read a written table of a few numbers a row.
     """
@@ -155,22 +207,25 @@ def mix(
     with_p = posteriors(docs, labels, conditions, id_col, text_col, max_labelled, scratch, mixed, max_features)
     table = scratch.keep(with_p.select(f"{mixed}.tokens", f"{mixed}.p"))
     aim = aim / aim.sum()
-    steps, share, left = descend(table, aim, ridge, tolerance, max_steps)
-    if share is not None and np.abs(share - aim).max() > MISS:
-        reached = ", ".join(f"{c} {x:.4f} for {y:.4f}" for c, x, y in zip(targets, share, aim, strict=True))
-        warnings.warn(f"mixing targets are missed by {np.abs(share - aim).max():.4f} (gradient left {left:.1e}): {reached}", stacklevel=2)
-    size = 1.0 / (1.0 + ridge)
-    kind = pa.struct([("tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("rate", pa.float64())])
+    steps, size, share, left = descend(table, aim, ridge, tolerance, max_steps, (least, most))
+    miss = float(np.abs(share - aim).max()) if share is not None else 0.0
+    if miss > MISS:
+        told = f"mixing targets are missed by {miss:.4f} (last move {left:.1e}): " + ", ".join(f"{c} {x:.4f} for {y:.4f}" for c, x, y in zip(targets, share, aim, strict=True))
+        if strict:
+            raise ValueError(told)
+        warnings.warn(told, stacklevel=2)
+    fields = [("tokens", pa.int64(), T.LongType()), ("p", pa.list_(pa.float64()), T.ArrayType(T.DoubleType())), ("rate", pa.float64(), T.DoubleType()), ("miss", pa.float64(), T.DoubleType())]
+    kind = pa.struct([(c, a) for c, a, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(mixed)
             p = x.field("p")
-            rate = _rates(p.flatten().to_numpy().reshape(batch.num_rows, -1), steps, ridge, size) if batch.num_rows else np.zeros(0)
-            out = pa.StructArray.from_arrays([x.field("tokens"), p, pa.array(rate)], fields=list(kind))
+            rate = _rates(p.flatten().to_numpy().reshape(batch.num_rows, -1), steps, size, ridge, (least, most))[1] if batch.num_rows else np.zeros(0)
+            out = pa.StructArray.from_arrays([x.field("tokens"), p, pa.array(rate), pa.array(np.full(batch.num_rows, miss))], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], out_col])
 
-    rate = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())])
+    rate = T.StructType([T.StructField(c, t) for c, _, t in fields])
     return with_p.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, rate)]))
 
 

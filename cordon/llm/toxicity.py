@@ -62,7 +62,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = list(chain)
     rows = labelled(docs, labels, chain, id_col, text_col, max_labelled)
     chosen = select_features(rows, len(chain), Scratch(docs.sparkSession, "toxicity"), limit=max_features)
-    doc, which, y, ids = collect_training(rows, chosen, len(chain))
+    doc, which, y, ids, _ = collect_training(rows, chosen, len(chain))
     models = fit_chain(doc, which, y, ids, len(chosen)) if len(y) else None
     kind = pa.struct([(c, pa.float64()) for c in names])
 
