@@ -6,14 +6,14 @@ from them is computed by the operators here and by SQL of its own there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import claims as cl
 from .operators import evaluation as ev
-from .operators import folds, history, ledger, policy, repair
+from .operators import folds, history, ledger, policy, repair, search
 from .operators import variants as va
-from .queries import _FOLD, _REC, _REL, ORACLES, QUERIES, Tables, _records, _releases, query
+from .queries import _FOLD, _REC, _REL, _keeper, ORACLES, QUERIES, Tables, _records, _releases, query
 from .sources import sinks
 from .sources.tables import gen_warehouse, read_catalog, read_typed_csv
 
@@ -410,7 +410,65 @@ def _(t):
 @query("m12_temporal_gate", _WITH + _decision_sql("sq", "sr") + f""", s AS (SELECT DISTINCT query_id FROM xe WHERE {_SHOWN} AND eff = 'SENSITIVE_ATTRIBUTE') SELECT query_id AS release_id, 2 AS depth, 'F5' AS predicate FROM xd JOIN s USING (query_id) JOIN orders ON o_orderkey = query_id WHERE decision = 'ALLOW' AND year(o_orderdate) IN (SELECT year(o_orderdate) FROM orders WHERE year(o_orderdate) < 2000)""")
 def _(t):
     d = policy.decide(*_shapes(t)).select(F.col("query_id").alias("release_id"), "decision", F.year("ts").cast("string").alias("snapshot"), F.col("has_sensitive").alias("sensitive"))
-    return va.temporal_gate(d, derived(t, _SNAP_EDGES, "orders"))
+    return search.temporal_gate(d, derived(t, _SNAP_EDGES, "orders"), _keeper(t))
+
+
+# ---- H17, H18, H19, M12: a user's day is a scope, the days are snapshots. Purchases are sensitive, signups identify and are
+# admitted to nobody; a user may see any other kind of event that the user ever had, and step to the next day with one.
+_MAX_STATES = 12
+_SEARCH = f"""d AS (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events), days AS (SELECT DISTINCT user_id, day FROM d),
+s AS (SELECT user_id, user_id || '|' || day AS scope, list(event_type ORDER BY event_type) AS atoms, day AS snapshot, CASE WHEN bool_or(event_type = 'purchase') THEN ['purchase@' || day] ELSE []::VARCHAR[] END AS pairs FROM d GROUP BY user_id, day),
+a AS (SELECT DISTINCT user_id, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS ord, 'add ' || event_type AS action, [event_type] AS new, CASE event_type WHEN 'purchase' THEN event_type END AS family, NULL::VARCHAR AS at, NULL::VARCHAR AS nxt FROM d WHERE event_type <> 'signup'
+UNION ALL SELECT user_id, 9, 'step', []::VARCHAR[], NULL, day, lead(day) OVER (PARTITION BY user_id ORDER BY day) FROM days),
+w AS (SELECT user_id, scope, 0 AS depth, []::INT[] AS path, '' AS names, atoms, snapshot, pairs, false AS lost, list_contains(atoms, 'signup') AND list_contains(atoms, 'purchase') AS f4, false AS f5 FROM s
+UNION ALL SELECT user_id, scope, depth, path, names, atoms, snapshot, pairs, lost, list_contains(atoms, 'signup') AND list_contains(atoms, 'purchase'), len(pairs) > 1 FROM (SELECT w.user_id, scope, depth + 1 AS depth, list_append(path, ord) AS path, names || CASE WHEN names = '' THEN '' ELSE '>' END || action AS names, list_sort(list_distinct(list_concat(atoms, new))) AS atoms, CASE WHEN ord = 9 THEN nxt ELSE snapshot END AS snapshot,
+CASE WHEN family IS NOT NULL AND snapshot IS NOT NULL THEN list_sort(list_distinct(list_append(pairs, family || '@' || snapshot))) ELSE pairs END AS pairs, lost OR (family IS NOT NULL AND snapshot IS NULL) AS lost FROM w JOIN a ON a.user_id = w.user_id AND (a.ord < 9 OR a.at = w.snapshot) WHERE depth < 3 AND NOT f4 AND NOT f5 AND NOT lost) x),
+n AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY scope, atoms, snapshot, pairs, lost ORDER BY depth, path) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY depth, path) AS place FROM n),
+e AS (SELECT *, CASE WHEN place > {_MAX_STATES} THEN 'STATE_BUDGET_EXHAUSTED' WHEN f4 OR f5 THEN 'PROSPECTIVE_UNSAFE' WHEN lost THEN 'INDETERMINATE_SECURITY_PREDICATE' END AS event FROM r),
+x AS (SELECT * FROM e WHERE event IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scope ORDER BY depth, path) = 1),
+res AS (SELECT scope, CASE event WHEN 'PROSPECTIVE_UNSAFE' THEN event ELSE 'FAIL_CLOSED' END AS status, CASE event WHEN 'PROSPECTIVE_UNSAFE' THEN NULL ELSE event END AS reason, depth, names AS path, CASE event WHEN 'PROSPECTIVE_UNSAFE' THEN concat_ws(',', CASE WHEN f4 THEN 'F4' END, CASE WHEN f5 THEN 'F5' END) WHEN 'INDETERMINATE_SECURITY_PREDICATE' THEN 'F5' ELSE '' END AS predicates, least(place, {_MAX_STATES}) AS n_states FROM x
+UNION ALL SELECT scope, 'NO_COUNTEREXAMPLE_WITHIN_BOUND', NULL, NULL, NULL, '', count(*) FROM e WHERE scope NOT IN (SELECT scope FROM x) GROUP BY scope)"""
+
+
+def _searched(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    keep = _keeper(t)
+    d = t.events.select(F.col("user_id").cast("string").alias("owner"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").distinct()
+    bought = F.bool_or(F.col("event_type") == "purchase")
+    states = d.groupBy("owner", "day").agg(F.collect_set("event_type").alias("atoms"), bought.alias("bought"))  # the kinds of event
+    pairs = F.when(F.col("bought"), F.array(F.concat(F.lit("purchase@"), "day"))).otherwise(F.array().cast("array<string>"))
+    states = keep(states.select("owner", F.concat_ws("|", "owner", "day").alias("scope"), "atoms", F.col("day").alias("snapshot"), pairs.alias("pairs")))
+    none = F.lit(None).cast("string")
+    order = F.coalesce(*(F.when(F.col("event_type") == c, k) for k, c in enumerate(["click", "error", "purchase"], 1)), F.lit(4))
+    add = d.select("owner", "event_type").distinct().select("owner", order.alias("ord"), F.concat(F.lit("add "), "event_type").alias("action"), F.array("event_type").alias("atoms"), F.when(F.col("event_type") == "purchase", F.col("event_type")).alias("family"), F.lit(False).alias("step"), none.alias("at"), none.alias("to"), (F.col("event_type") != "signup").alias("admissible"))
+    onward = F.lead("snapshot").over(Window.partitionBy("owner").orderBy("snapshot"))
+    step = states.select("owner", F.lit(9).alias("ord"), F.lit("step").alias("action"), F.array().cast("array<string>").alias("atoms"), none.alias("family"), F.lit(True).alias("step"), F.col("snapshot").alias("at"), onward.alias("to"), F.lit(True).alias("admissible"))
+    both = F.array_contains("atoms", "signup") & F.array_contains("atoms", "purchase")
+    return search.search(states, keep(add.unionByName(step)), search.named(F4=both, F5=search.two_snapshots()), search.named(F5=F.col("lost")), keep, 3, _MAX_STATES)
+
+
+@query("h17_search", f"WITH RECURSIVE {_SEARCH} SELECT * FROM res")
+def _(t):
+    return _searched(t)[0]
+
+
+@query("h18_witness", f"WITH RECURSIVE {_SEARCH} SELECT scope AS path, generate_subscripts(string_split(path, '>'), 1) AS step, unnest(string_split(path, '>')) AS action, true AS contiguous FROM res WHERE status = 'PROSPECTIVE_UNSAFE' AND depth > 0")
+def _(t):
+    _, steps, _ = _searched(t)
+    broken = history.verify_paths(steps).select("path", "step").withColumn("broken", F.lit(True))
+    return steps.join(broken, ["path", "step"], "left").select("path", F.col("step").cast("long").alias("step"), "action", F.col("broken").isNull().alias("contiguous"))
+
+
+@query("h19_levels", f"WITH RECURSIVE {_SEARCH}, c AS (SELECT e.* FROM e LEFT JOIN x USING (scope) WHERE e.place <= {_MAX_STATES} AND e.depth <= coalesce(x.depth, 3)), l AS (SELECT scope, depth, count(*) AS n_states FROM c GROUP BY 1, 2) SELECT scope, depth, n_states, (sum(n_states) OVER (PARTITION BY scope ORDER BY depth))::BIGINT AS n_total, sum(n_states) OVER (PARTITION BY scope ORDER BY depth) > 8 AS exhausted FROM l")
+def _(t):
+    return va.expansion_stats(_searched(t)[2], 8)
+
+
+@query("m12_temporal_search", f"WITH RECURSIVE {_SEARCH} SELECT scope, depth, path FROM res WHERE status = 'PROSPECTIVE_UNSAFE' AND depth > 0 AND predicates LIKE '%F5%'")
+def _(t):
+    found, steps, _ = _searched(t)
+    whole = history.verify_paths(steps).select(F.col("path").alias("scope"))
+    return found.where((F.col("status") == search.UNSAFE) & (F.col("depth") > 0) & F.col("predicates").contains("F5")).join(whole, "scope", "left_anti").select("scope", "depth", "path")
 
 
 # ---- I: repairs

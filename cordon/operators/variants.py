@@ -99,10 +99,3 @@ def observations(releases: DataFrame) -> DataFrame:
     """scope, family, snapshots (joined in order), n: under which snapshots each sensitive family was released (scope, family, snapshot, sensitive)."""
     per = releases.where("sensitive").groupBy("scope", "family").agg(F.array_sort(F.collect_set("snapshot")).alias("s"), F.count("*").alias("n"))
     return per.select("scope", "family", F.concat_ws(",", "s").alias("snapshots"), "n")
-
-
-def temporal_gate(releases: DataFrame, edges: DataFrame) -> DataFrame:
-    """release_id, depth, predicate of releases that the policy allows by themselves, yet that are forbidden once the
-    snapshot steps on and they are replayed: a sensitive family then stands under two snapshots (F5, two steps)."""
-    onward = edges.select("snapshot").distinct()
-    return releases.where("sensitive and decision = 'ALLOW'").join(onward, "snapshot", "left_semi").select("release_id", F.lit(2).alias("depth"), F.lit("F5").alias("predicate"))
