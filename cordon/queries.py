@@ -511,9 +511,67 @@ def _(t):
 
 @query("k4_budget_stream", ORACLES["g13_replay_budget"].replace("SELECT record_id, ok AS allowed, prior AS prior_count, CASE", "SELECT record_id, ok AS allowed, CASE"))
 def _(t):
-    from .streaming.traffic import budget_stream, drain
+    from .streaming.limits import budget_stream
+    from .streaming.traffic import drain
 
-    return drain(lambda s: budget_stream(s.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us"), (F.col("event_type") != "view").alias("protected")), 2, 86_400), t.events, f"{t.sf_dir}/events.parquet*").select("record_id", "allowed", "rule")
+    path = _in_batches(t)
+    out = drain(lambda s: budget_stream(_traffic(s, (F.col("event_type") != "view").alias("protected")), 2, 86_400, "1 minute"), t.events, path, files_a_batch=1)
+    return out.where("scope >= 0").select("record_id", "allowed", "rule")
+
+
+def _traffic(s: DataFrame, *more) -> DataFrame:
+    return s.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us"), *more)
+
+
+def _in_batches(t: Tables, n: int = 3) -> str:
+    """The events as n files in the order of time, and after them one event a year later (user -1), which moves the watermark past them all."""
+    from .streaming.traffic import _shared
+
+    to = _shared(t.spark)
+    now = ledger.micros("ts")
+    low, high = t.events.agg(F.min(now), F.max(now)).first()
+    if low is None:
+        t.events.write.parquet(to)
+        return f"{to}/*.parquet"
+    part = F.floor((now - low) / (high - low + 1) * n)
+    for k in range(n):  # written one after the other: a stream takes files by their time
+        t.events.where(part == k).coalesce(1).write.mode("append").parquet(to)
+    last = t.events.orderBy(F.desc("ts")).limit(1).withColumns({"user_id": F.lit(-1).cast("long"), "event_id": F.lit(-1).cast("long"), "ts": F.expr("ts + INTERVAL 365 DAYS")})
+    last.coalesce(1).write.mode("append").parquet(to)
+    return f"{to}/*.parquet"
+
+
+@query("k1_rate_stream", ORACLES["k1_rate_limit"])
+def _(t):
+    from .streaming.limits import rate_stream
+    from .streaming.traffic import drain
+
+    out = drain(lambda s: rate_stream(_traffic(s), 2, 43_200, "1 minute"), t.events, _in_batches(t), files_a_batch=1)
+    return out.where("scope >= 0").select("record_id", "admitted")
+
+
+@query("k2_throttle_stream", ORACLES["k2_failure_throttle"])
+def _(t):
+    from .streaming.limits import throttle_stream
+    from .streaming.traffic import drain
+
+    out = drain(lambda s: throttle_stream(_traffic(s, (F.col("event_type") == "error").alias("failed")), 1, 86_400, "1 minute"), t.events, _in_batches(t), files_a_batch=1)
+    return out.where("scope >= 0").select("record_id", "admitted")
+
+
+# A user's first signup issues a capability, clicks use it, within two days.
+@query("k6_capability_stream", """WITH i AS (SELECT user_id, min(ts) AS issued FROM events WHERE event_type = 'signup' GROUP BY user_id), u AS (SELECT event_id, user_id, ts, issued, row_number() OVER (PARTITION BY user_id, issued IS NOT NULL AND ts >= issued ORDER BY ts, event_id) AS n FROM events LEFT JOIN i USING (user_id) WHERE event_type = 'click')
+SELECT event_id AS record_id, user_id AS capability, CASE WHEN issued IS NULL OR ts < issued THEN 'UNKNOWN' WHEN n > 1 THEN 'REPLAY' WHEN ts > issued + INTERVAL 2 DAY THEN 'EXPIRED' ELSE 'OK' END AS status FROM u
+UNION ALL SELECT NULL, user_id, 'EXPIRED_UNUSED' FROM i WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = i.user_id AND event_type = 'click' AND ts >= issued AND ts <= issued + INTERVAL 2 DAY)""")
+def _(t):
+    from .streaming.limits import capability_stream
+    from .streaming.traffic import drain
+
+    def used(s: DataFrame) -> DataFrame:
+        own = s.where("event_type in ('signup', 'click') or user_id < 0")
+        return own.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("capability"), ledger.micros("ts").alias("ts_us"), (F.col("event_type") == "signup").alias("issue"))
+
+    return drain(lambda s: capability_stream(used(s), 172_800, "1 minute"), t.events, _in_batches(t), files_a_batch=1).where("capability >= 0")
 
 
 # ---- M, I, J: evaluation, repairs, receipts
