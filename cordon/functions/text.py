@@ -7,7 +7,6 @@ import unicodedata
 from collections.abc import Iterator
 from urllib.parse import quote_plus
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +71,8 @@ def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame, max_secre
     at = corpus.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick  # only this scan needs it
+
         plain, normal = ahocorasick.Automaton(), ahocorasick.Automaton()
         for r in known:
             raw = r["secret"].encode()
