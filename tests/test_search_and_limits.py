@@ -65,6 +65,9 @@ def test_search_equals_breadth_first(spark, tmp_path):
         for j in range(3):
             atoms = rng.sample(["a", "b", "s", "x"], rng.randint(0, 3))
             states.append((owner, f"{owner}-{j}", atoms, "d1", ["fam@d1"] if "s" in atoms else []))
+    # a sensitive release under a snapshot that nobody knows can't be judged
+    actions += [("odd", 1, "add a", ["a"], None, False, None, None, True), ("odd", 2, "add s", ["s"], "fam", False, None, None, True), ("odd", 9, "step", [], None, True, "d1", None, True)]
+    states += [("odd", "odd-1", ["x"], "d1", []), ("odd", "odd-2", ["s"], "d1", ["fam@d1"])]
     keep, both = keeper(spark, tmp_path), F.array_contains("atoms", "id") & F.array_contains("atoms", "s")
     for depth, budget in ((3, 1000), (3, 9), (0, 5), (1, 2)):
         got, steps, levels = search.search(spark.createDataFrame(states, STATE), spark.createDataFrame(actions, ACTION), search.named(F4=both, F5=search.two_snapshots()), search.named(F5=F.col("lost")), keep, depth, budget)
