@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import base64
 import unicodedata
-from collections.abc import Iterator
-from urllib.parse import quote_plus
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 # Statement kinds that a read-only log must not hold.
 FORBIDDEN = ["insert", "update", "delete", "merge", "create", "drop", "alter", "command", "transaction", "commit", "rollback", "grant", "revoke", "use", "set", "copy", "attach", "detach", "install", "load"]
@@ -56,43 +52,63 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.sha2(F.concat(lit(outer), F.unhex(F.sha2(F.concat(lit(inner), message.cast("binary")), 256))), 256)
 
 
-def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame, max_secrets: int = 10_000) -> DataFrame:
+@F.pandas_udf(T.StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _with_fold(rows: DataFrame, source: str, name: str) -> DataFrame:
+    """Adds the normal form KC of a text column; ASCII is its own, so only other rows meet Python."""
+    ascii_ = _is_ascii(F.col(source))
+    return rows.where(ascii_).withColumn(name, F.col(source)).unionByName(rows.where(~ascii_).withColumn(name, _folded(source)))
+
+
+def _needles(secrets: DataFrame) -> DataFrame:
+    """Spellings of each secret: secret_id, spelling, secret, needle, and the needle's first 8, 4 or 1 characters (gram, of n_gram)."""
+    raw = F.col("secret").cast("binary")
+    forms = {"raw": F.col("secret"), "percent": F.url_encode("secret"), "hex": F.lower(F.hex(raw)), "base64": F.translate(F.base64(raw), "\r\n", ""), "nfkc": F.col("fold")}
+    known = _with_fold(secrets.select("secret_id", "secret").where("length(secret) > 0"), "secret", "fold")
+    each = known.select("secret_id", "secret", F.inline(F.array(*(F.struct(F.lit(k).alias("spelling"), v.alias("needle")) for k, v in forms.items()))))
+    n = F.when(F.length("needle") >= 8, 8).when(F.length("needle") >= 4, 4).otherwise(1)
+    return each.where("length(needle) > 0").distinct().withColumn("n_gram", n).withColumn("gram", F.expr("left(needle, n_gram)"))
+
+
+PIECE = 4096  # characters of a text that are cut into grams at a time, which bounds a row's memory
+
+
+def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame) -> DataFrame:
     """Texts that hold a listed secret (secret_id, secret) raw, percent-encoded, in hex or in base64; or `nfkc`: only once text and secret are in normal form KC.
 
-    The list is checked to be at most `max_secrets` rows before the tasks get it; a longer one is refused. Null texts and empty
-    secrets hold and are nothing. Each task builds one automaton of all needles, so that a text is read once however long the list is.
+    Adds secret_id and spelling, a row for each that a text holds; repeated texts each get theirs. Null texts and empty secrets
+    hold and are nothing. The list may have any length: texts meet it by an equi-join on grams of 8 characters (4 or 1
+    for short needles) of which only a 64-bit hash of the text is kept, so neither the list nor a text passes through the driver or
+    is copied to each gram. Texts that share a gram with a needle are then searched for it, so the hash decides nothing.
     """
-    known = secrets.select("secret_id", "secret").where("length(secret) > 0").limit(max_secrets + 1).toArrow().to_pylist()
-    if len(known) > max_secrets:
-        raise ValueError("the list of secrets is too long to be given to every task")
-    key = secrets.schema["secret_id"]
-    kind = to_arrow_type(key.dataType)
-    names = [*corpus.columns, "secret_id", "spelling"]
-    at = corpus.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick  # only this scan needs it
-
-        plain, normal = ahocorasick.Automaton(), ahocorasick.Automaton()
-        for r in known:
-            raw = r["secret"].encode()
-            for spelling, needle in (("raw", r["secret"]), ("percent", quote_plus(r["secret"], safe="*-._").replace("~", "%7E")), ("hex", raw.hex()), ("base64", base64.b64encode(raw).decode())):
-                plain.add_word(needle, {*plain.get(needle, ()), (r["secret_id"], spelling)})
-            folded = unicodedata.normalize("NFKC", r["secret"])
-            normal.add_word(folded, {*normal.get(folded, ()), (r["secret_id"], "nfkc")})
-        plain.make_automaton(), normal.make_automaton()
-        for batch in batches:
-            rows, found = [], []
-            for k, text in enumerate(batch.column(at).to_pylist() if len(plain) else []):
-                hits = {h for _, held in plain.iter(text or "") for h in held}
-                if text and not (text.isascii() and ascii_only):
-                    shown = {i for i, spelling in hits if spelling == "raw"}
-                    hits |= {h for _, held in normal.iter(unicodedata.normalize("NFKC", text)) for h in held if h[0] not in shown}
-                rows += [k] * len(hits)
-                found += sorted(hits)
-            own = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([i for i, _ in found], kind), pa.array([s for _, s in found], pa.string())], names=names)
-
-    # an ASCII text is its own normal form, but a secret may not be
-    ascii_only = all(r["secret"] == unicodedata.normalize("NFKC", r["secret"]) for r in known)
-    return corpus.mapInArrow(run, T.StructType([*corpus.schema.fields, T.StructField("secret_id", key.dataType), T.StructField("spelling", T.StringType())]))
+    text = F.col(f"`{text_col}`")
+    rows = corpus.select(F.struct("*").alias("row"), text.alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    needles = _needles(secrets)
+    sizes = [r.n_gram for r in needles.select("n_gram").distinct().collect()]  # 8, 4 and 1 at most
+    if not sizes:
+        return corpus.sparkSession.createDataFrame([], T.StructType([*corpus.schema.fields, secrets.schema["secret_id"], T.StructField("spelling", T.StringType())]))
+
+    # an ASCII text is searched for both kinds of needle at once
+    own = rows.select("text_hash", "text", _is_ascii(F.col("text")).alias("ascii"))
+    folded = own.where("not ascii").select("text_hash", _folded("text").alias("text"), F.array(F.lit(True)).alias("kinds"))
+    plain = own.select("text_hash", "text", F.when(F.col("ascii"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))).alias("kinds"))
+    pieces = plain.unionByName(folded).select("text_hash", "kinds", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{PIECE + 7}}})).{{1,{PIECE}}}"), 1)).alias("piece"))
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in sorted(sizes))))
+    met = pieces.select("text_hash", "kinds", F.explode(grams).alias("gram")).join(needles.withColumn("kind", F.col("spelling") == "nfkc"), "gram").where(F.array_contains("kinds", F.col("kind")))
+    cands = met.groupBy("text_hash").agg(F.collect_set(F.struct("secret_id", "spelling", "needle")).alias("cands"))
+
+    asked = rows.join(cands, "text_hash").drop("text_hash")
+    fold = F.exists("cands", lambda c: c.spelling == "nfkc") & ~_is_ascii(F.col("text"))
+    asked = asked.where(~fold).withColumn("fold", F.col("text")).unionByName(asked.where(fold).withColumn("fold", _folded("text")))
+    held = F.filter("cands", lambda c: F.when(c.spelling == "nfkc", F.contains("fold", c.needle)).otherwise(F.contains("text", c.needle)))
+    shown = F.transform(F.filter("held", lambda c: c.spelling == "raw"), lambda c: c.secret_id)
+    hits = asked.withColumn("held", held).withColumn("shown", shown)
+    hits = hits.withColumn("hits", F.array_distinct(F.transform(F.filter("held", lambda c: (c.spelling != "nfkc") | ~F.array_contains("shown", c.secret_id)), lambda c: F.struct(c.secret_id.alias("secret_id"), c.spelling.alias("spelling")))))
+    return hits.select("row", F.explode("hits").alias("hit")).select("row.*", "hit.secret_id", "hit.spelling")

@@ -182,8 +182,31 @@ def test_secrets_in_normal_form(spark):
     out = fx.scan_secrets(df, "text", spark.createDataFrame([(7, "pass word~1"), (8, ""), (9, "word~１")], "secret_id int, secret string"))
     assert {(r.id, r.secret_id, r.spelling) for r in out.collect()} == {(0, 7, "nfkc"), (0, 9, "nfkc"), (1, 9, "nfkc"), (2, 7, "percent"), (3, 7, "raw"), (3, 9, "nfkc")}
     assert fx.scan_secrets(df, "text", spark.createDataFrame([], "secret_id int, secret string")).count() == 0
-    with pytest.raises(ValueError):
-        fx.scan_secrets(df, "text", spark.createDataFrame([(1, "a"), (2, "b")], "secret_id int, secret string"), max_secrets=1)
+
+
+def test_secrets_of_a_long_list_in_long_texts(spark):
+    import base64
+    import random
+    import unicodedata
+    from urllib.parse import quote_plus
+
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abAB01 ~/é１\U0001f511") for _ in range(n))
+    known = [(k, word(draw.choice([1, 2, 3, 4, 5, 7, 8, 9, 20, 60]))) for k in range(300)] + [(0, "ab~0"), (0, "AB 1")]
+    known += [(k, "q" * 40 + str(k)) for k in range(300, 600)]
+    parts = [x for s in draw.sample([s for _, s in known], 12) for x in (s, quote_plus(s, safe="*-._").replace("~", "%7E"), s.encode().hex(), base64.b64encode(s.encode()).decode())]
+    texts = ["z" * 4090 + p + "y" * 4090 + "q" * 40 + "417" for p in parts] + [word(60) for _ in range(40)] + [None, "", "ab~0", "ab~0"]
+    df = spark.createDataFrame([(k, t, {"a": 1}) for k, t in enumerate(texts)], "`a.id` int, `a.text` string, m map<string,int>")
+    out = fx.scan_secrets(df, "a.text", spark.createDataFrame(known, "secret_id int, secret string"))
+    expected = []
+    for k, t in enumerate(texts):
+        own = set()
+        for i, s in known if t else []:
+            forms = {"raw": s, "percent": quote_plus(s, safe="*-._").replace("~", "%7E"), "hex": s.encode().hex(), "base64": base64.b64encode(s.encode()).decode()}
+            own |= {(k, i, n) for n, f in forms.items() if f in t}
+        own |= {(k, i, "nfkc") for i, s in known if t and unicodedata.normalize("NFKC", s) in unicodedata.normalize("NFKC", t) and (k, i, "raw") not in own}
+        expected += sorted(own)
+    assert sorted((r[0], r.secret_id, r.spelling) for r in out.collect()) == sorted(expected) and len(expected) > 100
 
 
 def test_requests_refused_for_open_ones_count_for_the_rate(spark):
