@@ -523,6 +523,55 @@ def _(t):
     return ev.repair_status(own.join(costs, F.substring_index("candidate", ":", 1) == F.col("action")).drop("action"))
 
 
+_COSTS = _cte("cost", repair.COSTS, "action, goal_cost, info_cost, change_cost")
+_STAGE = """CASE WHEN {d}.ne THEN 'REPARSE' WHEN {d}.nd OR {d}.nc OR {d}.un THEN 'REGROUND' WHEN {d}.need AND NOT {d}.sg THEN 'REBUILD_EVIDENCE' WHEN {e}.decision <> 'ALLOW' THEN 'LOCAL_POLICY' WHEN bef.lost THEN 'REBUILD_DISCLOSURE_STATE'
+WHEN ({d}.hd OR {d}.hp OR bef.si) AND ({d}.hs OR bef.ss) THEN 'PROSPECTIVE_SEARCH' END"""
+# every candidate's columns are copied and decided anew, and every earlier release is read
+_PAIRS = _WITH + _ACTS + ", " + _decision_sql("sq", "sr", name="b") + ", " + _COSTS + """, rel AS (SELECT bh.principal, bh.ts, query_id, hd OR hp AS i, hs AS s FROM bh JOIN bd USING (query_id) WHERE decision = 'ALLOW'),
+bef AS (SELECT q.query_id, coalesce(bool_or(r.i), false) AS si, coalesce(bool_or(r.s), false) AS ss, bool_or(c_acctbal < 0) AS lost FROM sq q JOIN customer ON c_custkey = q.principal LEFT JOIN rel r ON r.principal = q.principal AND (r.ts < q.ts OR r.ts = q.ts AND r.query_id < q.query_id) GROUP BY 1),
+opn AS (SELECT query_id FROM bh JOIN bd USING (query_id) JOIN bef USING (query_id) WHERE """ + _STAGE.format(d="bh", e="bd") + """ IS NOT NULL),
+one AS (SELECT query_id, action || coalesce(':' || dataset || '.' || field, '') AS name, action, dataset || '.' || field AS key, fault, goal_cost, info_cost, change_cost FROM fit JOIN cost USING (action) SEMI JOIN opn USING (query_id)),
+cand AS (SELECT query_id, name AS candidate, action AS a1, NULL AS a2, key AS k1, NULL AS k2, goal_cost, info_cost, change_cost, fault IS NOT NULL AS unfit FROM one
+UNION ALL SELECT a.query_id, a.name || '+' || b.name, a.action, b.action, a.key, b.key, a.goal_cost + b.goal_cost, a.info_cost + b.info_cost, a.change_cost + b.change_cost,
+a.fault IS NOT NULL OR b.fault IS NOT NULL OR coalesce(a.key = b.key, false) OR (a.action = 'DROP_OUTPUT' AND b.action = 'DROP_OUTPUT' AND (SELECT count(*) FROM outs WHERE outs.query_id = a.query_id) <= 2) FROM one a JOIN one b ON a.query_id = b.query_id AND a.name < b.name),
+gen AS (SELECT *, query_id || '#' || candidate AS id, 'RAISE_THRESHOLD' IN (a1, coalesce(a2, '')) AS raised FROM cand WHERE NOT unfit),
+rq AS (SELECT q.* REPLACE (id AS query_id, CASE WHEN raised AND NOT coalesce(threshold_subject = subject AND threshold > 20, false) THEN 20 ELSE threshold END AS threshold, CASE WHEN raised THEN subject ELSE threshold_subject END AS threshold_subject) FROM gen JOIN sq q ON q.query_id = gen.query_id),
+rr AS (SELECT id AS query_id, r.dataset, r.field, r.kind FROM gen JOIN sr r ON r.query_id = gen.query_id WHERE NOT coalesce(r.dataset || '.' || r.field = k1, false) AND NOT coalesce(r.dataset || '.' || r.field = k2, false)
+UNION ALL SELECT id, split_part(k1, '.', 1), split_part(k1, '.', 2), 'AGGREGATE_VALUE' FROM gen WHERE a1 = 'COUNT_OUTPUT' UNION ALL SELECT id, split_part(k2, '.', 1), split_part(k2, '.', 2), 'AGGREGATE_VALUE' FROM gen WHERE a2 = 'COUNT_OUTPUT'),
+""" + _decision_sql("rq", "rr") + """, val AS (SELECT cand.query_id, candidate, goal_cost, info_cost, change_cost, sha256(candidate) AS candidate_sha256, CASE WHEN unfit THEN 'GENERATE' ELSE """ + _STAGE.format(d="xh", e="xd") + """ END AS failure_stage
+FROM cand JOIN bef ON bef.query_id = cand.query_id LEFT JOIN xh ON xh.query_id = cand.query_id || '#' || candidate LEFT JOIN xd ON xd.query_id = xh.query_id),
+v AS (SELECT *, failure_stage IS NULL AS eligible, coalesce(failure_stage = 'REBUILD_DISCLOSURE_STATE', false) AS failed FROM val)"""
+
+
+def _validated(t: Tables) -> DataFrame:
+    q, r, c, lin, acts = _acts(t)
+    bits = repair.column_bits(r, c, lin)
+    lost = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("principal"))
+    before = repair.exposures_before(q, bits, policy.decide(q, r, c, lin), lost)
+    costs = _values(t, repair.COSTS, "action string, goal_cost int, info_cost int, change_cost int")
+    return repair.validate_candidates(q, bits, repair.applicable(acts, q, r), before, costs)
+
+
+@query("i5_evaluate_pairs", _PAIRS + " SELECT * FROM v")
+def _(t):
+    return _validated(t)
+
+
+@query("i7_choose_candidate", _PAIRS + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT eligible, goal_cost, info_cost, change_cost, candidate_sha256) AS n, bool_or(failed) OVER w AS closed, count(*) OVER w AS n_candidates, (sum(eligible::INT) OVER w)::BIGINT AS n_eligible FROM v WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, CASE WHEN eligible AND NOT closed THEN candidate END AS repair, n_candidates, n_eligible, CASE WHEN closed THEN 'FAIL_CLOSED' WHEN eligible THEN 'REPAIR_FOUND' ELSE 'NO_ELIGIBLE_REPAIR' END AS status FROM o WHERE n = 1""")
+def _(t):
+    return repair.choose_candidate(_validated(t))
+
+
+_NUMBERED = "list_position([" + ", ".join(f"'{s}'" for s in repair.STAGES) + "], failure_stage)"
+
+
+@query("i8_stage_funnel", _PAIRS + f", n AS (SELECT coalesce({_NUMBERED}, 8)::INT AS stage, count(*) AS n FROM v GROUP BY 1) SELECT stage, n, (sum(n) OVER (ORDER BY stage DESC))::BIGINT AS n_reached FROM n")
+def _(t):
+    at = F.array_position(F.array(*map(F.lit, repair.STAGES)), F.col("failure_stage"))
+    return ev.repair_funnel(_validated(t).select(F.coalesce(at, F.lit(8)).cast("int").alias("stage")))
+
+
 @query("i2_candidate_cost", _WITH + _ACTS + ", " + _cte("cost", repair.COSTS, "action, goal_cost, info_cost, change_cost") + " SELECT query_id, 'all' AS candidate, sum(goal_cost)::BIGINT AS goal_cost, sum(info_cost)::BIGINT AS info_cost, sum(change_cost)::BIGINT AS change_cost FROM fit JOIN cost USING (action) WHERE fault IS NULL AND query_id IN (SELECT query_id FROM sq) GROUP BY query_id")
 def _(t):
     q, r, _, _, acts = _acts(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .policy import EXPOSED, IDENTIFIERS, K, decide, edit_refs, resolve_context
+from .policy import EXPOSED, IDENTIFIERS, K, decide, edit_refs, effective, resolve_context
 
 # Cost of each kind of action (goal, information, change).
 COSTS = [("DROP_OUTPUT", 3, 2, 1), ("COUNT_OUTPUT", 2, 1, 2), ("RAISE_THRESHOLD", 0, 1, 1)]
@@ -54,3 +54,93 @@ def evaluate_repairs(queries: DataFrame, refs: DataFrame, catalog: DataFrame, li
     q, r = apply_repairs(queries, refs, fit, k)
     done = decide(q, r, catalog, lineage, k)
     return done.select(F.substring_index("query_id", "#", 1).alias("query_id"), "variant", "decision", (F.col("decision") == "ALLOW").alias("eligible"))
+
+
+# What a candidate must pass, in this order.
+STAGES = ["GENERATE", "REPARSE", "REGROUND", "REBUILD_EVIDENCE", "LOCAL_POLICY", "REBUILD_DISCLOSURE_STATE", "PROSPECTIVE_SEARCH"]
+NO_DATASET, NO_COLUMN, UNCLASSIFIED, SENSITIVE_ANYWHERE, GOVERNED, NESTED, CONDITIONAL, DIRECT, PSEUDONYM, SENSITIVE = (1 << n for n in range(10))
+COUNTED = NO_DATASET | NO_COLUMN | UNCLASSIFIED | SENSITIVE_ANYWHERE | GOVERNED  # what a column still means once it is only counted
+
+
+def column_bits(refs: DataFrame, catalog: DataFrame, lineage: DataFrame) -> DataFrame:
+    """query_id, cols (array of key and bits: what a column of the query means for its decision), n_outputs. One shuffle by query_id."""
+    rows = effective(resolve_context(refs, catalog), lineage, catalog).withColumn("key", F.concat_ws(".", "dataset", "field"))
+    shown, eff = F.col("kind").isin(EXPOSED), F.col("eff_category")
+    tests = {
+        NO_DATASET: F.col("context_reason") == "UNRESOLVED_DATASET", NO_COLUMN: F.col("context_reason") == "UNRESOLVED_COLUMN", UNCLASSIFIED: F.col("context_reason").isNotNull() | (eff == "UNCLASSIFIED"),
+        SENSITIVE_ANYWHERE: eff == "SENSITIVE_ATTRIBUTE", GOVERNED: F.col("category").isin(IDENTIFIERS), NESTED: F.col("kind") == "NESTED_SCOPE", CONDITIONAL: (F.col("kind") == "CONDITIONAL_AGGREGATE") & (eff != "PUBLIC_OR_LOW_RISK"),
+        DIRECT: shown & (eff == "DIRECT_IDENTIFIER"), PSEUDONYM: shown & (eff == "STABLE_PSEUDONYM"), SENSITIVE: shown & (eff == "SENSITIVE_ATTRIBUTE"),
+    }
+    bits = sum((F.when(test, bit).otherwise(0) for bit, test in tests.items()), F.lit(0))
+    return rows.groupBy("query_id").agg(F.collect_set(F.struct("key", bits.alias("bits"))).alias("cols"), F.size(F.collect_set(F.when(F.col("kind").isNotNull(), F.col("key")))).alias("n_outputs"))
+
+
+def _has(mask: Column, bits: int) -> Column:
+    return mask.bitwiseAND(F.lit(bits)) > 0
+
+
+def _failed_stage(mask: Column, governed: Column, threshold: Column, subject: Column, k: int) -> Column:
+    """The first stage that a query of these column bits fails after GENERATE, or null. A query passes LOCAL_POLICY if and only if `decide` allows it."""
+    need = F.col("is_grouped") & _has(mask, SENSITIVE_ANYWHERE)
+    linked = _has(mask, SENSITIVE) & (_has(mask, DIRECT) | (~F.col("is_grouped") & _has(mask, PSEUDONYM)))
+    small = ~F.coalesce((subject == F.col("subject")) & (threshold >= k), F.lit(False))
+    identifier, sensitive = _has(mask, DIRECT | PSEUDONYM) | F.col("saw_identifier"), _has(mask, SENSITIVE) | F.col("saw_sensitive")
+    checks = [_has(mask, NESTED), _has(mask, NO_DATASET | NO_COLUMN | UNCLASSIFIED), need & ~governed, _has(mask, CONDITIONAL) | linked | F.col("upstream").isNotNull() | (need & small), F.col("lost"), identifier & sensitive]
+    return F.coalesce(*(F.when(c, F.lit(s)) for s, c in zip(STAGES[1:], checks, strict=True)))
+
+
+def exposures_before(queries: DataFrame, bits: DataFrame, decided: DataFrame, lost: DataFrame) -> DataFrame:
+    """query_id, saw_identifier, saw_sensitive, lost: what the releases that a query's principal got before it (by ts, then query_id) have shown, and
+    whether the principal's history is lost. decided: query_id, decision; ALLOW releases. Only the first release of each kind by principal is kept, so no task orders a principal's log."""
+    mask = F.aggregate("cols", F.lit(0), lambda a, c: a.bitwiseOR(c.bits))
+    place = F.struct("ts", "query_id")
+    released = queries.select("query_id", "principal", "ts").join(decided.where("decision = 'ALLOW'").select("query_id"), "query_id").join(bits.select("query_id", mask.alias("mask")), "query_id")
+    first = released.groupBy("principal").agg(F.min(F.when(_has(F.col("mask"), DIRECT | PSEUDONYM), place)).alias("i"), F.min(F.when(_has(F.col("mask"), SENSITIVE), place)).alias("s"))
+    gone = lost.select("principal").distinct().withColumn("lost", F.lit(True))
+    both = queries.select("query_id", "principal", "ts").join(first, "principal", "left").join(gone, "principal", "left")
+    return both.select("query_id", *(F.coalesce(F.col(c) < place, F.lit(False)).alias(n) for c, n in (("i", "saw_identifier"), ("s", "saw_sensitive"))), F.coalesce("lost", F.lit(False)).alias("lost"))
+
+
+def validate_candidates(queries: DataFrame, bits: DataFrame, cands: DataFrame, before: DataFrame, costs: DataFrame, k: int = K, max_actions: int = 32) -> DataFrame:
+    """Every single and pair of actions of each query that isn't safe as it is: query_id, candidate, three costs, candidate_sha256, failure_stage (null if it is eligible), eligible, failed.
+
+    queries: with principal and ts. bits: of `column_bits`. cands: query_id, action, dataset, field, fault (of `applicable`). before: of
+    `exposures_before`. A candidate is judged by difference: the bits of the columns that it leaves, in the query's own row; no
+    column rows are copied. After the policy, its release joins the principal's history: an identifier and a sensitive
+    attribute shown in one or in two releases are forbidden; a lost history fails closed. Two actions on one column exclude each other, and two drops may
+    not take all outputs. A query of more than `max_actions` actions gets one row without a candidate that fails closed, one without any action a row that doesn't.
+    """
+    name = repair_name()
+    priced = cands.join(costs, "action").withColumn("name", name).withColumn("key", F.concat(F.col("dataset"), F.lit("."), F.col("field")))
+    acts = priced.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("name", "action", "key", "fault", "goal_cost", "info_cost", "change_cost"))).alias("acts"))
+    rows = queries.select("query_id", "is_grouped", "threshold", "threshold_subject", "subject", "upstream").join(bits, "query_id", "left").join(before, "query_id").join(acts, "query_id", "left")
+    rows = rows.withColumn("cols", F.coalesce("cols", F.array().cast(bits.schema["cols"].dataType))).fillna(0, ["n_outputs"]).fillna(False, ["is_grouped"])
+    governs = lambda c: (c.key == F.col("subject")) & _has(c.bits, GOVERNED)
+    now = _failed_stage(F.aggregate("cols", F.lit(0), lambda a, c: a.bitwiseOR(c.bits)), F.coalesce(F.exists("cols", governs), F.lit(False)), F.col("threshold"), F.col("threshold_subject"), k)
+    over = F.coalesce(F.size("acts") > max_actions, F.lit(False))
+    pairs = F.flatten(F.transform("acts", lambda x, i: F.transform(F.slice("acts", i + 2, F.size("acts")), lambda y: F.array(x, y))))
+    each = rows.withColumn("now", now).where("now is not null").withColumn("over", over).withColumn("cand", F.explode_outer(F.when(~over, F.concat(F.transform("acts", lambda x: F.array(x)), pairs)))).drop("acts")
+
+    does = lambda action, key: F.exists("cand", lambda a: (a.action == action) & (a.key == key))
+    left = F.transform("cols", lambda c: F.struct(c.key.alias("key"), F.when(does("DROP_OUTPUT", c.key), 0).when(does("COUNT_OUTPUT", c.key), c.bits.bitwiseAND(F.lit(COUNTED))).otherwise(c.bits).alias("bits")))
+    each = each.withColumn("left", left).withColumn("mask", F.aggregate("left", F.lit(0), lambda a, c: a.bitwiseOR(c.bits)))
+    raised = F.exists("cand", lambda a: a.action == "RAISE_THRESHOLD")
+    own = F.coalesce((F.col("threshold_subject") == F.col("subject")) & (F.col("threshold") > k), F.lit(False))
+    threshold, subject = F.when(raised & ~own, F.lit(k)).otherwise(F.col("threshold")), F.when(raised, F.col("subject")).otherwise(F.col("threshold_subject"))
+    same = F.coalesce((F.size("cand") == 2) & (F.col("cand")[0].key == F.try_element_at("cand", F.lit(2)).key), F.lit(False))
+    drops = F.size(F.filter("cand", lambda a: a.action == "DROP_OUTPUT"))
+    unfit = F.exists("cand", lambda a: a.fault.isNotNull()) | same | ((drops > 0) & (drops >= F.col("n_outputs")))
+    stage = F.when(F.col("over") | unfit, STAGES[0]).otherwise(_failed_stage(F.col("mask"), F.coalesce(F.exists("left", governs), F.lit(False)), threshold, subject, k))
+    out = each.withColumn("failure_stage", stage).withColumn("candidate", F.array_join(F.transform("cand", lambda a: a["name"]), "+"))
+    total = lambda c: F.aggregate("cand", F.lit(0), lambda n, a: n + a[c].cast("int")).alias(c)
+    real = F.col("candidate").isNotNull()
+    failed = F.col("over") | F.coalesce(F.col("failure_stage") == STAGES[5], F.lit(False)) & real
+    return out.select("query_id", "candidate", *map(total, ("goal_cost", "info_cost", "change_cost")), F.sha2("candidate", 256).alias("candidate_sha256"), "failure_stage", (real & F.col("failure_stage").isNull()).alias("eligible"), failed.alias("failed"))
+
+
+def choose_candidate(validated: DataFrame) -> DataFrame:
+    """query_id, repair, n_candidates, n_eligible, status: FAIL_CLOSED if any candidate's check failed, else the cheapest eligible candidate (the smaller digest on ties) or NO_ELIGIBLE_REPAIR."""
+    best = F.min(F.when(F.col("eligible"), F.struct("goal_cost", "info_cost", "change_cost", "candidate_sha256", "candidate")))
+    per = validated.groupBy("query_id").agg(best.alias("b"), F.count("candidate").alias("n_candidates"), F.count_if("eligible").alias("n_eligible"), F.bool_or("failed").alias("failed"))
+    status = F.when(F.col("failed"), "FAIL_CLOSED").when(F.col("b").isNotNull(), "REPAIR_FOUND").otherwise("NO_ELIGIBLE_REPAIR")
+    return per.select("query_id", F.when(~F.col("failed"), F.col("b.candidate")).alias("repair"), "n_candidates", "n_eligible", status.alias("status"))

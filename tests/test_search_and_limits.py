@@ -146,3 +146,29 @@ def test_capability_stream_tells_of_unused_ones(spark, tmp_path):
     out, _ = drained(spark, lambda x: limits.capability_stream(x, 5, "1 second"), schema, folder, str(tmp_path / "run"))
     got = sorted(((r.capability, r.record_id, r.status) for r in out.where("capability >= 0").collect()), key=repr)
     assert got == sorted([(1, 4, "OK"), (1, 6, "REPLAY"), (2, None, "EXPIRED_UNUSED"), (3, None, "EXPIRED_UNUSED"), (3, 7, "EXPIRED"), (3, 8, "REPLAY"), (9, 5, "UNKNOWN")], key=repr)
+
+
+def test_repairs_by_pairs_fail_closed_and_bounded(spark):
+    from cordon.operators import policy, repair
+
+    catalog = spark.createDataFrame([("p", "id", "STABLE_PSEUDONYM"), ("p", "mail", "DIRECT_IDENTIFIER"), ("p", "ill", "SENSITIVE_ATTRIBUTE"), ("p", "age", "QUASI_IDENTIFIER")], "dataset string, field string, category string")
+    lineage = spark.createDataFrame([], "dataset string, field string, src_dataset string, src_field string")
+    # 1: both identifiers and a sensitive column, so that no single drop but that of `ill` helps; 2: the same of a lost history; 3: safe; 4: safe alone, but 3 was released before to the same principal; 5: no columns
+    queries = spark.createDataFrame([(q, p, q, False, None, None, "p.id", None) for q, p in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 1))], "query_id long, principal long, ts long, is_grouped boolean, threshold int, threshold_subject string, subject string, upstream string")
+    shown = [(1, "id"), (1, "mail"), (1, "ill"), (2, "id"), (2, "mail"), (2, "ill"), (3, "ill"), (3, "age"), (4, "mail"), (4, "age")]
+    refs = spark.createDataFrame([(q, "p", f, "RAW_VALUE") for q, f in shown], "query_id long, dataset string, field string, kind string")
+    bits = repair.column_bits(refs, catalog, lineage)
+    before = repair.exposures_before(queries, bits, policy.decide(queries, refs, catalog, lineage), spark.createDataFrame([(2,)], "principal long"))
+    costs = spark.createDataFrame(repair.COSTS, "action string, goal_cost int, info_cost int, change_cost int")
+    acts = repair.applicable(repair.actions(queries, refs, catalog), queries, refs)
+    done = repair.validate_candidates(queries, bits, acts, before, costs)
+    chosen = {r.query_id: (r.status, r.repair, r.n_candidates) for r in repair.choose_candidate(done).collect()}
+    # five actions (three drops, one count, one threshold that is not for ungrouped queries) give 15 candidates; counting `ill` is cheaper than dropping it
+    assert chosen == {1: ("REPAIR_FOUND", "COUNT_OUTPUT:p.ill", 15), 2: ("FAIL_CLOSED", None, 15), 4: ("REPAIR_FOUND", "DROP_OUTPUT:p.mail", 3)}
+    stages = {(r.query_id, r.candidate): r.failure_stage for r in done.collect()}
+    assert stages[1, "DROP_OUTPUT:p.id"] == stages[1, "DROP_OUTPUT:p.mail"] == "LOCAL_POLICY" and stages[1, "DROP_OUTPUT:p.id+DROP_OUTPUT:p.mail"] is None
+    assert stages[1, "COUNT_OUTPUT:p.ill+DROP_OUTPUT:p.ill"] == stages[4, "RAISE_THRESHOLD"] == "GENERATE"
+    few = {r.query_id: (r.status, r.n_candidates) for r in repair.choose_candidate(repair.validate_candidates(queries, bits, acts, before, costs, max_actions=4)).collect()}
+    assert few == {1: ("FAIL_CLOSED", 0), 2: ("FAIL_CLOSED", 0), 4: ("REPAIR_FOUND", 3)}
+    none = {r.query_id: (r.status, r.n_candidates) for r in repair.choose_candidate(repair.validate_candidates(queries, bits, acts.where("false"), before, costs)).collect()}
+    assert none == {1: ("NO_ELIGIBLE_REPAIR", 0), 2: ("NO_ELIGIBLE_REPAIR", 0), 4: ("NO_ELIGIBLE_REPAIR", 0)}
