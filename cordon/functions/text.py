@@ -68,15 +68,16 @@ def _with_fold(rows: DataFrame, source: str, name: str) -> DataFrame:
 
 
 def _needles(secrets: DataFrame) -> DataFrame:
-    """Spellings of each secret: secret_id, spelling, secret, needle, and the needle's first 8, 4 or 1 characters (gram, of n_gram)."""
+    """Spellings of each secret: secret_id, spelling, needle, and the needle's first 8, 4 or 1 characters (gram, of n_gram)."""
     raw = F.col("secret").cast("binary")
     forms = {"raw": F.col("secret"), "percent": F.url_encode("secret"), "hex": F.lower(F.hex(raw)), "base64": F.translate(F.base64(raw), "\r\n", ""), "nfkc": F.col("fold")}
     known = _with_fold(secrets.select("secret_id", "secret").where("length(secret) > 0"), "secret", "fold")
-    each = known.select("secret_id", "secret", F.inline(F.array(*(F.struct(F.lit(k).alias("spelling"), v.alias("needle")) for k, v in forms.items()))))
+    each = known.select("secret_id", F.inline(F.array(*(F.struct(F.lit(k).alias("spelling"), v.alias("needle")) for k, v in forms.items()))))
     n = F.when(F.length("needle") >= 8, 8).when(F.length("needle") >= 4, 4).otherwise(1)
     return each.where("length(needle) > 0").distinct().withColumn("n_gram", n).withColumn("gram", F.expr("left(needle, n_gram)"))
 
 
+SMALL_LIST = 16 << 20  # bytes of needles up to which tasks get all of them; a longer list is shuffled by gram
 PIECE = 4096  # characters of a text that are cut into grams at a time, which bounds a row's memory
 
 
@@ -91,7 +92,8 @@ def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame) -> DataFr
     text = F.col(f"`{text_col}`")
     rows = corpus.select(F.struct("*").alias("row"), text.alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     needles = _needles(secrets)
-    sizes = [r.n_gram for r in needles.select("n_gram").distinct().collect()]  # 8, 4 and 1 at most
+    lists = needles.groupBy("n_gram").agg(F.sum(F.octet_length("needle") + 64).alias("bytes")).collect()  # of 8, 4 and 1 at most
+    sizes, small = sorted(r.n_gram for r in lists), sum(r.bytes for r in lists) <= SMALL_LIST
     if not sizes:
         return corpus.sparkSession.createDataFrame([], T.StructType([*corpus.schema.fields, secrets.schema["secret_id"], T.StructField("spelling", T.StringType())]))
 
@@ -100,8 +102,9 @@ def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame) -> DataFr
     folded = own.where("not ascii").select("text_hash", _folded("text").alias("text"), F.array(F.lit(True)).alias("kinds"))
     plain = own.select("text_hash", "text", F.when(F.col("ascii"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))).alias("kinds"))
     pieces = plain.unionByName(folded).select("text_hash", "kinds", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{PIECE + 7}}})).{{1,{PIECE}}}"), 1)).alias("piece"))
-    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in sorted(sizes))))
-    met = pieces.select("text_hash", "kinds", F.explode(grams).alias("gram")).join(needles.withColumn("kind", F.col("spelling") == "nfkc"), "gram").where(F.array_contains("kinds", F.col("kind")))
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in sizes)))
+    listed = needles.select("gram", "secret_id", "spelling", "needle", (F.col("spelling") == "nfkc").alias("kind"))
+    met = pieces.select("text_hash", "kinds", F.explode(grams).alias("gram")).join(F.broadcast(listed) if small else listed, "gram").where(F.array_contains("kinds", F.col("kind")))
     cands = met.groupBy("text_hash").agg(F.collect_set(F.struct("secret_id", "spelling", "needle")).alias("cands"))
 
     asked = rows.join(cands, "text_hash").drop("text_hash")

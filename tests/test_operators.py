@@ -184,12 +184,14 @@ def test_secrets_in_normal_form(spark):
     assert fx.scan_secrets(df, "text", spark.createDataFrame([], "secret_id int, secret string")).count() == 0
 
 
-def test_secrets_of_a_long_list_in_long_texts(spark):
+@pytest.mark.parametrize("small_list", [fx.SMALL_LIST, 0])
+def test_secrets_of_a_long_list_in_long_texts(spark, monkeypatch, small_list):
     import base64
     import random
     import unicodedata
     from urllib.parse import quote_plus
 
+    monkeypatch.setattr(fx, "SMALL_LIST", small_list)  # 0: the list is shuffled
     draw = random.Random(5)
     word = lambda n: "".join(draw.choice("abAB01 ~/é１\U0001f511") for _ in range(n))
     known = [(k, word(draw.choice([1, 2, 3, 4, 5, 7, 8, 9, 20, 60]))) for k in range(300)] + [(0, "ab~0"), (0, "AB 1")]
