@@ -625,6 +625,11 @@ def _(t):
     return ev.choose_repair(_candidates(t).withColumn("eligible", F.col("goal_cost") + F.col("info_cost") >= 1))
 
 
+@query("j1_build_receipts", _DECIDE + " SELECT 'r-' || query_id AS receipt_id, principal, decision, reasons, trusted_threshold, sha256(concat_ws('|', 'r-' || query_id, principal::VARCHAR, decision, reasons, coalesce(trusted_threshold::VARCHAR, ''))) AS content_sha256 FROM e")
+def _(t):
+    return ev.build_receipts(_decided(t), b"receipts").drop("seal")
+
+
 @query("j2_receipt_digest", _DECIDE + " SELECT 'r-' || query_id AS receipt_id, sha256(concat_ws('|', 'r-' || query_id, principal::VARCHAR, decision, reasons, coalesce(trusted_threshold::VARCHAR, ''))) AS content_sha256 FROM e")
 def _(t):
     return ev.build_receipts(_decided(t), b"receipts").select("receipt_id", "content_sha256")
@@ -924,6 +929,20 @@ def _(t):
     return drain(lambda x: fresh_stream(x.where("event_type = 'click'").select("event_id", F.col("user_id").alias("key"), "ts"), s).select("event_id", "snapshot_id"), t.events, f"{t.sf_dir}/events.parquet*")
 
 
+@query("k7_asof_streams", "WITH d AS (" + ORACLES["d11_asof_snapshot"] + ") SELECT event_id, CASE WHEN freshness = 'FRESH' THEN snapshot_id END AS snapshot_id, freshness = 'FRESH' AS fresh FROM d")
+def _(t):
+    from .streaming.traffic import asof_streams, drain
+
+    def both(x: DataFrame) -> DataFrame:
+        tail = F.col("user_id") < 0  # moves both watermarks
+        e = x.where((F.col("event_type") == "click") | tail).select("event_id", F.col("user_id").alias("key"), "ts")
+        s = x.where((F.col("event_type") == "signup") | tail).select(F.col("user_id").alias("key"), F.col("ts").alias("observed_at"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("expires_at"), F.concat(F.lit("s"), "event_id").alias("snapshot_id"))
+        return asof_streams(e, s, "6 HOURS", "1 minute")
+
+    out = drain(both, t.events, _in_batches(t), files_a_batch=1)
+    return out.where("key >= 0").select("event_id", F.when(F.col("fresh"), F.col("snapshot_id")).alias("snapshot_id"), "fresh")
+
+
 @query("k8_chain_stream", ORACLES["g15_chain"])
 def _(t):
     from .streaming.traffic import chain_stream, drain

@@ -130,6 +130,23 @@ def fresh_stream(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     return events.join(s, (F.col("key") == F.col("own")) & (F.col("observed_at") <= F.col("ts")) & (F.col("ts") < F.col("expires_at"))).drop("own")
 
 
+def asof_streams(events: DataFrame, snapshots: DataFrame, horizon: str, delay: str) -> DataFrame:
+    """event_id, key, ts, snapshot_id, fresh: each event of a stream with the newest snapshot of its key in another stream, whichever comes first.
+
+    events: event_id, key, ts. snapshots: key, observed_at, expires_at, snapshot_id. Only snapshots observed at the event or up to `horizon`
+    (the longest validity) before it count, so both sides leave the state once the slower of the two watermarks has passed; an
+    event is written then, once, and without a snapshot if none has come. Of snapshots observed at one time the largest id counts. Rows
+    later than `delay` behind the watermark, and rows without a time or key, are no part of it (an event without a key is never fresh).
+    """
+    e = events.select("event_id", "key", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    s = snapshots.select(F.col("key").alias("own"), F.col("observed_at").cast("timestamp").alias("observed_at"), F.col("expires_at").cast("timestamp").alias("expires_at"), "snapshot_id").withWatermark("observed_at", delay)
+    near = F.expr(f"key = own AND observed_at <= ts AND observed_at >= ts - INTERVAL {horizon}")
+    newest = F.max(F.when(F.col("own").isNotNull(), F.struct("observed_at", "snapshot_id", "expires_at")))
+    out = e.join(s, near, "left_outer").groupBy("ts", "event_id", "key").agg(newest.alias("n"))
+    fresh = F.coalesce(F.col("ts") < F.col("n.expires_at"), F.lit(False))
+    return out.select("event_id", "key", "ts", F.col("n.snapshot_id").alias("snapshot_id"), fresh.alias("fresh"))
+
+
 def drain(transform: Callable[[DataFrame], DataFrame], like: DataFrame, path: str, files_a_batch: int = 1000) -> DataFrame:
     """Run a stream over the files that are at `path` now, to its end, and return what it wrote."""
     spark = like.sparkSession

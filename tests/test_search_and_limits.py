@@ -4,6 +4,7 @@ import itertools
 import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from cordon.operators import folds, history, search
@@ -172,3 +173,35 @@ def test_repairs_by_pairs_fail_closed_and_bounded(spark):
     assert few == {1: ("FAIL_CLOSED", 0), 2: ("FAIL_CLOSED", 0), 4: ("REPAIR_FOUND", 3)}
     none = {r.query_id: (r.status, r.n_candidates) for r in repair.choose_candidate(repair.validate_candidates(queries, bits, acts.where("false"), before, costs)).collect()}
     assert none == {1: ("NO_ELIGIBLE_REPAIR", 0), 2: ("NO_ELIGIBLE_REPAIR", 0), 4: ("NO_ELIGIBLE_REPAIR", 0)}
+
+
+@pytest.mark.parametrize("order", ["events first", "snapshots first", "mixed"])
+def test_snapshots_and_events_meet_in_any_order(spark, tmp_path, order):
+    from cordon.streaming.traffic import asof_streams, drain
+
+    rng = random.Random(8)
+    events = [("e", k, rng.randrange(6), rng.randrange(3600 * 40)) for k in range(150)]
+    snaps = [("s", k, rng.randrange(6), rng.randrange(3600 * 40)) for k in range(1000, 1040)]
+    # an event at the very time of a snapshot, at its end, and one without a key
+    events += [("e", 900, snaps[0][2], snaps[0][3]), ("e", 901, snaps[0][2], snaps[0][3] + 6 * 3600), ("e", 902, None, 50)]
+    files = {"events first": [events, snaps], "snapshots first": [snaps, events], "mixed": [events[::2] + snaps[1::2], snaps[::2] + events[1::2]]}[order]
+    far = 3600 * 24 * 400
+    files += [[("e", -1, -1, far), ("s", -2, -1, far)], [("e", -3, -1, 2 * far), ("s", -4, -1, 2 * far)]]
+    schema = "kind string, id long, key long, at long"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def both(x):
+        ts = F.timestamp_seconds("at")
+        e = x.where("kind = 'e'").select(F.col("id").alias("event_id"), "key", ts.alias("ts"))
+        s = x.where("kind = 's'").select("key", ts.alias("observed_at"), (ts + F.expr("INTERVAL 6 HOURS")).alias("expires_at"), F.col("id").alias("snapshot_id"))
+        return asof_streams(e, s, "8 HOURS", "48 hours")
+
+    out = drain(both, spark.createDataFrame([], schema), str(tmp_path / "in" / "*.parquet"), files_a_batch=1)
+    got = sorted((r.event_id, r.snapshot_id, r.fresh) for r in out.where("event_id >= 0").collect())
+    expected = []
+    for _, k, key, at in events:
+        held = [(t, i) for _, i, own, t in snaps if own == key and at - 8 * 3600 <= t <= at]
+        newest = max(held, default=(None, None))
+        expected.append((k, newest[1], bool(held) and at < newest[0] + 6 * 3600))
+    assert got == sorted(expected) and any(f for *_, f in got) and any(i and not f for _, i, f in got) and any(i is None for _, i, _ in got)
