@@ -14,6 +14,7 @@ from .operators import evaluation as ev
 from .operators import folds, history, ledger, policy, repair, search
 from .operators import variants as va
 from .queries import _FOLD, _REC, _REL, _keeper, ORACLES, QUERIES, Tables, _records, _releases, query
+from .session import shared_folder
 from .sources import sinks
 from .sources.tables import gen_warehouse, read_catalog, read_typed_csv
 
@@ -658,9 +659,7 @@ def _(t):
 
 # ---- A: sources and sinks, by a round trip over the shared folder
 def _folder(t: Tables) -> str:
-    from .streaming.traffic import _shared
-
-    return _shared(t.spark)
+    return shared_folder(t.spark)
 
 
 @query("a2_csv_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -9,18 +9,27 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+
+from .scan import ROWS_PER_TASK, segments
 
 GENESIS = "0" * 64
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], make: Callable[[], Callable[[dict], dict]], added: str) -> DataFrame:
+def ordered_fold(df: DataFrame, key: str, order: list[str], make: Callable[[], Callable[[dict], dict]], added: str, busy_until: Column | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The rows of df with the columns that a fold adds.
 
     make() gives a fresh fold for each key: a function of a row (dict) that returns the added
     values. Rows are dealt by key and sorted, never gathered: a key of any size needs the memory
-    of the fold's state. One key's rows stay in one task, since each step needs the one before.
+    of the fold's state. One key's rows stay in one task, since each step needs the one before,
+    unless `busy_until` says from which value of order[0] on a row no longer matters: keys of more
+    than `rows_per_task` rows are then split, without loss, where nothing before matters any more.
+    A stretch without such a point stays whole (`scan.segment_report` tells its size).
     """
+    segment = None
+    if busy_until is not None:
+        df, segment = segments(df, key, order, busy_until, rows_per_task)
+    by = [key] if segment is None else [key, segment]
     names = [c.strip().split(" ")[0] for c in added.split(",")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,32 +37,30 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], make: Callable[[], C
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if not started or row[key] != now:
-                    now, fold, started = row[key], make(), True
+                if not started or [row[c] for c in by] != now:
+                    now, fold, started = [row[c] for c in by], make(), True
                 out.append(fold(row))
             if out:
                 columns = [pa.array([o[c] for o in out], kinds[c]) for c in names]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     kinds = {c.strip().split(" ")[0]: {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.strip().split(" ")[1]] for c in added.split(",")}
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    out = df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    return out if segment is None else out.drop(segment)
 
 
-def budget_fold(maximum: int, window_us: int, ts: str = "ts_us", protected: str = "protected", legacy: str | None = None) -> Callable[[], Callable[[dict], dict]]:
-    """Rolling release budget: only allowed protected releases consume it; what is `window_us` old no longer counts."""
+def budget_fold(maximum: int, window_us: int, ts: str = "ts_us", protected: str = "protected", blocked: str | None = None) -> Callable[[], Callable[[dict], dict]]:
+    """Rolling release budget: only allowed protected releases consume it; what is `window_us` old no longer counts. `blocked`: these rows have a legacy record before them."""
 
     def make():
         kept: deque = deque()
-        state = {"legacy": 0}
 
         def step(row: dict) -> dict:
             while kept and kept[0] <= row[ts] - window_us:
                 kept.popleft()
             prior = len(kept)
-            if state["legacy"]:
+            if blocked and row[blocked]:
                 return {"allowed": False, "rule": "LEGACY_HISTORY_BLOCK", "prior_count": prior + 1}
-            if legacy and row[legacy]:
-                state["legacy"] = 1
             if not row[protected]:
                 return {"allowed": True, "rule": "UNPROTECTED_RELEASE", "prior_count": prior}
             if prior >= maximum:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keeper
+
 IDENTIFIERS = ["DIRECT_IDENTIFIER", "STABLE_PSEUDONYM"]
 
 
@@ -36,20 +39,37 @@ def cohort_variation(a: DataFrame) -> DataFrame:
     return a.where("atom_kind = 'COHORT'").groupBy("scope", F.col("b").alias("family")).agg(F.count_distinct("a").alias("n_cohorts")).where("n_cohorts >= 2")
 
 
-def fixed_point(facts: DataFrame, rules: DataFrame, checkpoint=lambda df: df.checkpoint(), max_rounds: int = 20) -> DataFrame:
+def fixed_point(facts: DataFrame, rules: DataFrame, checkpoint: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int | None = None, report: list[dict] | None = None) -> DataFrame:
     """Least fixed point of Horn rules. facts: scope, fact. rules: rule_id, premise, conclusion (a row a premise).
 
-    Each round joins facts to premises and keeps conclusions all of whose premises hold; it ends when a round adds nothing.
+    Each round joins only the facts of the round before with the premises and adds to how many premises of a rule a scope has
+    met. Between rounds go these counts of rules not yet met and the facts that rules can conclude, and those only of
+    scopes that gained a fact: a scope without one is done, and no later round reads it. A repeated fact or premise counts once;
+    null scopes and facts meet no premise. checkpoint writes a table (default: to the shared folder). max_rounds defaults to the number of
+    conclusions and one, which no closure exceeds. report takes a dict of the rows of each round (it counts them).
     """
-    needed = rules.groupBy("rule_id", "conclusion").agg(F.count_distinct("premise").alias("needed"))
-    known = checkpoint(facts.select("scope", "fact").distinct())
-    for _ in range(max_rounds):
-        met = known.join(rules.select("rule_id", F.col("premise").alias("fact")), "fact").groupBy("scope", "rule_id").agg(F.count_distinct("fact").alias("n"))
-        new = met.join(needed, "rule_id").where("n = needed").select("scope", F.col("conclusion").alias("fact")).distinct().join(known, ["scope", "fact"], "left_anti")
-        new = checkpoint(new)
+    keep = checkpoint or keeper(facts.sparkSession)
+    rules = rules.select("rule_id", "premise", "conclusion").distinct()
+    needed = rules.groupBy("rule_id", "conclusion").agg(F.count("*").alias("needed"))
+    premises = rules.join(needed, ["rule_id", "conclusion"]).withColumnRenamed("premise", "fact")
+    heads = rules.select(F.col("conclusion").alias("fact")).distinct()
+    delta = keep(facts.select("scope", "fact").distinct())
+    found, met = [delta], None
+    derived = delta.join(heads, "fact", "left_semi").select("scope", "fact")
+    for n in range(1, (max_rounds or heads.count() + 1) + 1):
+        counts = delta.join(premises, "fact").groupBy("scope", "rule_id", "conclusion", "needed").agg(F.count("*").alias("n"))
+        if met is not None:
+            moved = delta.select("scope").distinct()
+            met, derived = met.join(moved, "scope", "left_semi"), keep(derived.join(moved, "scope", "left_semi"))
+            counts = counts.unionByName(met).groupBy("scope", "rule_id", "conclusion", "needed").agg(F.sum("n").alias("n"))
+        counts = keep(counts)
+        new = keep(counts.where("n = needed").select("scope", F.col("conclusion").alias("fact")).distinct().join(derived, ["scope", "fact"], "left_anti"))
+        if report is not None:
+            report.append({"round": n, "delta": delta.count(), "met": counts.count(), "derived": derived.count(), "new": new.count()})
         if new.isEmpty():
-            return known
-        known = checkpoint(known.unionByName(new))
+            return reduce(DataFrame.unionByName, found)
+        found.append(new)
+        delta, met, derived = new, counts.where("n < needed"), derived.unionByName(new)
     raise RuntimeError("the rules did not reach a fixed point")
 
 
@@ -114,7 +134,7 @@ def verify_paths(steps: DataFrame) -> DataFrame:
     return steps.withColumn("_before", before).where("_before is not null and not (_before <=> pre_state)").select("path", "step")
 
 
-def what_if(states: DataFrame, variants: DataFrame, depth: int = 3, keep=lambda df: df.checkpoint()) -> DataFrame:
+def what_if(states: DataFrame, variants: DataFrame, depth: int = 3, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """First forbidden state that each scope can reach: scope, depth (0: it is there already), path (the smallest).
 
     states: scope, mask (bits of the categories shown). variants: scope, action, bit, that a
@@ -122,6 +142,7 @@ def what_if(states: DataFrame, variants: DataFrame, depth: int = 3, keep=lambda
     (bit 8). Breadth first over all scopes at once; a scope leaves the frontier when it has a
     witness, and a state is entered once, by its smallest path. Scopes without one aren't returned.
     """
+    keep = keep or keeper(states.sparkSession)
     bad = (F.col("mask").bitwiseAND(3) != 0) & (F.col("mask").bitwiseAND(8) != 0)
     now = keep(states.groupBy("scope").agg(F.bit_or("mask").alias("mask")).withColumn("path", F.lit("")))
     seen = now.select("scope", "mask")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import BUDGET_COLUMNS, CHAIN_COLUMNS, GENESIS, budget_fold, chain_fold, ordered_fold
+from .scan import ROWS_PER_TASK, cut, fresh, scan
 
 
 def micros(ts: str) -> Column:
@@ -43,22 +44,37 @@ def active(records: DataFrame, states: DataFrame) -> DataFrame:
     return records.join(states.where("state = 'ABORTED'").select("record_id"), "record_id", "left_anti")
 
 
-def prior_count(records: DataFrame, window_s: int, key: str = "scope", ts: str = "ts") -> DataFrame:
-    """Adds prior_count: earlier protected records of the scope that are less than window_s old."""
-    w = Window.partitionBy(key).orderBy("ts_us").rangeBetween(-window_s * 1_000_000 + 1, -1)
-    return records.withColumn("ts_us", micros(ts)).withColumn("prior_count", F.coalesce(F.count(F.when(F.col("protected"), 1)).over(w), F.lit(0))).drop("ts_us")
+def prior_count(records: DataFrame, window_s: int, key: str = "scope", ts: str = "ts", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Adds prior_count: earlier protected records of the scope that are less than window_s old.
+
+    A protected record adds one to a running sum at its time and takes it back when it is window_s old, so each record reads one
+    number, however many lie in its window.
+    """
+    at, d, reads = (fresh(records, c) for c in ("_at", "_d", "_reads"))
+    own = records.withColumns({at: micros(ts) * 2 + 1, d: F.col("protected").cast("long"), reads: F.lit(True)})
+    back = own.where("protected").select(key, (F.col(at) - 1 + window_s * 2_000_000).alias(at), F.lit(-1).cast("long").alias(d), F.lit(False).alias(reads))
+    both = cut(own.unionByName(back, allowMissingColumns=True), key, at, rows_per_task)
+    return scan(both, [at], {"prior_count": ("sum", F.col(d))}, peers=False).done().where(reads).drop(at, d, reads)
 
 
-def replay_budget(events: DataFrame, maximum: int, window_s: int, key: str = "scope", ts: str = "ts", tie: str = "record_id", legacy: str | None = None) -> DataFrame:
-    """Adds allowed, rule, prior_count: decisions in order, where a denied release consumes nothing."""
-    out = ordered_fold(events.withColumn("ts_us", micros(ts)), key, ["ts_us", tie], budget_fold(maximum, window_s * 1_000_000, legacy=legacy), BUDGET_COLUMNS)
-    return out.drop("ts_us")
+def replay_budget(events: DataFrame, maximum: int, window_s: int, key: str = "scope", ts: str = "ts", tie: str = "record_id", legacy: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Adds allowed, rule, prior_count: decisions in order, where a denied release consumes nothing.
+
+    Scopes of more than rows_per_task records are split where no protected release of the last window_s is left.
+    """
+    rows, blocked = events.withColumn("ts_us", micros(ts)), None
+    if legacy:
+        blocked = fresh(rows, "_blocked")
+        rows = scan(cut(rows, key, "ts_us", rows_per_task), ["ts_us", tie], {blocked: ("max", F.col(legacy))}).done()
+    busy = F.when(F.col("protected"), F.col("ts_us") + window_s * 1_000_000)
+    out = ordered_fold(rows, key, ["ts_us", tie], budget_fold(maximum, window_s * 1_000_000, blocked=blocked), BUDGET_COLUMNS, busy, rows_per_task)
+    return out.drop("ts_us", *([blocked] if blocked else []))
 
 
-def legacy_block(records: DataFrame, key: str = "scope", ts: str = "ts", tie: str = "record_id") -> DataFrame:
+def legacy_block(records: DataFrame, key: str = "scope", ts: str = "ts", tie: str = "record_id", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Adds blocked: an earlier protected record of the scope has no composition."""
-    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("blocked", F.coalesce(F.max(F.col("protected") & F.col("composition").isNull()).over(w), F.lit(False)))
+    b = scan(cut(records, key, ts, rows_per_task), [ts, tie], {"blocked": ("max", F.col("protected") & F.col("composition").isNull())})
+    return b.done().withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
 def chain(records: DataFrame, key: str = "scope", order: list[str] | None = None, payload: str = "payload") -> DataFrame:
@@ -66,19 +82,19 @@ def chain(records: DataFrame, key: str = "scope", order: list[str] | None = None
     return ordered_fold(records, key, order or ["ts", "record_id"], chain_fold(payload), CHAIN_COLUMNS)
 
 
-def verify_chain(records: DataFrame, key: str = "scope", payload: str = "payload") -> DataFrame:
+def verify_chain(records: DataFrame, key: str = "scope", payload: str = "payload", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Records whose sequence, link or digest is wrong, with the first fault."""
-    w = Window.partitionBy(key).orderBy("sequence")
-    r = records.withColumn("_before", F.lag("content_sha256").over(w)).withColumn("_n", F.row_number().over(w))
-    fault = F.when(F.col("sequence") != F.col("_n"), "SEQUENCE").when(F.coalesce("_before", F.lit(GENESIS)) != F.col("previous_sha256"), "LINK").when(F.sha2(F.concat_ws("|", "previous_sha256", payload), 256) != F.col("content_sha256"), "DIGEST")
-    return r.withColumn("fault", fault).where("fault is not null").drop("_before", "_n")
+    b = scan(cut(records, key, "sequence", rows_per_task), ["sequence"], {"_before": ("last", F.struct("content_sha256")), "_n": ("sum", F.lit(1).cast("long"))})
+    fault = F.when(F.col("sequence") != F.col("_n") + 1, "SEQUENCE").when(F.coalesce("_before.content_sha256", F.lit(GENESIS)) != F.col("previous_sha256"), "LINK").when(F.sha2(F.concat_ws("|", "previous_sha256", payload), 256) != F.col("content_sha256"), "DIGEST")
+    return b.done().withColumn("fault", fault).where("fault is not null").drop("_before", "_n")
 
 
-def assign_sequence(new: DataFrame, ledger: DataFrame, key: str = "scope", order: list[str] | None = None) -> DataFrame:
+def assign_sequence(new: DataFrame, ledger: DataFrame, key: str = "scope", order: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Adds sequence: numbers that follow the scope's largest in the ledger."""
     top = ledger.groupBy(key).agg(F.max("sequence").alias("_top"))
-    w = Window.partitionBy(key).orderBy(*(order or ["ts", "record_id"]))
-    return new.join(top, key, "left").withColumn("sequence", F.coalesce("_top", F.lit(0)) + F.row_number().over(w)).drop("_top")
+    order = order or ["ts", "record_id"]
+    b = scan(cut(new, key, order[0], rows_per_task), order, {"sequence": ("sum", F.lit(1).cast("long"))}, inclusive=True)
+    return b.done().join(top, key, "left").withColumn("sequence", F.coalesce("_top", F.lit(0)) + F.col("sequence")).drop("_top")
 
 
 def scope_totals(records: DataFrame, key: str = "scope", ts: str = "ts") -> DataFrame:

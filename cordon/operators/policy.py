@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keeper
+from .scan import ROWS_PER_TASK, cut, scan
+
 K = 20
 EXPOSED = ["RAW_VALUE", "TRANSFORMED_RAW_VALUE", "GROUP_KEY", "AGGREGATE_OPERAND", "CONDITIONAL_AGGREGATE", "NESTED_SCOPE"]
 IDENTIFIERS = ["DIRECT_IDENTIFIER", "STABLE_PSEUDONYM"]
@@ -146,17 +151,15 @@ def label_conflicts(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
     return per.select("dataset", "field", F.when(F.col("n_categories") == 1, F.col("c")).when(F.col("n_categories") == 0, "UNCLASSIFIED").alias("category"), "n_categories")
 
 
-def asof_snapshot(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+def asof_snapshot(events: DataFrame, snapshots: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Each event (key, ts) with the latest snapshot (key, observed_at, expires_at, snapshot_id) of its key observed at or before it; stale at or after expiry.
 
-    Union and a last-value window, so no join multiplies rows.
+    Union and a running last value, so no join multiplies rows; keys of more than rows_per_task rows are split.
     """
-    from pyspark.sql import Window
-
     e = events.select("key", "event_id", "ts", F.lit(1).alias("side"), F.lit(None).cast("string").alias("snapshot_id"), F.lit(None).cast("timestamp").alias("expires_at"))
     s = snapshots.select("key", F.lit(None).cast("long").alias("event_id"), F.col("observed_at").alias("ts"), F.lit(0).alias("side"), "snapshot_id", "expires_at")
-    w = Window.partitionBy("key").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(s).withColumn("seen", F.last(F.when(F.col("side") == 0, F.struct("snapshot_id", "expires_at")), True).over(w))
+    seen = F.when(F.col("side") == 0, F.struct("snapshot_id", "expires_at"))
+    both = scan(cut(e.unionByName(s), "key", "ts", rows_per_task), ["ts", "side"], {"seen": ("last", seen)}, inclusive=True).done()
     state = F.when(F.col("seen").isNull(), "MISSING").when(F.col("seen.expires_at") <= F.col("ts"), "STALE").otherwise("FRESH")
     return both.where("side = 1").select("event_id", "key", "ts", F.col("seen.snapshot_id").alias("snapshot_id"), state.alias("freshness"))
 
@@ -245,7 +248,7 @@ def plan_budget(plan_node: DataFrame, max_nodes: int = 2_000, max_depth: int = 6
     return per.withColumn("over_budget", (F.col("n_nodes") > max_nodes) | (F.col("depth") > max_depth))
 
 
-def resolve_derived(projections: DataFrame, max_depth: int = 64, levels: int = 8, keep=lambda df: df.checkpoint()) -> DataFrame:
+def resolve_derived(projections: DataFrame, max_depth: int = 64, levels: int = 8, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Physical sources of each query's root outputs: query_id, output_name, dataset, field.
 
     projections: query_id, scope_id (0 is the root), output_name, dataset or src_scope, src_column.
@@ -261,6 +264,7 @@ def resolve_derived(projections: DataFrame, max_depth: int = 64, levels: int = 8
             "query_id", "root_output", F.when(~open_, F.col("dataset")).when(~there, "@unresolved").otherwise(F.col("d2")).alias("dataset"),
             F.when(open_ & there, F.col("s2")).alias("src_scope"), F.when(open_ & there, F.col("c2")).otherwise(F.col("src_column")).alias("src_column"))
         if level % levels == 0 and level < max_depth:
+            keep = keep or keeper(projections.sparkSession)
             now = keep(now.distinct())
             if now.where("src_scope is not null").isEmpty():
                 break

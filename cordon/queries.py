@@ -11,7 +11,7 @@ from .functions import text as fx
 from .operators import evaluation as ev
 from .operators import folds, history, ledger, policy, release
 from .plans import facts
-from .session import ship
+from .session import keeper, shared_folder, ship
 from .sources.tables import fingerprint, row_counts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,9 +525,7 @@ def _traffic(s: DataFrame, *more) -> DataFrame:
 
 def _in_batches(t: Tables, n: int = 3) -> str:
     """The events as n files in the order of time, and after them one event a year later (user -1), which moves the watermark past them all."""
-    from .streaming.traffic import _shared
-
-    to = _shared(t.spark)
+    to = shared_folder(t.spark)
     now = ledger.micros("ts")
     low, high = t.events.agg(F.min(now), F.max(now)).first()
     if low is None:
@@ -877,16 +875,7 @@ _BITS = "CASE event_type WHEN 'view' THEN 16 WHEN 'click' THEN 4 WHEN 'error' TH
 
 
 def _keeper(t: Tables) -> Callable[[DataFrame], DataFrame]:
-    from .streaming.traffic import _shared
-
-    base, n = _shared(t.spark), iter(range(1_000))
-
-    def keep(df: DataFrame) -> DataFrame:
-        to = f"{base}/{next(n)}"
-        df.write.parquet(to)
-        return t.spark.read.schema(df.schema).parquet(to)
-
-    return keep
+    return keeper(t.spark)
 
 
 _DAYS = "SELECT user_id, user_id || '|' || strftime(ts, '%Y-%m-%d') AS scope, event_type FROM events"
@@ -950,4 +939,4 @@ def _(t):
     return drain(lambda s: chain_stream(s.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("payload"))), t.events, f"{t.sf_dir}/events.parquet*")
 
 
-from . import audit_queries  # noqa: E402, F401  registers the rest, on the names above
+from . import audit_queries, hot_queries  # noqa: E402, F401  register the rest, on the names above

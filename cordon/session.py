@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
+from itertools import count
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +27,29 @@ def ship(spark: SparkSession) -> SparkSession:
         _shipped.add(app)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, deleted when the application ends. Where that is unset, a local master makes one of its own and a cluster is refused."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="cordon-")
+        spark.sparkContext.setCheckpointDir(base)
+    to = f"{base}/cordon/tables-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return to
+
+
+def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table to a shared folder and returns it as read from there: lineage ends, and it survives lost executors."""
+    base, n = shared_folder(spark), count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        to = f"{base}/{next(n)}"
+        df.write.parquet(to)
+        return spark.read.schema(df.schema).parquet(to)
+
+    return keep

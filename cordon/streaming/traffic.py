@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import GENESIS, budget_fold
+from ..session import shared_folder
 
 
 def concurrency(intervals: DataFrame, key: str = "scope") -> DataFrame:
@@ -150,23 +151,7 @@ def asof_streams(events: DataFrame, snapshots: DataFrame, horizon: str, delay: s
 def drain(transform: Callable[[DataFrame], DataFrame], like: DataFrame, path: str, files_a_batch: int = 1000) -> DataFrame:
     """Run a stream over the files that are at `path` now, to its end, and return what it wrote."""
     spark = like.sparkSession
-    base = _shared(spark)
+    base = shared_folder(spark)
     out = transform(spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path))
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
-
-
-def _shared(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="cordon-")
-        spark.sparkContext.setCheckpointDir(base)
-    to = f"{base}/cordon/stream-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return to
