@@ -584,7 +584,7 @@ def _(t):
 @query("k10_retry_after", _FOLD.format("SELECT event_id AS record_id, user_id AS scope, ts, true AS protected FROM events", "true", "true", "len(live) < 2", "12 HOUR") + ", w AS (SELECT f.*, r.ts FROM f JOIN r USING (scope, n)) SELECT record_id, CASE WHEN NOT ok THEN CAST(ceil((43200000000 - (epoch_us(ts) - epoch_us(kept[1]))) / 1000000.0) AS BIGINT) END AS retry_after_s FROM (SELECT w.scope, w.n, w.record_id, w.ok, w.kept, w.ts FROM w)")
 def _(t):
     rows = t.events.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us"))
-    return folds.ordered_fold(rows, "scope", ["ts_us", "record_id"], folds.rate_fold(2, 43_200_000_000), folds.RATE_COLUMNS).select("record_id", "retry_after_s")
+    return folds.ordered_fold(rows, "scope", ["ts_us", "record_id"], folds.rate_fold(2, 43_200_000_000), folds.RATE_COLUMNS, F.col("ts_us") + 43_200_000_000).select("record_id", "retry_after_s")
 
 
 _SCENARIOS = {"same": ("a", "f"), "changed_cohort": ("b", "f"), "changed_family": ("a", "g"), "restarted": ("a", "f")}

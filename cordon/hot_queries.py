@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import folds, ledger, policy, scan
 from .queries import _FOLD, Tables, query
+from .streaming.traffic import concurrency
 
 _HOT = "CASE WHEN user_id % 2 = 0 THEN -1 ELSE user_id END"
 _REC = f"SELECT event_id AS record_id, {_HOT} AS scope, ts, event_type <> 'view' AS protected, event_type || ':' || event_id AS payload FROM events"
@@ -71,3 +72,9 @@ SELECT scope, sum(n)::BIGINT AS n_rows, count(*) AS n_segments, max(n) AS larges
 def _(t):
     rows = _records(t).select("record_id", "scope", ledger.micros("ts").alias("ts_us"))
     return scan.segment_report(rows, "scope", ["ts_us", "record_id"], F.col("ts_us") + _WINDOW, ROWS)
+
+
+@query("k3_concurrency_hot", f"""WITH m AS (SELECT scope, ts AS moment, 1 AS d FROM ({_REQ}) UNION ALL SELECT scope, ts + INTERVAL 2 HOUR, -1 FROM ({_REQ}))
+SELECT scope, max(n)::BIGINT AS most_open FROM (SELECT scope, sum(d) OVER (PARTITION BY scope ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS n FROM m) GROUP BY scope""")
+def _(t):
+    return concurrency(_records(t).select("scope", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("end")), rows_per_task=ROWS)

@@ -474,7 +474,7 @@ _LIMIT = "SELECT event_id AS record_id, user_id AS scope, ts, true AS protected
 
 @query("k1_rate_limit", _FOLD.format(_LIMIT, "true", "true", "len(live) < 2", "12 HOUR") + " SELECT record_id, ok AS admitted FROM f")
 def _(t):
-    return folds.ordered_fold(_requests(t), "scope", ["ts_us", "record_id"], folds.rate_fold(2, 43_200_000_000), folds.RATE_COLUMNS).select("record_id", "admitted")
+    return folds.ordered_fold(_requests(t), "scope", ["ts_us", "record_id"], folds.rate_fold(2, 43_200_000_000), folds.RATE_COLUMNS, F.col("ts_us") + 43_200_000_000).select("record_id", "admitted")
 
 
 @query("k1_rate_and_concurrency", """WITH RECURSIVE r AS (SELECT event_id AS record_id, user_id AS scope, ts, ts + to_hours(3 + 3 * (event_id % 5)) AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -486,12 +486,12 @@ UNION ALL SELECT scope, n, record_id, why, CASE WHEN why IS NOT DISTINCT FROM 'R
 SELECT record_id, reason IS NULL AS admitted, reason, wait AS retry_after_s FROM f""")
 def _(t):
     rows = t.events.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("scope"), ledger.micros("ts").alias("ts_us")).withColumn("end_us", F.col("ts_us") + (3 + 3 * (F.col("record_id") % 5)) * 3_600_000_000)
-    return folds.ordered_fold(rows, "scope", ["ts_us", "record_id"], folds.traffic_fold(3, 172_800_000_000, 1), folds.TRAFFIC_COLUMNS).select("record_id", "admitted", "reason", "retry_after_s")
+    return folds.ordered_fold(rows, "scope", ["ts_us", "record_id"], folds.traffic_fold(3, 172_800_000_000, 1), folds.TRAFFIC_COLUMNS, F.greatest(F.col("ts_us") + 172_800_000_000, "end_us")).select("record_id", "admitted", "reason", "retry_after_s")
 
 
 @query("k2_failure_throttle", _FOLD.format("SELECT event_id AS record_id, user_id AS scope, ts, event_type = 'error' AS failed FROM events", "failed", "failed", "len(live) < 1", "1 DAY").replace("failed AS ok", "true AS ok") + " SELECT record_id, ok AS admitted FROM f")
 def _(t):
-    return folds.ordered_fold(_requests(t), "scope", ["ts_us", "record_id"], folds.rate_fold(1, 86_400_000_000, counted="failed"), folds.RATE_COLUMNS).select("record_id", "admitted")
+    return folds.ordered_fold(_requests(t), "scope", ["ts_us", "record_id"], folds.rate_fold(1, 86_400_000_000, counted="failed"), folds.RATE_COLUMNS, F.when(F.col("failed"), F.col("ts_us") + 86_400_000_000)).select("record_id", "admitted")
 
 
 @query("k3_concurrency", """WITH m AS (SELECT user_id AS scope, ts AS moment, 1 AS d FROM events UNION ALL SELECT user_id, ts + INTERVAL 2 HOUR, -1 FROM events)

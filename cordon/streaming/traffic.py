@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import GENESIS, budget_fold
+from ..operators.scan import ROWS_PER_TASK, cut, scan
 from ..session import shared_folder
 
 
-def concurrency(intervals: DataFrame, key: str = "scope") -> DataFrame:
-    """Most intervals (start, end) of a key that are open at once; an end comes before a start at the same time."""
-    marks = intervals.select(key, F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(intervals.select(key, F.col("end").alias("at"), F.lit(-1).alias("d")))
-    w = Window.partitionBy(key).orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn("n", F.sum("d").over(w)).groupBy(key).agg(F.max("n").alias("most_open"))
+def concurrency(intervals: DataFrame, key: str = "scope", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Most intervals (start, end) of a key that are open at once; an end comes before a start at the same time. Keys of more than rows_per_task marks are split."""
+    mark = lambda c, d: intervals.select(key, F.col(c).alias("at"), F.lit(d).cast("long").alias("d"))
+    marks = cut(mark("start", 1).unionByName(mark("end", -1)), key, "at", rows_per_task)
+    return scan(marks, ["at", "d"], {"n": ("sum", F.col("d"))}, inclusive=True).done().groupBy(key).agg(F.max("n").alias("most_open"))
 
 
 def dedupe_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
