@@ -119,6 +119,25 @@ def test_closure_ends_on_cycles(spark):
     assert {(r.key, r.source): r.depth for r in policy.lineage_closure(edges).collect()}[("a", "a")] == 3
 
 
+def test_closure_shuffles_no_row_a_path(spark):
+    import itertools
+
+    rows = [(f"o{k % 40}", f"p{k % 7}") for k in range(200)] + [(f"p{k % 7}", f"s{k % 9}") for k in range(60)] + [("s1", None), ("s2", "o3"), (None, "x"), ("o1", "s1"), ("o1", "o1")]
+    edges, want = spark.createDataFrame(rows, "key string, source string"), {}
+    for a in set(rows):
+        now = {a}
+        for d in range(1, 4):
+            for key, source in now:
+                want[key, source] = min(d, want.get((key, source), d))
+            now = {(k, y) for (k, x), (v, y) in itertools.product(now, set(rows)) if x is not None and x == v}
+    for most in (1_000_000, 100):  # whole lists, and lists in parts
+        out = policy.lineage_closure(edges, 3, most)
+        assert sorted(map(repr, ((r.key, r.source, r.depth) for r in out.collect()))) == sorted(repr((k, s, d)) for (k, s), d in want.items())
+    # paths become rows after the last shuffle
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1
+
+
 def test_fixed_point(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     f = spark.createDataFrame([("s", "p"), ("s", "q"), ("t", "p")], "scope string, fact string")
