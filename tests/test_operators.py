@@ -257,6 +257,15 @@ def test_lifecycle_of_moves_that_come_late(spark, tmp_path):
     assert {k: max((r.n_moves, r.state) for r in out if r.record_id == k)[1] for k in (1, 2, 3)} == {1: "RELEASED", 2: "INVALID", 3: "INVALID"}
 
 
+def test_lifecycle_runs_no_python_by_record(spark):
+    from cordon.streaming.traffic import lifecycle_stream
+
+    moves = spark.createDataFrame([(1, 5, "PENDING"), (2, 1, "RELEASED"), (3, 2, "ABORTED"), (3, 1, "PENDING"), (4, 1, "PENDING"), (4, 2, None), (5, 1, None)], "record_id long, transition_id long, state string")
+    out = lifecycle_stream(moves)
+    assert {r.record_id: (r.n_moves, r.state) for r in out.collect()} == {1: (1, "PENDING"), 2: (1, "INVALID"), 3: (2, "ABORTED"), 4: (2, "INVALID"), 5: (1, "INVALID")}
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+
+
 def test_chain_of_rows_that_come_late(spark, tmp_path):
     from cordon.streaming.traffic import chain_stream, drain
 
