@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cordon import queries as own
 from cordon.functions import text as fx
 from cordon.operators import evaluation as ev
 from cordon.operators import folds, history, ledger, policy, release
@@ -75,6 +76,16 @@ def test_warehouse_invariants(spark):
     assert release.release_min_group(w["customers"], ["precise_area"], [], "customer_id").count() == 0
 
 
+def test_warehouse_query_shows_ids_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    spark.range(100_020).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = own.QUERIES["a1_warehouse"](spark, str(tmp_path)).where("customer_id like 'C1000_'")
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"SELECT * FROM ({own.ORACLES['a1_warehouse']}) WHERE customer_id LIKE 'C1000_'").fetchall())
+
+
 def test_empty_release_fails_the_group_check(spark):
     empty = spark.createDataFrame([], "g string, subject_count long")
     assert release.check_groups(empty).first().passed is False
