@@ -149,6 +149,15 @@ def test_closure_shuffles_no_row_a_path(spark):
     assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1
 
 
+def test_no_task_gets_all_columns_of_one_dataset(spark):
+    rows = [(1, "it's", "a\\b"), (None, "NULL", None)]
+    assert sorted(map(repr, map(tuple, facts.fixed(spark, rows, "n int, x string, y string").collect()))) == sorted(map(repr, rows))
+    refs = spark.range(100).selectExpr("id as query_id", "'customers' as dataset", "'age_band' as field", "'RAW_VALUE' as kind")
+    for out in (policy.resolve_context(refs, facts.small(spark, "catalog")), policy.effective(policy.resolve_context(refs, facts.small(spark, "catalog")), facts.small(spark, "lineage"), facts.small(spark, "catalog"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() >= 100 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_fixed_point(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     f = spark.createDataFrame([("s", "p"), ("s", "q"), ("t", "p")], "scope string, fact string")
