@@ -11,6 +11,7 @@ from cordon import queries as own
 from cordon.functions import text as fx
 from cordon.operators import evaluation as ev
 from cordon.operators import folds, history, ledger, policy, release
+from cordon.operators import variants as va
 from cordon.plans import facts
 from cordon.sources import sinks, tables
 
@@ -321,3 +322,41 @@ def test_budget_of_releases_that_come_late(spark, tmp_path):
     want = folds.ordered_fold(like.where("record_id < 99"), "scope", ["ts_us", "record_id"], folds.budget_fold(2, 100 * s), folds.BUDGET_COLUMNS).collect()
     assert sorted((r.record_id, r.allowed, r.rule) for r in got) == sorted((r.record_id, r.allowed, r.rule) for r in want)
     assert {r.record_id for r in got if not r.allowed} == {3, 6}
+
+
+def odd_plans(spark):
+    """Queries with nulls in every column, one without columns, and columns of every category, unknown and foreign ones among them."""
+    kinds = ["RAW_VALUE", "GROUP_KEY", "AGGREGATE_OPERAND", "AGGREGATE_VALUE", None, "CONDITIONAL_AGGREGATE", "NESTED_SCOPE", "TRANSFORMED_RAW_VALUE"]
+    fields = [("people", f) for f in ("email", "person_id", "age", "zip", "diagnosis", "note", "score")] + [("visits", "zip"), ("people", "blob"), ("people", "lost"), ("gone", "x")]
+    thresholds = [(None, None), (5, "people.person_id"), (30, "people.person_id"), (30, "people.email")]
+    queries = [(n, [True, False, None][n % 3], *thresholds[n % 4], [None, "people.person_id", "people.person_id", "people.email"][n // 2 % 4], "NO_PARSE" if n % 37 == 0 else None) for n in range(240)]
+    refs = [(n, *fields[(n * 7 + j * (1 + n % 3)) % (7 if n % 3 else len(fields))], kinds[(n // 5 + j * 3 * (n % 2)) % (5 if n % 4 else len(kinds))]) for n in range(1, 240) for j in range(1 + n % 4)]
+    catalog = [("people", "email", "DIRECT_IDENTIFIER"), ("people", "person_id", "STABLE_PSEUDONYM"), ("people", "age", "QUASI_IDENTIFIER"), ("people", "zip", "QUASI_IDENTIFIER"), ("people", "diagnosis", "SENSITIVE_ATTRIBUTE"), ("people", "note", "PUBLIC_OR_LOW_RISK"), ("people", "score", "PUBLIC_OR_LOW_RISK"), ("people", "blob", "UNCLASSIFIED"), ("visits", "zip", "QUASI_IDENTIFIER")]
+    return (
+        spark.createDataFrame(queries, "query_id long, is_grouped boolean, threshold int, threshold_subject string, subject string, upstream string"), spark.createDataFrame(refs, "query_id long, dataset string, field string, kind string"),
+        facts.fixed(spark, catalog, "dataset string, field string, category string"), facts.fixed(spark, [("people", "score", "people", "diagnosis"), ("people", "note", "people", "age")], "dataset string, field string, src_dataset string, src_field string"),
+    )
+
+
+def test_variants_are_judged_as_changed_queries_without_copies_of_columns(spark):
+    q, r, c, lin = odd_plans(spark)
+    n = F.col("query_id")
+    releases = q.select(F.when(n % 11 > 0, n % 5).alias("scope"), n.alias("release_id"), "is_grouped", F.when(n % 3 == 0, "SUM").alias("aggregate"), F.when(n % 13 > 0, F.concat(F.lit("c"), (n % 4).cast("string"))).alias("cohort"), F.when(n % 7 > 0, F.concat(F.lit("y"), (n % 3).cast("string"))).alias("snapshot"))
+    edges = facts.fixed(spark, [("y0", "y1"), ("y0", "y2"), ("y1", "y2")], "snapshot string, next_snapshot string")
+    current = releases.where("scope % 2 = 0 and snapshot < 'y2'").select("scope", "snapshot").distinct()
+    out = va.admissible_variants(q, r, c, lin, releases, edges, current)
+
+    every = va.variants(releases, r.withColumnRenamed("query_id", "release_id"), c, edges).withColumn("variant", F.concat_ws(":", "kind", "target"))
+    added = F.col("kind").startswith("ADD_")
+    op = F.when(added, "ADD").when(F.col("kind").isin("REMOVE_PROJECTION", "DROP_GROUP_KEY"), "REMOVE").otherwise("KEEP")
+    part = lambda k: F.when(op != "KEEP", F.split("target", r"\.")[k])
+    kind = F.when(F.col("kind") == "ADD_PROJECTION", "RAW_VALUE").when(added, "GROUP_KEY")
+    changed = policy.edit_refs(q, r, every.select(F.col("release_id").alias("query_id"), "variant", op.alias("op"), part(0).alias("dataset"), part(1).alias("field"), kind.alias("kind")))
+    allowed = {x.query_id for x in policy.decide(*changed, c, lin).where("decision = 'ALLOW'").collect()}
+    now = {(x.scope, x.snapshot) for x in current.collect()}
+    at = {x.release_id: (x.scope, x.snapshot) for x in releases.collect()}
+    want = [(x.release_id, x.kind, x.target) for x in every.collect() if f"{x.release_id}#{x.variant}" in allowed and (x.kind != "STEP_SNAPSHOT" or (at[x.release_id] in now and None not in at[x.release_id]))]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len({k for _, k, _ in want}) == 8
+    # variants become rows after the last shuffle
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and plan.count("Generate") == 1
