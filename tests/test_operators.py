@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from cordon import queries as own
 from cordon.functions import text as fx
 from cordon.operators import evaluation as ev
-from cordon.operators import folds, history, ledger, policy, release
+from cordon.operators import folds, history, ledger, policy, release, repair
 from cordon.operators import variants as va
 from cordon.plans import facts
 from cordon.sources import sinks, tables
@@ -331,6 +331,8 @@ def odd_plans(spark):
     thresholds = [(None, None), (5, "people.person_id"), (30, "people.person_id"), (30, "people.email")]
     queries = [(n, [True, False, None][n % 3], *thresholds[n % 4], [None, "people.person_id", "people.person_id", "people.email"][n // 2 % 4], "NO_PARSE" if n % 37 == 0 else None) for n in range(240)]
     refs = [(n, *fields[(n * 7 + j * (1 + n % 3)) % (7 if n % 3 else len(fields))], kinds[(n // 5 + j * 3 * (n % 2)) % (5 if n % 4 else len(kinds))]) for n in range(1, 240) for j in range(1 + n % 4)]
+    queries.append((500, True, None, None, "people.person_id", None))
+    refs += [(500, "people", "person_id", "AGGREGATE_VALUE"), (500, "people", "diagnosis", "AGGREGATE_OPERAND"), (500, "people", "zip", "GROUP_KEY")]
     catalog = [("people", "email", "DIRECT_IDENTIFIER"), ("people", "person_id", "STABLE_PSEUDONYM"), ("people", "age", "QUASI_IDENTIFIER"), ("people", "zip", "QUASI_IDENTIFIER"), ("people", "diagnosis", "SENSITIVE_ATTRIBUTE"), ("people", "note", "PUBLIC_OR_LOW_RISK"), ("people", "score", "PUBLIC_OR_LOW_RISK"), ("people", "blob", "UNCLASSIFIED"), ("visits", "zip", "QUASI_IDENTIFIER")]
     return (
         spark.createDataFrame(queries, "query_id long, is_grouped boolean, threshold int, threshold_subject string, subject string, upstream string"), spark.createDataFrame(refs, "query_id long, dataset string, field string, kind string"),
@@ -360,3 +362,21 @@ def test_variants_are_judged_as_changed_queries_without_copies_of_columns(spark)
     # variants become rows after the last shuffle
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("Generate") < plan.index("Join") and plan.count("Generate") == 1
+
+
+def test_single_repairs_are_judged_as_changed_queries_without_copies_of_columns(spark):
+    q, r, c, lin = odd_plans(spark)
+    r = r.unionByName(r.where("query_id % 5 = 0"))  # a column may stand in a query more than once
+    acts = repair.actions(q, r, c)
+    fit = repair.applicable(acts, q, r).where("fault is null")
+    q2, r2 = repair.apply_repairs(q, r, fit.drop("fault"))
+    done = policy.decide(q2, r2, c, lin).withColumn("failed", F.arrays_overlap("reasons", F.array(*map(F.lit, repair.UNRESOLVED))))
+    want = done.select(F.substring_index("query_id", "#", 1), "variant", "decision", F.col("decision") == "ALLOW", "failed").collect()
+    judged = repair.evaluate_repairs(q, r, c, lin, acts)
+    assert sorted(map(tuple, judged.collect())) == sorted(map(tuple, want)) and len({(x.decision, x.failed) for x in want}) == 4
+    n = {x.query_id: x["count"] for x in r2.groupBy("query_id").count().collect()}
+    sized = repair.sized_repairs(q, r, fit)
+    assert sorted(map(repr, map(tuple, sized.collect()))) == sorted(repr((x.query_id, x.threshold, x.threshold_subject, n.get(x.query_id, 0))) for x in q2.collect())
+    # columns are shuffled by their query alone, once for each table that is made of them
+    for out in (judged, sized):
+        assert "variant" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x)
