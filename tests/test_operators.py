@@ -380,3 +380,10 @@ def test_single_repairs_are_judged_as_changed_queries_without_copies_of_columns(
     # columns are shuffled by their query alone, once for each table that is made of them
     for out in (judged, sized):
         assert "variant" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x)
+
+
+def test_decisions_by_bits_are_those_of_the_policy(spark):
+    q, r, c, lin = odd_plans(spark)
+    got = repair.decide_by_bits(q, repair.column_bits(r, c, lin))
+    want = {x.query_id: x.decision for x in policy.decide(q, r, c, lin).collect()}
+    assert {x.query_id: x.decision for x in got.collect()} == want and set(want.values()) == {"ALLOW", "REWRITE", "BLOCK"}
