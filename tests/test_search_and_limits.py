@@ -137,6 +137,34 @@ def test_rate_stream_over_batches_and_a_restart(spark, tmp_path):
     assert state[-1] < max(state) and state[-1] <= 3  # idle scopes have left the store
 
 
+def test_limit_streams_keep_groups_of_scopes_together(spark, tmp_path):
+    schema = "record_id long, scope long, ts_us long"
+    big = 2**53 + 1  # no double
+    rows = [(k, None if k % 40 == 7 else big + k % 40, (1000 + k // 50) * 1_000_000) for k in range(600)]
+    folder = str(tmp_path / "in")
+    for part in (rows[:300], rows[300:], [(-1, -1, 10**10)]):
+        feed(spark, folder, part, schema)
+    out, state = drained(spark, lambda s: limits.rate_stream(s, 3, 4, "1 second", parts=2), schema, folder, str(tmp_path / "run"))
+    batch = folds.ordered_fold(spark.createDataFrame(rows, schema), "scope", ["ts_us", "record_id"], folds.rate_fold(3, 4_000_000), folds.RATE_COLUMNS)
+    pick = lambda df: sorted((r.record_id, r.scope, r.admitted) for r in df.where("record_id >= 0").collect())
+    assert repr(pick(out)) == repr(pick(batch)) and len({r[2] for r in pick(out)}) == 2
+    assert max(state) <= 2 * 8  # two lists and a few timers a group, not a scope
+
+
+def test_parts_of_a_stream_have_equally_many_files(spark):
+    import glob
+    import os
+
+    from cordon import queries as own
+
+    t = own.Tables(spark, "/root/testdata/sf0.001")
+    path, files = own._in_batches(t, rows_per_file=50)
+    there = sorted(glob.glob(path.removeprefix("file:")), key=os.path.getmtime)
+    assert files > 1 and len(there) == 3 * files + 1
+    ends = [spark.read.parquet(*there[k : k + files]).selectExpr("min(ts)", "max(ts)", "count(*)").first() for k in range(0, len(there), files)]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:])) and sum(e[2] for e in ends) == t.events.count() + 1
+
+
 def test_capability_stream_tells_of_unused_ones(spark, tmp_path):
     schema = "record_id long, capability long, ts_us long, issue boolean"
     s = 1_000_000
