@@ -144,3 +144,32 @@ def test_closure_equals_brute_force(spark):
     got = history.fixed_point(spark.createDataFrame(facts + facts[:5], "scope string, fact string"), spark.createDataFrame(rules + rules[:3], "rule_id int, premise string, conclusion string")).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     assert history.fixed_point(spark.createDataFrame([], "scope string, fact string"), spark.createDataFrame(rules, "rule_id int, premise string, conclusion string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["g16_verify_chain_hot", "g16_verify_chain"])
+def test_a_chain_is_made_once_to_be_verified(spark, monkeypatch, name):
+    from cordon import hot_queries, queries
+
+    made, real = spark.sparkContext.accumulator(0), ledger.chain
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    def chain(*args):
+        df = real(*args)
+        return df.mapInArrow(counted, df.schema)
+
+    monkeypatch.setattr(ledger, "chain", chain)
+    assert hot_queries.ledger is ledger
+    sf = "/root/testdata/sf0.001"
+    assert queries.QUERIES[name](spark, sf).count() > 0
+    assert made.value == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_a_fold_gets_the_columns_it_reads(spark):
+    df = spark.createDataFrame([(1, k, "x") for k in range(5)], "scope long, n long, other string")
+    make = lambda: lambda row: {"seen": ",".join(row)}
+    assert {(r.seen, r.other) for r in folds.ordered_fold(df, "scope", ["n"], make, "seen string", reads=["n"]).collect()} == {("n", "x")}
+    assert {r.seen for r in folds.ordered_fold(df, "scope", ["n"], make, "seen string").collect()} == {"scope,n,other"}
