@@ -77,10 +77,24 @@ def _needles(secrets: DataFrame) -> DataFrame:
     return each.where("length(needle) > 0").distinct().withColumn("n_gram", n).withColumn("gram", F.expr("left(needle, n_gram)"))
 
 
+SHORT_LIST = 8 << 10  # bytes of needles (about 100) up to which each text is searched for all of them, which costs less than its grams
 SMALL_LIST = 16 << 20  # bytes of needles up to which tasks get all of them; a longer list is shuffled by gram
 PIECE = 4096  # characters of a text that are cut into grams at a time, which bounds a row's memory
 
 
+def _met(rows: DataFrame, needles: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """text_hash, cands: the needles of which a text holds the gram."""
+    # an ASCII text is searched for both kinds of needle at once
+    own = rows.select("text_hash", "text", _is_ascii(F.col("text")).alias("ascii"))
+    folded = own.where("not ascii").select("text_hash", _folded("text").alias("text"), F.array(F.lit(True)).alias("kinds"))
+    plain = own.select("text_hash", "text", F.when(F.col("ascii"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))).alias("kinds"))
+    pieces = plain.unionByName(folded).select("text_hash", "kinds", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{PIECE + 7}}})).{{1,{PIECE}}}"), 1)).alias("piece"))
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in sizes)))
+    listed = needles.select("gram", "secret_id", "spelling", "needle", (F.col("spelling") == "nfkc").alias("kind"))
+    met = pieces.select("text_hash", "kinds", F.explode(grams).alias("gram")).join(F.broadcast(listed) if small else listed, "gram").where(F.array_contains("kinds", F.col("kind")))
+    return met.groupBy("text_hash").agg(F.collect_set(F.struct("secret_id", "spelling", "needle")).alias("cands"))
+
+
 def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame) -> DataFrame:
     """Texts that hold a listed secret (secret_id, secret) raw, percent-encoded, in hex or in base64; or `nfkc`: only once text and secret are in normal form KC.
 
@@ -88,26 +102,20 @@ def scan_secrets(corpus: DataFrame, text_col: str, secrets: DataFrame) -> DataFr
     hold and are nothing. The list may have any length: texts meet it by an equi-join on grams of 8 characters (4 or 1
     for short needles) of which only a 64-bit hash of the text is kept, so neither the list nor a text passes through the driver or
     is copied to each gram. Texts that share a gram with a needle are then searched for it, so the hash decides nothing.
+    Where the list is so short that cutting a text into grams takes longer, texts are searched for all of it at once.
     """
     text = F.col(f"`{text_col}`")
     rows = corpus.select(F.struct("*").alias("row"), text.alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     needles = _needles(secrets)
     lists = needles.groupBy("n_gram").agg(F.sum(F.octet_length("needle") + 64).alias("bytes")).collect()  # of 8, 4 and 1 at most
-    sizes, small = sorted(r.n_gram for r in lists), sum(r.bytes for r in lists) <= SMALL_LIST
+    sizes, n_bytes = sorted(r.n_gram for r in lists), sum(r.bytes for r in lists)
     if not sizes:
         return corpus.sparkSession.createDataFrame([], T.StructType([*corpus.schema.fields, secrets.schema["secret_id"], T.StructField("spelling", T.StringType())]))
 
-    # an ASCII text is searched for both kinds of needle at once
-    own = rows.select("text_hash", "text", _is_ascii(F.col("text")).alias("ascii"))
-    folded = own.where("not ascii").select("text_hash", _folded("text").alias("text"), F.array(F.lit(True)).alias("kinds"))
-    plain = own.select("text_hash", "text", F.when(F.col("ascii"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))).alias("kinds"))
-    pieces = plain.unionByName(folded).select("text_hash", "kinds", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{PIECE + 7}}})).{{1,{PIECE}}}"), 1)).alias("piece"))
-    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in sizes)))
-    listed = needles.select("gram", "secret_id", "spelling", "needle", (F.col("spelling") == "nfkc").alias("kind"))
-    met = pieces.select("text_hash", "kinds", F.explode(grams).alias("gram")).join(F.broadcast(listed) if small else listed, "gram").where(F.array_contains("kinds", F.col("kind")))
-    cands = met.groupBy("text_hash").agg(F.collect_set(F.struct("secret_id", "spelling", "needle")).alias("cands"))
-
-    asked = rows.join(cands, "text_hash").drop("text_hash")
+    if n_bytes <= SHORT_LIST:
+        asked = rows.drop("text_hash").crossJoin(F.broadcast(needles.agg(F.collect_set(F.struct("secret_id", "spelling", "needle")).alias("cands"))))
+    else:
+        asked = rows.join(_met(rows, needles, sizes, n_bytes <= SMALL_LIST), "text_hash").drop("text_hash")
     fold = F.exists("cands", lambda c: c.spelling == "nfkc") & ~_is_ascii(F.col("text"))
     asked = asked.where(~fold).withColumn("fold", F.col("text")).unionByName(asked.where(fold).withColumn("fold", _folded("text")))
     held = F.filter("cands", lambda c: F.when(c.spelling == "nfkc", F.contains("fold", c.needle)).otherwise(F.contains("text", c.needle)))

@@ -251,6 +251,19 @@ def test_secrets_of_a_long_list_in_long_texts(spark, monkeypatch, small_list):
     assert sorted((r[0], r.secret_id, r.spelling) for r in out.collect()) == sorted(expected) and len(expected) > 100
 
 
+def test_a_short_list_of_secrets_is_searched_without_grams(spark, monkeypatch):
+    s = "pass word~１"
+    texts = [s, f"a{s}b", "pass+word%7E%EF%BC%91", s.encode().hex(), "pass word~1", "ｐass word~1", "none", "", None, s, "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    secrets = spark.createDataFrame([(7, s), (8, "é"), (8, "non"), (9, "")], "secret_id int, secret string")
+    found = lambda: sorted((r.id, r.secret_id, r.spelling) for r in fx.scan_secrets(df, "text", secrets).collect())
+    with monkeypatch.context() as m:
+        m.setattr(fx, "_met", None)  # no gram is cut
+        short = found()
+    monkeypatch.setattr(fx, "SHORT_LIST", 0)
+    assert short == found() and {r[2] for r in short} >= {"raw", "percent", "hex", "nfkc"}
+
+
 def test_requests_refused_for_open_ones_count_for_the_rate(spark):
     s = 1_000_000
     rows = [(1, "p", 0, 5 * s), (2, "p", s, 2 * s), (3, "p", 2 * s, 3 * s), (4, "p", 3 * s, 4 * s), (5, "p", 10 * s, 11 * s), (6, "q", 0, 1), (7, "q", 1, 2)]
