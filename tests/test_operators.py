@@ -272,6 +272,19 @@ def test_requests_refused_for_open_ones_count_for_the_rate(spark):
     assert out == {1: (None, None), 2: ("CONCURRENCY_LIMIT_EXCEEDED", 1), 3: ("CONCURRENCY_LIMIT_EXCEEDED", 1), 4: ("RATE_LIMIT_EXCEEDED", 7), 5: (None, None), 6: (None, None), 7: (None, None)}
 
 
+def test_an_action_is_chosen_without_rows_of_pairs(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(q, f"a{draw.randrange(5)}", draw.randrange(3), draw.randrange(2), draw.randrange(2)) for q in range(40) for _ in range(draw.randrange(1, 8))] + [(99, "x", 0, 0, 0), (None, "x", 1, 0, 0), (None, "y", 0, 1, 0)]
+    acts = spark.createDataFrame([*rows, *rows[:9]], "query_id long, action string, goal_cost int, info_cost int, change_cost int")
+    got = ev.choose_action(acts, lambda c: c.goal_cost + c.info_cost >= 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()  # as it is before it runs
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+    by_rows = ev.choose_repair(ev.candidates(acts.distinct()).withColumn("eligible", F.expr("goal_cost + info_cost >= 1")))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, by_rows.collect()), key=repr)
+
+
 def test_a_failed_check_closes_the_repair(spark):
     rows = [("a", "x", 1, 1, 1, True, False), ("a", "y", 0, 1, 1, True, False), ("b", "x", 0, 0, 0, True, False), ("b", "y", 1, 1, 1, False, True), ("c", "x", 1, 1, 1, False, False), ("d", "x", 1, 1, 1, True, None)]
     df = spark.createDataFrame(rows, "query_id string, candidate string, goal_cost int, info_cost int, change_cost int, eligible boolean, failed boolean")
