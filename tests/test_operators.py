@@ -150,6 +150,29 @@ def test_closure_shuffles_no_row_a_path(spark):
     assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1
 
 
+def test_packed_closure_equals_brute_force(spark):
+    import itertools
+    import random
+
+    pick = random.Random(4)
+    ids = [0, 1, 5, -7, (1 << 24) - 1, 1 << 24, (1 << 24) + 300, 70_000, -(1 << 40), (1 << 61) + 3, 1 - (1 << 62), (1 << 62) - 1, None]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # lists are cut by batches
+    try:
+        for hops, n, most in ((1, 30, 1000), (2, 40, 2), (3, 40, 1000), (3, 40, 2), (4, 25, 1000), (3, 0, 1000)):  # with most = 2, sources with more keys are dealt
+            rows, want = [(pick.choice(ids), pick.choice(ids)) for _ in range(n)], {}
+            for a in set(rows):
+                now = {a}
+                for d in range(1, hops + 1):
+                    for key, source in now:
+                        want[key, source] = min(d, want.get((key, source), d))
+                    now = {(k, y) for (k, x), (v, y) in itertools.product(now, set(rows)) if x is not None and x == v}
+            out = policy.lineage_closure_ids(spark.createDataFrame(rows, "key long, source long"), hops, rows_per_task=most)
+            assert (most == 2) == ("share" in out._jdf.queryExecution().analyzed().toString())
+            assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((k, s, d)) for (k, s), d in want.items())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_no_task_gets_all_columns_of_one_dataset(spark):
     rows = [(1, "it's", "a\\b"), (None, "NULL", None)]
     assert sorted(map(repr, map(tuple, facts.fixed(spark, rows, "n int, x string, y string").collect()))) == sorted(map(repr, rows))
